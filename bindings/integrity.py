@@ -36,21 +36,20 @@ def _(t):
 
 # the feed: every product again, some records newer and some older, at twice the price
 shared("product_feed", """select * replace (selling_price_sek*2 as selling_price_sek,
-    updated_at + (cast(shelf_life_days as bigint)/10 - 25) * interval '1' day as updated_at) from products""")
+    updated_at + (cast(shelf_life_days as bigint)/10 - 25) * interval '1' day + interval '12' hour as updated_at) from products""")
 
 
 def _product_feed(t):
-    days = F.expr("updated_at + (cast(shelf_life_days as bigint)/10 - 25) * interval '1' day")
-    return t.products.withColumns({"selling_price_sek": F.col("selling_price_sek") * 2, "updated_at": days})
+    moved = F.expr("updated_at + (cast(shelf_life_days as bigint)/10 - 25) * interval '1' day + interval '12' hour")
+    return t.products.withColumns({"selling_price_sek": F.col("selling_price_sek") * 2, "updated_at": moved})
 
 
 @query("ingest_upsert", """select source_system, external_id, id, selling_price_sek, updated_at from (
-    select *, row_number() over (partition by source_system, external_id order by updated_at desc, id desc, fed) place
-    from (select *, 0 fed from products union all by name select *, 1 fed from product_feed))
+    select *, row_number() over (partition by source_system, external_id order by updated_at desc, id desc) place
+    from (select * from products union all by name select * from product_feed))
     where place = 1""")
 def _(t):
-    feed = _product_feed(t).filter(F.col("updated_at") != F.to_timestamp_ntz(F.lit("1995-01-01 00:00:00")))
-    return tables.ingest_upsert(t.products, feed).select(
+    return tables.ingest_upsert(t.products, _product_feed(t)).select(
         "source_system", "external_id", "id", "selling_price_sek", "updated_at"
     )
 
@@ -120,7 +119,7 @@ def _(t):
         group by sales_order_id, line_number having count(*) > 1"""]
 ))
 def _(t):
-    lines = quality.key_duplicates({"sales_order_lines": (t.sales_order_lines, ["sales_order_id", "line_number"])}, "line")
+    lines = quality.key_duplicates([("sales_order_lines", t.sales_order_lines, ["sales_order_id", "line_number"])], "line")
     return quality.unique_violations(t.all()).unionByName(lines)
 
 

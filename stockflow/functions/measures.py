@@ -43,3 +43,12 @@ def local_time(df: DataFrame, utc_time: str, zone: str) -> DataFrame:
     return df.withColumn("local_time", clock).withColumns(
         {"local_hour": F.hour("local_time"), "local_weekday": F.weekday("local_time") + 1}
     )
+
+
+def truncated(df: DataFrame, column: str, unit: str) -> Column:
+    """A time cut down to the unit, in the type of its column (date_trunc alone always gives a zoned time)."""
+    return F.date_trunc(unit, column).cast(dict(df.dtypes)[column])
+
+
+def month_of(column) -> Column:
+    return F.trunc(F.to_date(column), "month")

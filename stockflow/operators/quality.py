@@ -29,34 +29,31 @@ def not_null_violations(tables: dict[str, DataFrame]) -> DataFrame:
     return union_all(reports)
 
 
-def key_duplicates(tables: dict[str, tuple[DataFrame, list[str]]], rule: str) -> DataFrame:
-    """Values of a key (one or more columns) that are null or occur more than once."""
-    reports = []
-    for name, (df, key) in tables.items():
-        text = F.concat_ws("|", *key) if len(key) > 1 else F.col(key[0]).cast("string")
-        counted = df.groupBy(*key).agg(F.count(F.lit(1)).alias("occurrences"))
-        broken = (F.col("occurrences") > 1) | F.col(key[0]).isNull()
-        reports.append(
-            counted.filter(broken).select(
-                F.lit(name).alias("table_name"), F.lit(rule).alias("rule"), F.lit("+".join(key)).alias("column_name"),
-                text.alias("key"), "occurrences",
-            )
+def key_duplicates(keys: list[tuple[str, DataFrame, list[str]]], rule: str) -> DataFrame:
+    """Values of keys (table name, rows, one or more columns) that are null or occur more than once.
+
+    All keys are counted by one aggregation.
+    """
+    tagged = [
+        df.select(
+            F.lit(name).alias("table_name"), F.lit("+".join(key)).alias("column_name"),
+            (F.concat_ws("|", *key) if len(key) > 1 else F.col(key[0]).cast("string")).alias("key"),
         )
-    return union_all(reports)
+        for name, df, key in keys
+    ]
+    counted = union_all(tagged).groupBy("table_name", "column_name", "key").agg(F.count(F.lit(1)).alias("occurrences"))
+    return counted.filter("occurrences > 1 or key is null").withColumn("rule", F.lit(rule))
 
 
 def pk_duplicates(tables: dict[str, DataFrame]) -> DataFrame:
-    return key_duplicates({name: (df, ["id"]) for name, df in tables.items()}, "primary_key")
+    return key_duplicates([(name, df, ["id"]) for name, df in tables.items()], "primary_key")
 
 
 def unique_violations(tables: dict[str, DataFrame]) -> DataFrame:
     """Repeated external ids and natural keys."""
-    reports = [
-        key_duplicates({name: (df, [column])}, "unique")
-        for name, df in tables.items()
-        for column in schema.unique_columns(name)
-    ]
-    return union_all(reports)
+    return key_duplicates(
+        [(name, df, [c]) for name, df in tables.items() for c in schema.unique_columns(name)], "unique"
+    )
 
 
 def fk_orphans(tables: dict[str, DataFrame]) -> DataFrame:
