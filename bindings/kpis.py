@@ -83,7 +83,7 @@ def _(t):
 
 @query("order_cycle_time", """select priority, count(*) orders, sum(days) / count(*) mean_days,
     round(quantile_cont(days, 0.5), 6) median_days, round(quantile_cont(days, 0.9), 6) p90_days
-    from (select priority, date_diff('day', order_date, cast(max(s.actual_arrival_at) as date)) days
+    from (select priority, date_diff('day', order_date, cast(max(s.actual_arrival_at) as date)) as days
       from sales_orders o join sales_order_lines l on l.sales_order_id = o.id
       join shipment_items i on i.sales_order_line_id = l.id join shipments s on s.id = i.shipment_id
       where s.status in ('F', 'P') group by o.id, priority, order_date) group by priority""")

@@ -11,6 +11,7 @@ from stockflow.functions.exact import count_if, decimal, exact_sum, ratio
 from stockflow.functions.measures import number
 from stockflow.functions.ranking import exact_percentiles, global_row_number, tile
 from stockflow.plans.visibility import current_balances
+from stockflow.session import cut
 
 
 def with_tile(df: DataFrame, value: str, key: str, out: str, tiles: int) -> DataFrame:
@@ -49,7 +50,7 @@ def risk_rules(
             + weights["single"] * F.col("single_rate") + weights["tier"] * F.col("tier_flag") + weights["cover"] * F.col("short_rate"),
         )
     )
-    return with_tile(scored, "risk_points", "supplier_id", "risk_quintile", 5)
+    return with_tile(cut(scored), "risk_points", "supplier_id", "risk_quintile", 5)
 
 
 def robust_anomalies(df: DataFrame, keys: list[str], value: str, cut_off: float) -> DataFrame:
@@ -77,7 +78,7 @@ def customer_facts(orders: DataFrame, as_of) -> DataFrame:
 
 def customer_segments(orders: DataFrame, as_of) -> DataFrame:
     """Customer facts with quintiles; 5 is the most recent, most frequent, most valuable fifth."""
-    out = customer_facts(orders, as_of).withColumn("_recent", -F.col("recency_days"))
+    out = cut(customer_facts(orders, as_of)).withColumn("_recent", -F.col("recency_days"))
     for value, name in (("_recent", "recency_quintile"), ("orders", "frequency_quintile"), ("value_sek", "value_quintile")):
         out = with_tile(out, value, "customer_id", name, 5)
     return out.drop("_recent")
