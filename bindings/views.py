@@ -286,7 +286,7 @@ class Tables:
     """The bound tables of one data folder as attributes, each built on first use."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self._dir, self._built = spark, sf_dir, {}
+        self.spark, self.folder, self._built = spark, sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in _TEXT:
@@ -295,7 +295,7 @@ class Tables:
             text = _text(name)
             for given in GIVEN:
                 if re.search(rf"\b(from|join) {given}\b", text):
-                    self.spark.read.parquet(f"{self._dir}/{given}.parquet").createOrReplaceTempView(given)
+                    self.spark.read.parquet(f"{self.folder}/{given}.parquet").createOrReplaceTempView(given)
             frame = self.spark.sql(text)
             if name in schema.table_names():
                 frame = frame.select(*schema.columns(name))
