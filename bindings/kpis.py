@@ -26,13 +26,14 @@ shared("order_flags", """select sales_order_id, customer_id, order_date, priorit
     from line_delivery group by all""")
 
 
-def delivery_of(t, done_statuses=None):
-    return kpi.line_delivery(t.sales_order_lines, t.shipment_items, t.shipments, t.sales_orders, done_statuses)
+def orders_of(t, done_statuses=None, **damage):
+    return kpi.order_delivery(t.sales_order_lines, t.shipment_items, t.shipments, t.sales_orders, done_statuses, **damage)
 
 
 @query("line_delivery", """select line_id, sales_order_id, arrived_at, worst_delay_hours, on_time, in_full from line_delivery""")
 def _(t):
-    return delivery_of(t).select("line_id", "sales_order_id", "arrived_at", "worst_delay_hours", "on_time", "in_full")
+    lines = kpi.line_delivery(t.sales_order_lines, t.shipment_items, t.shipments, t.sales_orders)
+    return lines.select("line_id", "sales_order_id", "arrived_at", "worst_delay_hours", "on_time", "in_full")
 
 
 @query("otif", """select customer_id, order_month, cast(grouping(customer_id, order_month) as int) grouping_level,
@@ -41,7 +42,7 @@ def _(t):
     from (select *, cast(date_trunc('month', order_date) as date) order_month from order_flags)
     group by grouping sets ((), (customer_id), (order_month))""")
 def _(t):
-    return kpi.otif(delivery_of(t))
+    return kpi.otif(orders_of(t))
 
 
 @query("fill_rate", f"""select product_id, {xsum('ordered_quantity')} ordered_quantity,
@@ -88,7 +89,7 @@ def _(t):
       join shipment_items i on i.sales_order_line_id = l.id join shipments s on s.id = i.shipment_id
       where s.status in ('F', 'P') group by o.id, priority, order_date) group by priority""")
 def _(t):
-    return kpi.order_cycle_time(delivery_of(t, ["F", "P"]), ["priority"])
+    return kpi.order_cycle_time(orders_of(t, ["F", "P"]), ["priority"])
 
 
 _LANE = "origin_location_id, destination_location_id, carrier_id, transport_mode"
@@ -145,7 +146,7 @@ def _(t):
       count(*) filter (otif) otif_orders, count(*) filter (otif and clean) perfect_orders,
       count(*) filter (otif and clean) / count(*) perfect_order_rate from flags group by rollup (order_month)""")
 def _(t):
-    return kpi.perfect_order_rate(delivery_of(t), t.inventory_movements, ["error", "purchase"])
+    return kpi.perfect_order_rate(orders_of(t, movements=t.inventory_movements, damage_reasons=["error", "purchase"]))
 
 
 _CUBE = "region, product_family, transport_mode, month"
@@ -303,7 +304,7 @@ def _(t):
       union all select 'purchase', id, confirmed_delivery_date, cast(date_diff('day', confirmed_delivery_date, actual_delivery_date) as int), total_value_sek
       from purchase_orders) where days_late > 0""")
 def _(t):
-    return visibility.delayed_orders(delivery_of(t), t.purchase_orders, "1999-06-01")
+    return visibility.delayed_orders(orders_of(t), t.purchase_orders, "1999-06-01")
 
 
 # --- windows, sorts, sets, scalars ---------------------------------------

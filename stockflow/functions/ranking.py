@@ -58,34 +58,47 @@ def tile(place: Column, total: Column, tiles: int) -> Column:
     )
 
 
+_SALTS = 16
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(_SALTS)).cast("int"))
+
+
+def _every_salt(df: DataFrame) -> DataFrame:
+    return df.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(_SALTS)])))
+
+
 def exact_percentiles(
     df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], accuracy: int = 10000
 ) -> DataFrame:
     """Interpolated percentiles per key, exact, for keys of any size.
 
-    A sketch brackets the two ranks each percentile lies between; rows below
-    the bracket are counted, and only those inside it are ordered. Should a
-    rank fall outside its bracket, the whole range is ordered instead.
+    Equal values are counted first. A sketch brackets the two ranks each
+    percentile lies between; values below the bracket are only counted, those
+    inside it are ordered. Should a rank fall outside its bracket, the whole
+    range is ordered instead. The values of a key are spread over salts where
+    they meet the key's sketch.
     """
     names = list(probabilities)
     slack = 4.0 / accuracy
-    number = F.col(value).cast("double")
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, number.alias("_v"))
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    values = _salted(rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
 
     def bracket(sign):
         points = [min(1.0, max(0.0, p + sign * slack)) for p in probabilities.values()]
         return F.percentile_approx("_v", points, accuracy)
 
+    facts = ["_n", "_lo", "_hi", "_min", "_max"]
     sketch = rows.groupBy(*keys).agg(
         F.count("_v").alias("_n"), bracket(-1).alias("_lo"), bracket(1).alias("_hi"),
         F.min("_v").alias("_min"), F.max("_v").alias("_max"),
     )
-    with_sketch = rows.join(sketch, keys)
-    counted = with_sketch.groupBy(*keys).agg(
-        F.first("_n").alias("_n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"),
-        F.first("_min").alias("_min"), F.first("_max").alias("_max"),
-        *[F.count(F.when(F.col("_v") < F.col("_lo")[i], 1)).alias(f"_under{i}") for i in range(len(names))],
-        *[F.count(F.when(F.col("_v") <= F.col("_hi")[i], 1)).alias(f"_upto{i}") for i in range(len(names))],
+    upto = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("_c"))), F.lit(0))
+    counted = values.join(_every_salt(sketch), [*keys, "_salt"]).groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in facts],
+        *[upto(F.col("_v") < F.col("_lo")[i]).alias(f"_under{i}") for i in range(len(names))],
+        *[upto(F.col("_v") <= F.col("_hi")[i]).alias(f"_upto{i}") for i in range(len(names))],
     )
 
     def target(i, p):
@@ -100,13 +113,11 @@ def exact_percentiles(
         )
 
     targets = counted.select(*keys, F.array(*[target(i, p) for i, p in enumerate(probabilities.values())]).alias("_t"))
-    inside = (
-        rows.join(targets, keys)
-        .select(*keys, "_v", F.explode(F.expr("filter(_t, t -> _v >= t.from and _v <= t.to)")).alias("_t"))
-        .groupBy(*keys, "_t", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    inside = values.join(_every_salt(targets), [*keys, "_salt"]).select(
+        *keys, "_v", "_c", F.explode(F.expr("filter(_t, t -> _v >= t.from and _v <= t.to)")).alias("_t")
     )
-    upto = Window.partitionBy(*keys, "_t.i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("_end", F.col("_t.under") + F.sum("_c").over(upto))
+    running = Window.partitionBy(*keys, "_t.i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.withColumn("_end", F.col("_t.under") + F.sum("_c").over(running))
     holds = lambda rank: (F.col("_end") > F.col(rank)) & (F.col("_end") - F.col("_c") <= F.col(rank))
 
     def result(i, name):

@@ -14,6 +14,22 @@ from stockflow.functions.measures import has_status, hours_between, month_of, nu
 from stockflow.functions.ranking import newest
 
 
+def _line_arrivals(lines: DataFrame, items: DataFrame, shipments: DataFrame, done_statuses) -> DataFrame:
+    """Sales lines with the last arrival and worst delay over their shipments."""
+    arrived = shipments.filter(has_status("status", done_statuses)).select(
+        F.col("id").alias("shipment_id"), "actual_arrival_at", number("delay_hours").alias("delay_hours")
+    )
+    last = (
+        items.filter("sales_order_line_id is not null").select("shipment_id", F.col("sales_order_line_id").alias("line_id"))
+        .join(arrived, "shipment_id").groupBy("line_id")
+        .agg(F.max("actual_arrival_at").alias("arrived_at"), F.max("delay_hours").alias("worst_delay_hours"))
+    )
+    ordered, delivered = number("ordered_quantity"), number("delivered_quantity")
+    return lines.select(
+        F.col("id").alias("line_id"), "sales_order_id", "product_id", (delivered >= ordered).alias("in_full")
+    ).join(last, "line_id", "left")
+
+
 def line_delivery(
     lines: DataFrame, items: DataFrame, shipments: DataFrame, orders: DataFrame, done_statuses=None
 ) -> DataFrame:
@@ -23,43 +39,43 @@ def line_delivery(
     not shipped is not on time. done_statuses names the shipments that have
     arrived (None: all).
     """
-    arrived = shipments.filter(has_status("status", done_statuses)).select(
-        F.col("id").alias("shipment_id"), "actual_arrival_at", number("delay_hours").alias("delay_hours")
-    )
-    last = (
-        items.filter("sales_order_line_id is not null").select("shipment_id", F.col("sales_order_line_id").alias("line_id"))
-        .join(arrived, "shipment_id").groupBy("line_id")
-        .agg(F.max("actual_arrival_at").alias("arrived_at"), F.max("delay_hours").alias("worst_delay_hours"))
+    headers = orders.select(F.col("id").alias("sales_order_id"), "customer_id", "order_date", "promised_delivery_date")
+    on_time = F.coalesce(F.to_date("arrived_at") <= F.col("promised_delivery_date"), F.lit(False))
+    return _line_arrivals(lines, items, shipments, done_statuses).join(headers, "sales_order_id").withColumn("on_time", on_time)
+
+
+def order_delivery(
+    lines: DataFrame, items: DataFrame, shipments: DataFrame, orders: DataFrame, done_statuses=None,
+    movements: DataFrame | None = None, damage_reasons=(),
+) -> DataFrame:
+    """Orders with at least one line: all lines on time, all in full, last arrival, worst delay, any line damaged.
+
+    Lines are merged per order before they meet the headers, so an order of
+    very many lines is one row in that join.
+    """
+    facts = _line_arrivals(lines, items, shipments, done_statuses)
+    if movements is None:
+        facts = facts.withColumn("damaged", F.lit(False))
+    else:
+        broken = movements.filter(F.col("reason_code").isin(*damage_reasons) & F.col("sales_order_line_id").isNotNull())
+        broken = broken.select(F.col("sales_order_line_id").alias("line_id")).distinct().withColumn("damaged", F.lit(True))
+        facts = facts.join(broken, "line_id", "left")
+    merged = facts.groupBy("sales_order_id").agg(
+        F.min("in_full").alias("in_full"), F.max("arrived_at").alias("arrived_at"),
+        (F.count("arrived_at") == F.count(F.lit(1))).alias("all_arrived"),
+        F.max("worst_delay_hours").alias("worst_delay_hours"), F.coalesce(F.max("damaged"), F.lit(False)).alias("damaged"),
     )
     headers = orders.select(
         F.col("id").alias("sales_order_id"), "customer_id", "order_date", "promised_delivery_date", "priority",
-        "assigned_warehouse_id", number("total_value_sek").alias("total_value_sek"),
-    )
-    return (
-        lines.select(
-            F.col("id").alias("line_id"), "sales_order_id", "product_id", number("ordered_quantity").alias("ordered_quantity"),
-            number("delivered_quantity").alias("delivered_quantity"),
-        )
-        .join(last, "line_id", "left").join(headers, "sales_order_id")
-        .withColumns({
-            "on_time": F.coalesce(F.to_date("arrived_at") <= F.col("promised_delivery_date"), F.lit(False)),
-            "in_full": F.col("delivered_quantity") >= F.col("ordered_quantity"),
-        })
+        number("total_value_sek").alias("total_value_sek"),
     )
+    in_time = F.coalesce(F.to_date("arrived_at") <= F.col("promised_delivery_date"), F.lit(False))
+    return merged.join(headers, "sales_order_id").withColumn("on_time", F.col("all_arrived") & in_time)
 
 
-def order_flags(delivery: DataFrame) -> DataFrame:
-    """One row per order: all lines on time, all lines in full, last arrival, worst delay."""
-    return delivery.groupBy("sales_order_id", "customer_id", "order_date", "priority").agg(
-        F.min("on_time").alias("on_time"), F.min("in_full").alias("in_full"), F.max("arrived_at").alias("arrived_at"),
-        F.max("worst_delay_hours").alias("worst_delay_hours"),
-    )
-
-
-def otif(delivery: DataFrame) -> DataFrame:
-    """Orders on time and in full: in total, by customer, by month."""
-    orders = order_flags(delivery).withColumn("order_month", month_of("order_date"))
-    counted = orders.groupBy("customer_id", "order_month").agg(
+def otif(orders: DataFrame) -> DataFrame:
+    """Orders (order_delivery) on time and in full: in total, by customer, by month."""
+    counted = orders.groupBy("customer_id", month_of("order_date").alias("order_month")).agg(
         F.count(F.lit(1)).alias("n"), count_if(F.col("on_time")).alias("t"), count_if(F.col("in_full")).alias("f"),
         count_if(F.col("on_time") & F.col("in_full")).alias("b"),
     )
@@ -119,11 +135,9 @@ def days_of_inventory(cogs: DataFrame, stock: DataFrame, days: int) -> DataFrame
     ).drop("turnover")
 
 
-def order_cycle_time(delivery: DataFrame, by: list[str]) -> DataFrame:
-    """Days from order to last arrival. Days are whole, so an exact percentile keeps one count per distinct day."""
-    days = order_flags(delivery).filter("arrived_at is not null").withColumn(
-        "days", F.datediff(F.to_date("arrived_at"), "order_date")
-    )
+def order_cycle_time(orders: DataFrame, by: list[str]) -> DataFrame:
+    """Days from order to last arrival (order_delivery). Days are whole, so an exact percentile keeps one count per day."""
+    days = orders.filter("arrived_at is not null").withColumn("days", F.datediff(F.to_date("arrived_at"), "order_date"))
     counted = days.groupBy(*by, "days").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy(*by).agg(
         F.sum("n").alias("orders"), ratio(F.sum(F.col("days") * F.col("n")), F.sum("n")).alias("mean_days"),
@@ -220,19 +234,12 @@ def supplier_reliability(orders: DataFrame, lines: DataFrame, weights: dict[str,
     )
 
 
-def perfect_order_rate(delivery: DataFrame, movements: DataFrame, damage_reasons) -> DataFrame:
-    """OTIF orders without shipment delay and without a damaged line: in total and by month."""
-    damaged = movements.filter(F.col("reason_code").isin(*damage_reasons) & F.col("sales_order_line_id").isNotNull()).select(
-        F.col("sales_order_line_id").alias("line_id")
-    ).distinct().withColumn("damaged", F.lit(True))
-    orders = delivery.join(damaged, "line_id", "left").groupBy("sales_order_id", "order_date").agg(
-        (F.min("on_time") & F.min("in_full")).alias("otif"),
-        (F.coalesce(F.max("worst_delay_hours"), F.lit(0.0)) > 0).alias("delayed"),
-        F.coalesce(F.max("damaged"), F.lit(False)).alias("damaged"),
-    )
+def perfect_order_rate(orders: DataFrame) -> DataFrame:
+    """OTIF orders (order_delivery with movements) without delay or damage: in total and by month."""
+    both = F.col("on_time") & F.col("in_full")
+    undelayed = F.coalesce("worst_delay_hours", F.lit(0.0)) <= 0
     monthly = orders.groupBy(month_of("order_date").alias("order_month")).agg(
-        F.count(F.lit(1)).alias("n"), count_if(F.col("otif")).alias("o"),
-        count_if(F.col("otif") & ~F.col("delayed") & ~F.col("damaged")).alias("p"),
+        F.count(F.lit(1)).alias("n"), count_if(both).alias("o"), count_if(both & undelayed & ~F.col("damaged")).alias("p"),
     )
     return monthly.rollup("order_month").agg(
         F.grouping_id().cast("int").alias("grouping_level"), F.sum("n").alias("orders"), F.sum("o").alias("otif_orders"),

@@ -60,11 +60,11 @@ def robust_anomalies(df: DataFrame, keys: list[str], value: str, cut_off: float)
     """
     measured = df.filter(F.col(value).isNotNull())
     medians = exact_percentiles(measured, keys, value, {"median": 0.5})
-    apart = measured.join(medians, keys).withColumn("deviation", F.abs(number(value) - F.col("median")))
+    apart = measured.join(medians, keys).select(*keys, F.abs(number(value) - F.col("median")).alias("deviation"))
     spreads = exact_percentiles(apart, keys, "deviation", {"mad": 0.5})
-    return apart.join(spreads, keys).filter(
-        F.when(F.col("mad") == 0, F.col("deviation") > 0).otherwise(F.col("deviation") > cut_off * F.col("mad"))
-    )
+    # one join of the rows with both measures, so a large group can still be split
+    judged = measured.join(medians.join(spreads, keys), keys).withColumn("deviation", F.abs(number(value) - F.col("median")))
+    return judged.filter(F.when(F.col("mad") == 0, F.col("deviation") > 0).otherwise(F.col("deviation") > cut_off * F.col("mad")))
 
 
 def customer_facts(orders: DataFrame, as_of) -> DataFrame:
@@ -115,9 +115,10 @@ def late_shipment_alerts(shipments: DataFrame, items: DataFrame, products: DataF
     """Late shipments; the impact is the sales value on board."""
     late = shipments.filter(number("delay_hours") > least_hours).select(F.col("id").alias("shipment_id"), "delay_hours")
     prices = products.select(F.col("id").alias("product_id"), number("selling_price_sek").alias("price"))
-    aboard = items.join(late, "shipment_id").groupBy("shipment_id", "product_id", "delay_hours").agg(
-        F.sum(decimal("quantity")).cast("double").alias("q")
-    ).join(prices, "product_id").groupBy("shipment_id", "delay_hours").agg(exact_sum(F.col("q") * F.col("price")).alias("impact"))
+    loads = items.groupBy("shipment_id", "product_id").agg(F.sum(decimal("quantity")).cast("double").alias("q"))
+    aboard = loads.join(prices, "product_id").groupBy("shipment_id").agg(
+        exact_sum(F.col("q") * F.col("price")).alias("impact")
+    ).join(late, "shipment_id")
     return _alert(aboard, "late shipment", F.col("shipment_id"), F.col("delay_hours"), F.col("impact"))
 
 

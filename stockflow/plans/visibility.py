@@ -91,17 +91,14 @@ def port_congestion(events: DataFrame) -> DataFrame:
     return present.filter("present > 0").select("location_id", hours.alias("hour"), "present")
 
 
-def delayed_orders(delivery: DataFrame, purchases: DataFrame, as_of) -> DataFrame:
-    """Sales orders past their promised date and purchases past their confirmed date, highest value first.
+def delayed_orders(orders: DataFrame, purchases: DataFrame, as_of) -> DataFrame:
+    """Sales orders (order_delivery) past their promised date and purchases past their confirmed date, highest value first.
 
     A sales order is judged at its last arrival, or at the given day while a line is still to arrive.
     """
-    seen = delivery.groupBy("sales_order_id", "promised_delivery_date", "total_value_sek").agg(
-        F.when(F.count("arrived_at") == F.count(F.lit(1)), F.max("arrived_at")).alias("arrived_at")
-    )
-    sales = seen.select(
+    sales = orders.select(
         F.lit("sales").alias("kind"), F.col("sales_order_id").alias("id"), F.col("promised_delivery_date").alias("due_date"),
-        F.coalesce(F.to_date("arrived_at"), F.lit(as_of).cast("date")).alias("seen_on"),
+        F.when(F.col("all_arrived"), F.to_date("arrived_at")).otherwise(F.lit(as_of).cast("date")).alias("seen_on"),
         F.col("total_value_sek").alias("value_sek"),
     )
     bought = purchases.select(
