@@ -13,19 +13,20 @@ REQUIRED = ("user", "password", "host", "port", "dbname", "sslmode")
 
 
 def connection_settings(ini_path, section: str = "postgresql") -> dict[str, str]:
-    """The non-empty settings of one ini section. `database` stands in for a missing `dbname`."""
+    """The REQUIRED settings of one ini section. An empty value counts as missing; `database` stands in for `dbname`.
+
+    A missing file raises FileNotFoundError, a missing section or setting KeyError.
+    """
     ini = ConfigParser()
-    if not ini.read(ini_path):
-        raise FileNotFoundError(f"no ini file at {ini_path}")
-    if section not in ini:
-        raise KeyError(f"no section {section!r} in {ini_path}")
-    settings = {name: value for name, value in ini[section].items() if value}
-    if "dbname" not in settings and "database" in settings:
-        settings["dbname"] = settings.pop("database")
-    missing = [name for name in REQUIRED if name not in settings]
+    with open(ini_path) as text:
+        ini.read_file(text)
+    given = ini[section]
+    found = {name: given.get(name) for name in REQUIRED}
+    found["dbname"] = found["dbname"] or given.get("database")
+    missing = ", ".join(name for name in REQUIRED if not found[name])
     if missing:
-        raise KeyError(f"settings missing in {ini_path} [{section}]: {', '.join(missing)}")
-    return settings
+        raise KeyError(f"[{section}] of {ini_path} lacks {missing}")
+    return found
 
 
 def jdbc_options(table: str, ini_path, section: str = "postgresql") -> dict[str, str]:

@@ -26,14 +26,15 @@ def test_jdbc_options(tmp_path):
     assert options["url"] == "jdbc:postgresql://db.example:5433/chain?sslmode=require"
     assert options["user"] == "reader" and '"supplier_id"' in options["dbtable"]
     settings = jdbc.connection_settings(ini)
-    assert "empty" not in settings and "database" not in settings and settings["dbname"] == "chain"
+    assert sorted(settings) == sorted(jdbc.REQUIRED) and settings["dbname"] == "chain"
 
 
 def test_jdbc_dbname_wins(tmp_path):
     ini = tmp_path / "database.ini"
     ini.write_text(INI + "dbname = other\n")
     assert jdbc.connection_settings(ini)["dbname"] == "other"
-    assert jdbc.connection_settings(ini)["database"] == "chain"
+    ini.write_text(INI + "dbname =\n")
+    assert jdbc.connection_settings(ini)["dbname"] == "chain"
 
 
 def test_jdbc_errors(tmp_path):
