@@ -12,11 +12,15 @@ def top_delays(shipments: DataFrame, k: int) -> DataFrame:
 
 
 def location_usage(shipments: DataFrame) -> DataFrame:
-    """Locations used as origin only, destination only, or both."""
-    origins = shipments.select(F.col("origin_location_id").alias("location_id")).distinct()
-    destinations = shipments.select(F.col("destination_location_id").alias("location_id")).distinct()
-    return (
-        origins.subtract(destinations).withColumn("usage", F.lit("origin"))
-        .union(destinations.subtract(origins).withColumn("usage", F.lit("destination")))
-        .union(origins.intersect(destinations).withColumn("usage", F.lit("both")))
-    )
+    """Locations used as origin only, destination only, or both.
+
+    Membership in both sets comes from one pass and one aggregation, where
+    except and intersect would read the shipments once per operand.
+    """
+    ends = shipments.select(F.explode(F.array(
+        F.struct(F.col("origin_location_id").alias("location_id"), F.lit(True).alias("origin")),
+        F.struct(F.col("destination_location_id").alias("location_id"), F.lit(False).alias("origin")),
+    )).alias("e"))
+    sets = ends.groupBy("e.location_id").agg(F.bool_or("e.origin").alias("starts"), F.bool_or(~F.col("e.origin")).alias("ends"))
+    usage = F.when(F.col("starts") & F.col("ends"), "both").when(F.col("starts"), "origin").otherwise("destination")
+    return sets.select("location_id", usage.alias("usage"))

@@ -35,9 +35,11 @@ def _offsets(dimensions: int) -> list[tuple[int, ...]]:
     return [s for s in steps if any(s) and sum(max(abs(x) - 1, 0) ** 2 for x in s) <= dimensions]
 
 
-def _cells_around(dimensions: int) -> Column:
-    """The neighbour cells of the array column cell."""
-    return F.array(*[F.array(*[F.col("cell")[i] + s for i, s in enumerate(step)]) for step in _offsets(dimensions)])
+def _with_cells_around(df: DataFrame, dimensions: int) -> DataFrame:
+    """Each row once per neighbour cell2 of its cell."""
+    steps = F.expr("array(" + ", ".join(f"array({', '.join(map(str, s))})" for s in _offsets(dimensions)) + ")")
+    moved = F.array(*[F.col("cell")[i] + F.col("_step")[i] for i in range(dimensions)])
+    return df.withColumn("_step", F.explode(steps)).withColumn("cell2", moved).drop("_step")
 
 
 def _distance_squared(a: Column, b: Column, dimensions: int) -> Column:
@@ -75,7 +77,7 @@ def _full_cell_edges(full: DataFrame, eps: float, dimensions: int, levels: int =
     square = eps * eps
     cells = full.select("cell").distinct()
     open_ = cut(
-        cells.select("cell", F.explode(_cells_around(dimensions)).alias("cell2")).filter(F.col("cell") < F.col("cell2"))
+        _with_cells_around(cells, dimensions).filter(F.col("cell") < F.col("cell2"))
         .join(_side(cells, {"cell": "cell2"}), "cell2", "left_semi").select("cell", "cell2")
     )
     touching, parents, width = [], None, eps / math.sqrt(dimensions)
@@ -156,7 +158,7 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float, min_points:
     # thin points with everything within eps outside their cell; the cell itself is all within eps
     other = {"cell": "cell2", "x": "x2", "point": "point2", "weight": "weight2", "cell_weight": "cell_weight2"}
     near = cut(
-        thin.withColumn("cell2", F.explode(_cells_around(dimensions))).join(_side(points, other), "cell2")
+        _with_cells_around(thin, dimensions).join(_side(points, other), "cell2")
         .filter(_distance_squared(F.col("x"), F.col("x2"), dimensions) <= square)
         .select("point", "cell", "cell_weight", "point2", "cell2", "weight2", "cell_weight2")
     )
