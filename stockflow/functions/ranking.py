@@ -16,33 +16,42 @@ def newest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_place", F.row_number().over(window)).filter("_place = 1").drop("_place")
 
 
-def global_row_number(df: DataFrame, value: str, key: str, out: str, bins: int = 200) -> DataFrame:
+def _edges(value: str, bins: int) -> Column:
+    return F.percentile_approx(F.col(value).cast("double"), [i / bins for i in range(1, bins)], 10 * bins)
+
+
+def global_row_number(
+    df: DataFrame, value: str, key: str, out: str, bins: int = 200, edges: list[float] | None = None,
+    counted: DataFrame | None = None,
+) -> DataFrame:
     """Add the 1-based place of each row over the whole table, by (value, md5(key), key).
 
     A sketch gives bin edges, which only balance the work. Values equal to an
     edge get bins of their own, cut further by the hash, so one value held by
     many rows is also spread. Rows are numbered inside a bin and shifted by the
-    counts of the bins before it.
+    counts of the bins before it. `counted` gives the same rows by a shorter way,
+    for those counts.
     """
-    steps = [i / bins for i in range(1, bins)]
-    edges = sorted(set(df.select(F.percentile_approx(F.col(value).cast("double"), steps, 10 * bins)).first()[0] or []))
+    edges = sorted(set((df.select(_edges(value, bins)).first()[0] if edges is None else edges) or []))
     if not edges:
         return df.withColumn(out, F.lit(None).cast("long"))
     points = F.array(*[F.lit(float(e)) for e in edges])
     number = F.col(value).cast("double")
     below = F.size(F.filter(points, lambda e: e < number))
     on_edge = F.array_contains(points, number)
-    rows = (
-        df.withColumn("_hash", F.md5(F.col(key).cast("string")))
-        .withColumn("_bin", 2 * below + on_edge.cast("int"))
-        .withColumn("_slice", F.when(on_edge, F.substring("_hash", 1, 2)).otherwise(""))
-    )
-    sizes = rows.groupBy("_bin", "_slice").agg(F.count(F.lit(1)).alias("_size"))
+
+    def binned(rows: DataFrame) -> DataFrame:
+        hashed = rows.withColumn("_hash", F.md5(F.col(key).cast("string")))
+        sliced = F.when(on_edge, F.substring("_hash", 1, 2)).otherwise("")
+        return hashed.withColumn("_bin", 2 * below + on_edge.cast("int")).withColumn("_slice", sliced)
+
+    source = df if counted is None else counted
+    sizes = binned(source.select(key, value)).groupBy("_bin", "_slice").agg(F.count(F.lit(1)).alias("_size"))
     # at most 2·bins + 256 slices per edge value: a bounded table, whatever the data
     before = Window.orderBy("_bin", "_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_bin", "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("_bin", "_slice").orderBy(value, "_hash", key)
-    placed = rows.withColumn("_place", F.row_number().over(inside)).join(offsets, ["_bin", "_slice"])
+    placed = binned(df).withColumn("_place", F.row_number().over(inside)).join(offsets, ["_bin", "_slice"])
     return placed.withColumn(out, (F.col("_place") + F.col("_offset")).cast("long")).select(*df.columns, out)
 
 
@@ -58,6 +67,16 @@ def tile(place: Column, total: Column, tiles: int) -> Column:
     )
 
 
+def with_tiles(df: DataFrame, tiles: dict[str, str], key: str, count: int, bins: int = 200) -> DataFrame:
+    """Add ntiles over the whole table ({new name: value}), each by (value, md5(key), key)."""
+    facts = df.agg(F.count(F.lit(1)).alias("n"), *[_edges(v, bins).alias(out) for out, v in tiles.items()]).first()
+    plain = df
+    for out, value in tiles.items():
+        placed = global_row_number(df, value, key, "_row", bins, facts[out], plain)
+        df = placed.withColumn(out, tile(F.col("_row"), F.lit(facts["n"]), count)).drop("_row")
+    return df
+
+
 _SALTS = 16
 
 

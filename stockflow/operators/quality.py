@@ -29,6 +29,12 @@ def not_null_violations(tables: dict[str, DataFrame]) -> DataFrame:
     return union_all(reports)
 
 
+def _named(numbered: DataFrame, names: list[dict[str, str]]) -> DataFrame:
+    """Replace the number column `_ref` by the names it stands for: rows are counted by number, not by long names."""
+    listed = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in row.items()]) for row in names])
+    return numbered.withColumn("_names", listed[F.col("_ref")]).select("_names.*", *[c for c in numbered.columns if c != "_ref"])
+
+
 def key_duplicates(keys: list[tuple[str, DataFrame, list[str]]], rule: str) -> DataFrame:
     """Values of keys (table name, rows, one or more columns) that are null or occur more than once.
 
@@ -36,13 +42,13 @@ def key_duplicates(keys: list[tuple[str, DataFrame, list[str]]], rule: str) -> D
     """
     tagged = [
         df.select(
-            F.lit(name).alias("table_name"), F.lit("+".join(key)).alias("column_name"),
-            (F.concat_ws("|", *key) if len(key) > 1 else F.col(key[0]).cast("string")).alias("key"),
+            F.lit(i).alias("_ref"), (F.concat_ws("|", *key) if len(key) > 1 else F.col(key[0]).cast("string")).alias("key")
         )
-        for name, df, key in keys
+        for i, (_, df, key) in enumerate(keys)
     ]
-    counted = union_all(tagged).groupBy("table_name", "column_name", "key").agg(F.count(F.lit(1)).alias("occurrences"))
-    return counted.filter("occurrences > 1 or key is null").withColumn("rule", F.lit(rule))
+    counted = union_all(tagged).groupBy("_ref", "key").agg(F.count(F.lit(1)).alias("occurrences"))
+    names = [{"table_name": name, "rule": rule, "column_name": "+".join(key)} for name, _, key in keys]
+    return _named(counted.filter("occurrences > 1 or key is null"), names)
 
 
 def pk_duplicates(tables: dict[str, DataFrame]) -> DataFrame:
@@ -64,28 +70,18 @@ def fk_orphans(tables: dict[str, DataFrame]) -> DataFrame:
     rows is one row in the join.
     """
     keys = [k for k in schema.foreign_keys() if k.child in tables and k.parent in tables]
-    used = union_all(
-        [
-            tables[child].select(
-                F.explode(
-                    F.array(*[
-                        F.struct(F.lit(k.parent).alias("parent"), F.lit(child).alias("table_name"),
-                                 F.lit(k.column).alias("column_name"), F.col(k.column).alias("key"))
-                        for k in keys if k.child == child
-                    ])
-                ).alias("r")
-            ).select("r.*")
-            for child in dict.fromkeys(k.child for k in keys)
+    parents = list(dict.fromkeys(k.parent for k in keys))
+    used = []
+    for child in dict.fromkeys(k.child for k in keys):
+        refs = [
+            F.struct(F.lit(i).alias("_ref"), F.lit(parents.index(k.parent)).alias("_parent"), F.col(k.column).alias("key"))
+            for i, k in enumerate(keys) if k.child == child
         ]
-    )
-    counted = (
-        used.filter("key is not null").groupBy("parent", "table_name", "column_name", "key")
-        .agg(F.count(F.lit(1)).alias("orphan_rows"))
-    )
-    parents = union_all(
-        [tables[p].select(F.lit(p).alias("parent"), F.col("id").alias("key")) for p in dict.fromkeys(k.parent for k in keys)]
-    )
-    return counted.join(parents, ["parent", "key"], "left_anti").withColumnRenamed("parent", "parent_table")
+        used.append(tables[child].select(F.inline(F.array(*refs))))
+    counted = union_all(used).filter("key is not null").groupBy("_ref", "_parent", "key").agg(F.count(F.lit(1)).alias("orphan_rows"))
+    known = union_all([tables[p].select(F.lit(i).alias("_parent"), F.col("id").alias("key")) for i, p in enumerate(parents)])
+    names = [{"parent_table": k.parent, "table_name": k.child, "column_name": k.column} for k in keys]
+    return _named(counted.join(known, ["_parent", "key"], "left_anti").drop("_parent"), names)
 
 
 def _set_count(columns: list[str]) -> Column:

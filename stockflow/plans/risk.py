@@ -9,18 +9,11 @@ from pyspark.sql import functions as F
 
 from stockflow.functions.exact import count_if, decimal, exact_sum, ratio
 from stockflow.functions.measures import number
-from stockflow.functions.ranking import exact_percentiles, global_row_number, tile
+from stockflow.functions.ranking import exact_percentiles, with_tiles
 from stockflow.plans.visibility import current_balances
 from stockflow.session import cut
 
 
-def with_tile(df: DataFrame, value: str, key: str, out: str, tiles: int) -> DataFrame:
-    """The ntile of each row over the whole table by (value, md5(key), key), without a one-task sort."""
-    total = df.count()
-    placed = global_row_number(df, value, key, "_row")
-    return placed.withColumn(out, tile(F.col("_row"), F.lit(total), tiles)).drop("_row")
-
-
 def risk_rules(
     suppliers: DataFrame, reliability: DataFrame, offers: DataFrame, balances: DataFrame, weights: dict[str, float], high_tiers
 ) -> DataFrame:
@@ -50,7 +43,7 @@ def risk_rules(
             + weights["single"] * F.col("single_rate") + weights["tier"] * F.col("tier_flag") + weights["cover"] * F.col("short_rate"),
         )
     )
-    return with_tile(cut(scored), "risk_points", "supplier_id", "risk_quintile", 5)
+    return with_tiles(cut(scored), {"risk_quintile": "risk_points"}, "supplier_id", 5)
 
 
 def robust_anomalies(df: DataFrame, keys: list[str], value: str, cut_off: float) -> DataFrame:
@@ -79,10 +72,9 @@ def customer_facts(orders: DataFrame, as_of) -> DataFrame:
 
 def customer_segments(orders: DataFrame, as_of) -> DataFrame:
     """Customer facts with quintiles; 5 is the most recent, most frequent, most valuable fifth."""
-    out = cut(customer_facts(orders, as_of)).withColumn("_recent", -F.col("recency_days"))
-    for value, name in (("_recent", "recency_quintile"), ("orders", "frequency_quintile"), ("value_sek", "value_quintile")):
-        out = with_tile(out, value, "customer_id", name, 5)
-    return out.drop("_recent")
+    facts = cut(customer_facts(orders, as_of)).withColumn("_recent", -F.col("recency_days"))
+    tiles = {"recency_quintile": "_recent", "frequency_quintile": "orders", "value_quintile": "value_sek"}
+    return with_tiles(facts, tiles, "customer_id", 5).drop("_recent")
 
 
 def root_cause(
