@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,18 +35,19 @@ def global_row_number(
     counts of the bins before it. `counted` gives the same rows by a shorter way,
     for those counts.
     """
-    edges = sorted(set((df.select(_edges(value, bins)).first()[0] if edges is None else edges) or []))
-    if not edges:
-        return df.withColumn(out, F.lit(None).cast("long"))
+    edges = (df.select(_edges(value, bins)).first()[0] if edges is None else edges) or []
+    edges = sorted({e for e in edges if math.isfinite(e)} or {0.0})
+    # the number of edges at or below the value, found by binary search
+    bucket = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="_number", outputCol="_bucket", handleInvalid="keep")
     points = F.array(*[F.lit(float(e)) for e in edges])
-    number = F.col(value).cast("double")
-    below = F.size(F.filter(points, lambda e: e < number))
-    on_edge = F.array_contains(points, number)
 
     def binned(rows: DataFrame) -> DataFrame:
-        hashed = rows.withColumn("_hash", F.md5(F.col(key).cast("string")))
-        sliced = F.when(on_edge, F.substring("_hash", 1, 2)).otherwise("")
-        return hashed.withColumn("_bin", 2 * below + on_edge.cast("int")).withColumn("_slice", sliced)
+        numbered = rows.withColumn("_number", F.col(value).cast("double")).withColumn("_hash", F.md5(F.col(key).cast("string")))
+        upto = F.coalesce(F.col("_bucket").cast("int"), F.lit(0))  # nulls come first
+        on_edge = F.coalesce(F.get(points, upto - 1) == F.col("_number"), F.lit(False))
+        return bucket.transform(numbered).withColumns({
+            "_bin": 2 * upto - on_edge.cast("int"), "_slice": F.when(on_edge, F.substring("_hash", 1, 2)).otherwise(""),
+        }).drop("_number", "_bucket")
 
     source = df if counted is None else counted
     sizes = binned(source.select(key, value)).groupBy("_bin", "_slice").agg(F.count(F.lit(1)).alias("_size"))

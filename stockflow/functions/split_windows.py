@@ -1,19 +1,24 @@
 """Ordered windows that survive a very large key.
 
-A plain window sorts all rows of a key in one task. Here each key is cut into
-chunks along its order (days, or ranges of a number). The window runs inside a
-chunk, one small row per key and chunk carries the state across, and both meet
-in a join on (key, chunk). Results equal those of the plain window.
+A plain window sorts all rows of a key in one task. That is kept for keys of up
+to MAX_GROUP_ROWS. A larger key is cut into chunks along its order (days, or
+ranges of a number): the window runs inside a chunk, one small row per key and
+chunk carries the state across, and both meet in a join on (key, chunk).
+Results equal those of the plain window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from stockflow.functions.exact import decimal
+from stockflow.session import cut
 
 CHUNK = "_chunk"
+MAX_GROUP_ROWS = 2_000_000
 
 
 def day_chunk(column, days: int = 1) -> Column:
@@ -26,50 +31,90 @@ def number_chunk(column, width: int) -> Column:
     return F.floor(column / width)
 
 
-def _inside(keys, order):
-    return Window.partitionBy(*keys, CHUNK).orderBy(*order)
+def _upto(window: WindowSpec) -> WindowSpec:
+    return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _by_size(
+    df: DataFrame, keys: list[str], largest: int | None, plain: Callable[[DataFrame], DataFrame],
+    split: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Plain for all rows but those of keys with more than `largest` rows (counted first), split for these."""
+    limit = MAX_GROUP_ROWS if largest is None else largest
+    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit).select(*keys)
+    if big.isEmpty():
+        return plain(df)
+    big = cut(big)
+    return plain(df.join(big, keys, "left_anti")).unionByName(split(df.join(big, keys, "left_semi")))
 
 
-def _across(keys):
-    return Window.partitionBy(*keys).orderBy(CHUNK)
+def _chunked(df: DataFrame, keys: list[str], chunk: Column, order: list[str]):
+    """Rows with their chunk, the window inside a chunk, and the window over the chunks of a key."""
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    return df.withColumn(CHUNK, chunk), inside, Window.partitionBy(*keys).orderBy(CHUNK)
 
 
 def running_sums(
-    df: DataFrame, keys: list[str], chunk: Column, order: list[str], sums: dict[str, Column], scale: int = 4
+    df: DataFrame, keys: list[str], chunk: Column, order: list[str], sums: dict[str, Column], scale: int = 4,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add, per key in the given order, the sum of each column up to and including the row."""
-    rows = df.withColumn(CHUNK, chunk)
-    local = _inside(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*keys, CHUNK).agg(*[F.sum(decimal(c, scale)).alias(f"_t_{n}") for n, c in sums.items()])
-    carry = totals.select(*keys, CHUNK, *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums])
-    inside = rows.withColumns({f"_l_{n}": F.sum(decimal(c, scale)).over(local) for n, c in sums.items()})
-    joined = inside.join(carry, [*keys, CHUNK], "left")
-    out = {n: (F.col(f"_l_{n}") + F.coalesce(f"_c_{n}", F.lit(0))).cast("double") for n in sums}
-    return joined.withColumns(out).select(*df.columns, *sums)
+    amounts = {n: decimal(c, scale) for n, c in sums.items()}
+
+    def plain(rows):
+        window = _upto(Window.partitionBy(*keys).orderBy(*order))
+        return rows.select(*df.columns, *[F.sum(a).over(window).cast("double").alias(n) for n, a in amounts.items()])
+
+    def split(rows):
+        rows, inside, across = _chunked(rows, keys, chunk, order)
+        totals = rows.groupBy(*keys, CHUNK).agg(*[F.sum(a).alias(f"_t_{n}") for n, a in amounts.items()])
+        before = across.rowsBetween(Window.unboundedPreceding, -1)
+        carry = totals.select(*keys, CHUNK, *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums])
+        local = rows.withColumns({f"_l_{n}": F.sum(a).over(_upto(inside)) for n, a in amounts.items()})
+        out = [(F.col(f"_l_{n}") + F.coalesce(f"_c_{n}", F.lit(0))).cast("double").alias(n) for n in sums]
+        return local.join(carry, [*keys, CHUNK], "left").select(*df.columns, *out)
+
+    return _by_size(df, keys, largest, plain, split)
 
 
 def previous_row(
-    df: DataFrame, keys: list[str], chunk: Column, order: list[str], previous: dict[str, str]
+    df: DataFrame, keys: list[str], chunk: Column, order: list[str], previous: dict[str, str], largest: int | None = None
 ) -> DataFrame:
     """Add the named columns of the row before, per key in the given order ({new name: column})."""
-    rows = df.withColumn(CHUNK, chunk).withColumn("_row", F.struct(*[F.col(c).alias(n) for n, c in previous.items()]))
-    ends = rows.groupBy(*keys, CHUNK).agg(F.max_by("_row", F.struct(*order)).alias("_end"))
-    carry = ends.select(*keys, CHUNK, F.lag("_end").over(_across(keys)).alias("_carry"))
-    inside = rows.withColumn("_before", F.lag("_row").over(_inside(keys, order)))
-    joined = inside.join(carry, [*keys, CHUNK], "left").withColumn("_before", F.coalesce("_before", "_carry"))
-    return joined.select(*df.columns, *[F.col(f"_before.{n}").alias(n) for n in previous])
 
+    def plain(rows):
+        window = Window.partitionBy(*keys).orderBy(*order)
+        return rows.select(*df.columns, *[F.lag(c).over(window).alias(n) for n, c in previous.items()])
+
+    def split(rows):
+        rows, inside, across = _chunked(rows, keys, chunk, order)
+        rows = rows.withColumn("_row", F.struct(*[F.col(c).alias(n) for n, c in previous.items()]))
+        ends = rows.groupBy(*keys, CHUNK).agg(F.max_by("_row", F.struct(*order)).alias("_end"))
+        carry = ends.select(*keys, CHUNK, F.lag("_end").over(across).alias("_carry"))
+        joined = rows.withColumn("_before", F.lag("_row").over(inside)).join(carry, [*keys, CHUNK], "left")
+        joined = joined.withColumn("_before", F.coalesce("_before", "_carry"))
+        return joined.select(*df.columns, *[F.col(f"_before.{n}").alias(n) for n in previous])
+
+    return _by_size(df, keys, largest, plain, split)
 
-def last_known(df: DataFrame, keys: list[str], chunk: Column, order: list[str], value: str, out: str) -> DataFrame:
+
+def last_known(
+    df: DataFrame, keys: list[str], chunk: Column, order: list[str], value: str, out: str, largest: int | None = None
+) -> DataFrame:
     """Add the newest non-null value at or before the row, per key in the given order."""
-    rows = df.withColumn(CHUNK, chunk)
-    local = _inside(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
-    ends = rows.groupBy(*keys, CHUNK).agg(
-        F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_end")
-    )
-    carry = ends.select(*keys, CHUNK, F.last("_end", ignorenulls=True).over(before).alias("_carry"))
-    inside = rows.withColumn("_local", F.last(value, ignorenulls=True).over(local))
-    joined = inside.join(carry, [*keys, CHUNK], "left")
-    return joined.withColumn(out, F.coalesce("_local", "_carry")).select(*df.columns, out)
+
+    def plain(rows):
+        window = _upto(Window.partitionBy(*keys).orderBy(*order))
+        return rows.select(*df.columns, F.last(value, ignorenulls=True).over(window).alias(out))
+
+    def split(rows):
+        rows, inside, across = _chunked(rows, keys, chunk, order)
+        known = F.when(F.col(value).isNotNull(), F.struct(*order))
+        ends = rows.groupBy(*keys, CHUNK).agg(F.max_by(value, known).alias("_end"))
+        before = across.rowsBetween(Window.unboundedPreceding, -1)
+        carry = ends.select(*keys, CHUNK, F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+        local = rows.withColumn("_local", F.last(value, ignorenulls=True).over(_upto(inside)))
+        joined = local.join(carry, [*keys, CHUNK], "left")
+        return joined.select(*df.columns, F.coalesce("_local", "_carry").alias(out))
+
+    return _by_size(df, keys, largest, plain, split)

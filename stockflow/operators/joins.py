@@ -75,7 +75,7 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], day: str,
 
 def as_of(
     requests: DataFrame, facts: DataFrame, keys: list[str], request_time: str, fact_time: str,
-    fact_id: str, values: list[str], chunk_days: int = 1,
+    fact_id: str, values: list[str], chunk_days: int = 1, largest: int | None = None,
 ) -> DataFrame:
     """Each request with the values of the newest fact at or before its time (the higher id at equal times)."""
     asked = requests.select(
@@ -87,14 +87,14 @@ def as_of(
         F.struct(F.col(fact_time).alias("as_of_time"), *values).alias("_fact"),
     )
     both = asked.unionByName(facts_, allowMissingColumns=True)
-    known = last_known(both, keys, day_chunk("_time", chunk_days), ["_time", "_side", "_tie"], "_fact", "_found")
+    known = last_known(both, keys, day_chunk("_time", chunk_days), ["_time", "_side", "_tie"], "_fact", "_found", largest)
     return known.filter("_side = 1").select("_request.*", "_found.*")
 
 
-def stock_as_of(movements: DataFrame, snapshots: DataFrame) -> DataFrame:
+def stock_as_of(movements: DataFrame, snapshots: DataFrame, largest: int | None = None) -> DataFrame:
     """Stock on hand by the last snapshot at or before the day of each movement."""
     requests = movements.select("id", "product_id", "location_id", F.to_date("event_timestamp").alias("moved_on"))
-    return as_of(requests, snapshots, ["product_id", "location_id"], "moved_on", "snapshot_date", "id", ["on_hand_quantity"])
+    return as_of(requests, snapshots, ["product_id", "location_id"], "moved_on", "snapshot_date", "id", ["on_hand_quantity"], largest=largest)
 
 
 def unfulfilled(

@@ -230,12 +230,12 @@ def derived_columns_check(tables: dict[str, DataFrame], tolerance: float = 0.01)
     return union_all(reports)
 
 
-def sequence_gaps(events: DataFrame, chunk_width: int = 1000) -> DataFrame:
+def sequence_gaps(events: DataFrame, chunk_width: int = 1000, largest: int | None = None) -> DataFrame:
     """Events whose number skips, repeats, or goes back in time against the event before (by number, then id)."""
     pairs = previous_row(
         events.select("id", "shipment_id", "event_sequence", "event_timestamp"), ["shipment_id"],
         number_chunk("event_sequence", chunk_width), ["event_sequence", "id"],
-        {"previous_sequence": "event_sequence", "previous_timestamp": "event_timestamp"},
+        {"previous_sequence": "event_sequence", "previous_timestamp": "event_timestamp"}, largest,
     )
     step = F.col("event_sequence") - F.col("previous_sequence")
     return (

@@ -35,8 +35,8 @@ def test_sequence_gaps(spark):
     t = lambda h: datetime(2024, 1, 1, h)
     rows = [("a", "s", 1, t(1)), ("b", "s", 2, t(3)), ("c", "s", 2, t(4)), ("d", "s", 5, t(2)), ("e", "s", 6, t(6)), ("f", "r", 9, t(1))]
     df = spark.createDataFrame(rows, "id string, shipment_id string, event_sequence int, event_timestamp timestamp")
-    for width in (1, 3, 1000):
-        got = {r.id: (r.missing, r.repeated, r.time_reversed) for r in quality.sequence_gaps(df, width).collect()}
+    for width, largest in ((1, 0), (3, 2), (1000, None)):
+        got = {r.id: (r.missing, r.repeated, r.time_reversed) for r in quality.sequence_gaps(df, width, largest).collect()}
         assert got == {"c": (0, True, False), "d": (2, False, True)}
 
 
@@ -146,8 +146,9 @@ def test_anomaly_among_equal_values(spark):
 def test_event_gaps_and_late_records(spark):
     t = lambda d, h: datetime(2024, 1, d, h)
     df = spark.createDataFrame([("c", "s", t(3, 0)), ("a", "s", t(1, 0)), ("b", "s", t(1, 6))], "id string, shipment_id string, event_timestamp timestamp")
-    got = {r.id: r.gap_seconds for r in windows.event_gaps(df).collect()}
-    assert got == {"a": None, "b": 6 * 3600.0, "c": 42 * 3600.0}
+    for largest in (0, None):
+        got = {r.id: r.gap_seconds for r in windows.event_gaps(df, largest=largest).collect()}
+        assert got == {"a": None, "b": 6 * 3600.0, "c": 42 * 3600.0}
     assert windows.longest_gaps(df).first().longest_gap_seconds == 42 * 3600.0
 
 
@@ -195,3 +196,17 @@ def test_cheapest_route(spark):
     )
     got = {(r.origin, r.destination): (r.cost_sek, r.via_location_id) for r in eta.two_leg_routes(df).collect()}
     assert got["a", "c"] == (20.0, "b") and got["b", "d"] == (11.0, "c") and got["a", "b"] == (10.0, None)
+
+
+def test_stock_as_of_takes_the_last_snapshot_at_or_before(spark):
+    movements = spark.createDataFrame(
+        [(f"m{d}", "p", "l", datetime(2024, 1, d, 12)) for d in (1, 2, 3, 9)] + [("other", "q", "l", datetime(2024, 1, 5))],
+        "id string, product_id string, location_id string, event_timestamp timestamp",
+    )
+    snapshots = spark.createDataFrame(
+        [("s2", "p", "l", date(2024, 1, 2), 5.0), ("s2b", "p", "l", date(2024, 1, 2), 6.0), ("s8", "p", "l", date(2024, 1, 8), 7.0)],
+        "id string, product_id string, location_id string, snapshot_date date, on_hand_quantity double",
+    )
+    for largest in (0, None):
+        got = {r.id: r.on_hand_quantity for r in joins.stock_as_of(movements, snapshots, largest).collect()}
+        assert got == {"m1": None, "m2": 6.0, "m3": 6.0, "m9": 7.0, "other": None}

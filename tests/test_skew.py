@@ -26,20 +26,23 @@ def test_running_sum(spark):
     df = _hot(spark)
     plain = Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
     expected = df.withColumn("s", F.sum(F.col("v").cast("decimal(18,4)")).over(plain).cast("double"))
-    _same(running_sums(df, ["k"], number_chunk("t", 50), ["t", "id"], {"s": F.col("v")}), expected, ["id", "s"])
+    for largest in (0, 500, None):  # all keys split, only the hot one, none
+        _same(running_sums(df, ["k"], number_chunk("t", 50), ["t", "id"], {"s": F.col("v")}, largest=largest), expected, ["id", "s"])
 
 
 def test_previous_row(spark):
     df = _hot(spark)
     expected = df.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy("t", "id")))
-    _same(previous_row(df, ["k"], number_chunk("t", 13), ["t", "id"], {"p": "v"}), expected, ["id", "p"])
+    for largest in (0, 500, None):
+        _same(previous_row(df, ["k"], number_chunk("t", 13), ["t", "id"], {"p": "v"}, largest), expected, ["id", "p"])
 
 
 def test_last_known(spark):
     df = _hot(spark).withColumn("v", F.when(F.col("id") % 7 == 0, F.col("v")))
     plain = Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
     expected = df.withColumn("l", F.last("v", ignorenulls=True).over(plain))
-    _same(last_known(df, ["k"], number_chunk("t", 20), ["t", "id"], "v", "l"), expected, ["id", "l"])
+    for largest in (0, 500, None):
+        _same(last_known(df, ["k"], number_chunk("t", 20), ["t", "id"], "v", "l", largest), expected, ["id", "l"])
 
 
 def test_day_chunk(spark):
@@ -77,3 +80,8 @@ def test_percentiles_are_exact(spark):
             values = pdf.loc[pdf["k"] == r.k, "v"].to_numpy()
             for name, p in probabilities.items():
                 assert abs(r[name] - np.quantile(values, p)) < 1e-9, (r.k, name)
+
+
+def test_global_rank_puts_nulls_first(spark):
+    df = spark.createDataFrame([("a", None), ("b", 2.0), ("c", 1.0)], "id string, v double")
+    assert {r.id: r.n for r in global_row_number(df, "v", "id", "n").collect()} == {"a": 1, "c": 2, "b": 3}
