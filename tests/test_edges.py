@@ -3,6 +3,8 @@
 import math
 from datetime import date, datetime
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stockflow import schema
@@ -178,16 +180,34 @@ def test_rekey_keeps_rows_without_reference(spark):
     assert got == {"i1": "L1", "i2": None}
 
 
-def test_transfers_never_exceed_either_side(spark):
-    rows = [("p", "a", 50.0, 10.0), ("p", "b", 12.0, 10.0), ("p", "c", 0.0, 30.0), ("p", "d", 5.0, 9.0), ("q", "a", 9.0, 1.0), ("p", "e", 7.0, 7.0)]
-    df = spark.createDataFrame(
-        [(f"{p}{loc}", p, loc, a, r, datetime(2024, 1, 1)) for p, loc, a, r in rows],
+def _balances(spark, rows):
+    return spark.createDataFrame(
+        [(f"{p}{loc}", p, loc, float(a), float(r), datetime(2024, 1, 1)) for p, loc, a, r in rows],
         "id string, product_id string, location_id string, available_quantity double, reorder_point_quantity double, as_of_timestamp timestamp",
     )
-    got = {(r.from_location_id, r.to_location_id): r.quantity for r in inventory.transfer_list(df).collect()}
+
+
+def test_transfers_go_from_the_largest_surplus_to_the_largest_deficit(spark):
+    rows = [("p", "a", 50, 10), ("p", "b", 12, 10), ("p", "c", 0, 30), ("p", "d", 5, 9), ("q", "a", 9, 1), ("p", "e", 7, 7)]
+    got = {(r.from_location_id, r.to_location_id): r.quantity for r in inventory.transfer_list(_balances(spark, rows)).collect()}
     assert got == {("a", "c"): 30.0, ("a", "d"): 4.0}
 
 
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.dictionaries(st.tuples(st.sampled_from("pq"), st.sampled_from("abcdef")), st.integers(-9, 9), min_size=1))
+def test_transfers_never_exceed_either_side(spark, spare):
+    df = _balances(spark, [(p, loc, 20 + s, 20) for (p, loc), s in spare.items()])
+    sent, taken, moved = {}, {}, {"p": 0, "q": 0}
+    for r in inventory.transfer_list(df).collect():
+        sent[r.product_id, r.from_location_id] = sent.get((r.product_id, r.from_location_id), 0) + r.quantity
+        taken[r.product_id, r.to_location_id] = taken.get((r.product_id, r.to_location_id), 0) + r.quantity
+        moved[r.product_id] += r.quantity
+    assert all(q <= spare[k] for k, q in sent.items()) and all(q <= -spare[k] for k, q in taken.items())
+    for p in "pq":
+        amounts = [s for (product, _), s in spare.items() if product == p]
+        assert moved[p] == min(sum(s for s in amounts if s > 0), -sum(s for s in amounts if s < 0))
+
+
 def test_cheapest_route(spark):
     rows = [("a", "b", 10.0), ("b", "c", 10.0), ("a", "c", 50.0), ("c", "d", 1.0), ("a", "a", 0.0)]
     df = spark.createDataFrame(
