@@ -1,0 +1,204 @@
+"""Secrets in texts and in what is encoded inside them.
+
+Each text is scanned for three kinds of secrets. Encoded stretches are unwrapped on a worklist: URL escapes, Unicode
+escapes, base64 runs, and gzip or zlib data below base64. Each decoded layer is scanned again and put back on the
+worklist until nothing new comes out; a layer whose content was seen before in the document is not opened twice, so
+self-containing data ends. Every character of a layer knows the stretch of the original text that it comes from.
+"""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import hashlib
+import re
+import sys
+import zlib
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
+
+from stockflow.llm.common import slices
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+KINDS = ("assign", "access", "hex")
+ASSIGN = re.compile(
+    r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII
+)
+ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 8, 16, 32
+# runs are maximal, so asking for the length in the pattern gives the same matches as dropping short ones
+ACCESS = re.compile(r"AKIA[A-Z0-9]{%d,}" % (ACCESS_CHARS - 4))
+HEX = re.compile(r"[0-9a-f]{%d,}" % HEX_CHARS)
+URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+BASE64_CHARS = 20
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % BASE64_CHARS)
+# what the Arrow filters look for, a superset of what the patterns find
+HINTS = {
+    "assign": r"(?i)password|passwd|secret|token|api_?key", "access": r"AKIA[A-Z0-9]", "hex": r"[0-9a-f]{%d}" % HEX_CHARS,
+    "coded": r"%%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#|[A-Za-z0-9+/_-]{%d}" % BASE64_CHARS,
+}
+
+
+def scan(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the secrets in one layer; per kind leftmost and not overlapping."""
+    found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_CHARS]
+    found += [("access", *m.span()) for m in ACCESS.finditer(text)]
+    return found + [("hex", *m.span()) for m in HEX.finditer(text)]
+
+
+def replaced(text: str, origin: list[tuple[int, int]], pattern: re.Pattern, decode) -> tuple[str, list[tuple[int, int]]] | None:
+    """The text with the matches decoded, and the origins of its characters; None if nothing changes."""
+    out, places, at, changed = [], [], 0, False
+    for m in pattern.finditer(text):
+        got = decode(m)
+        if got is None:
+            continue
+        changed = True
+        out += [text[at : m.start()], "".join(c for c, _, _ in got)]
+        places += origin[at : m.start()]
+        places += [(origin[m.start() + a][0], origin[m.start() + b - 1][1]) for _, a, b in got]
+        at = m.end()
+    return ("".join(out) + text[at:], places + origin[at:]) if changed else None
+
+
+def url(m: re.Match) -> list[tuple[str, int, int]] | None:
+    """Characters of a run of URL escapes with their places in it; None if the bytes are no UTF-8."""
+    try:
+        chars = bytes.fromhex(m[0].replace("%", "")).decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    out, at = [], 0
+    for c in chars:
+        size = 3 * len(c.encode())
+        out.append((c, at, at + size))
+        at += size
+    return out
+
+
+def escape(m: re.Match) -> list[tuple[str, int, int]] | None:
+    digits, decimal = next((g for g in m.groups()[:5] if g), None), m[6]
+    code = int(digits, 16) if digits else int(decimal)
+    if code > 0x10FFFF or 0xD800 <= code < 0xE000:
+        return None
+    return [(chr(code), 0, m.end() - m.start())]
+
+
+def inflate(data: bytes) -> bytes | None:
+    """gzip or zlib data, as far as it is whole; None if it is neither."""
+    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
+        engine = zlib.decompressobj(47)
+        try:
+            return engine.decompress(data) + engine.flush()
+        except zlib.error:
+            return None
+    return None
+
+
+def unbase64(run: str) -> bytes | None:
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(body) % 4 == 1:
+        body = body[:-1]
+    try:
+        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return None
+
+
+def below(run: str, origin: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]] | None:
+    """The text under a base64 run, through any compressed layers; None if it is no text.
+
+    Characters map to the four-letter groups that hold them, those of compressed data to the whole run.
+    """
+    data = unbase64(run)
+    if data is None:
+        return None
+    packed, seen = False, set()
+    while (more := inflate(data)) is not None and (key := hashlib.sha256(data).digest()) not in seen:
+        seen.add(key)
+        data, packed = more, True
+    try:
+        text = data.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    if any(c < " " and c not in "\t\n\r" for c in text):
+        return None
+    if packed:
+        return text, [(origin[0][0], origin[-1][1])] * len(text)
+    places, at, last = [], 0, len(origin) - 1
+    for c in text:
+        size = len(c.encode())
+        places.append((origin[min(last, at // 3 * 4)][0], origin[min(last, (at + size - 1) // 3 * 4 + 3)][1]))
+        at += size
+    return text, places
+
+
+def decoded_layers(text: str, origin: list[tuple[int, int]]):
+    """What comes out of one layer: the layer without URL escapes, without Unicode escapes, and each base64 run's text."""
+    for pattern, decode in ((URL, url), (ESCAPE, escape)):
+        if got := replaced(text, origin, pattern, decode):
+            yield got
+    for m in BASE64.finditer(text):
+        if got := below(m[0], origin[m.start() : m.end()]):
+            yield got
+
+
+def hidden(text: str) -> set[tuple[str, int, int]]:
+    """Secrets of the decoded layers, as spans of the text. Layers start from lines that hold something encoded."""
+    found, seen = set(), set()
+    work, at = [], 0
+    for line in text.split("\n"):
+        if URL.search(line) or ESCAPE.search(line) or BASE64.search(line):
+            work.append((line, [(at + i, at + i + 1) for i in range(len(line))], True))
+        at += len(line) + 1
+    while work:
+        layer, origin, original = work.pop()
+        if not original:
+            key = (hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest(), origin[:1], origin[-1:])
+            key = (key[0], *(x for o in (key[1], key[2]) for x in o))
+            if key in seen:
+                continue
+            seen.add(key)
+            found.update((kind, origin[a][0], origin[b - 1][1]) for kind, a, b in scan(layer))
+        work += [(inner, places, False) for inner, places in decoded_layers(layer, origin) if inner]
+    return found
+
+
+def listed(spans) -> str:
+    """kind:start:end by start, then by kind as in KINDS, then by end."""
+    ordered = sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+    return ",".join(f"{kind}:{start}:{end}" for kind, start, end in ordered)
+
+
+def find(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: id, and the secrets of the whole text as arrays of (kind, start, end).
+
+    `base` holds the matches in the text itself, `spans` these and those of decoded layers, each once. Places count
+    code points, the end is exclusive. A null text counts as empty. Every row comes back, repeated ones too; other
+    columns are left out.
+    """
+    kind = docs.schema[id].dataType.simpleString()
+    spans = "array<struct<kind: string, start: bigint, end: bigint>>"
+    arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            texts = pc.fill_null(batch.column("text"), "")
+            hints = {n: pc.match_substring_regex(texts, p.replace("%%", "%")).to_pylist() for n, p in HINTS.items()}
+            base, every = [], []
+            for i in range(len(texts)):
+                own: list = []
+                more: set = set()
+                if hints["assign"][i] or hints["access"][i] or hints["hex"][i] or hints["coded"][i]:
+                    whole = texts[i].as_py()
+                    own = scan(whole)
+                    more = hidden(whole) if hints["coded"][i] else set()
+                order = lambda s: (s[1], KINDS.index(s[0]), s[2])
+                base.append([dict(zip(("kind", "start", "end"), s)) for s in sorted(own, key=order)])
+                every.append([dict(zip(("kind", "start", "end"), s)) for s in sorted({*own, *more}, key=order)])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(base, arrow), pa.array(every, arrow)], names=[id, "base", "spans"])
+
+    return docs.selectExpr(f"`{id}` as id", f"`{text}` as text").mapInArrow(run, f"`{id}` {kind}, base {spans}, spans {spans}")
