@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import bpe, decontaminate, line_dedup, rules, secrets
+from stockflow.llm import bpe, decontaminate, line_dedup, minhash, rules, secret_scan, sharding, warc
 from stockflow.llm.common import table, whole_text
+from stockflow.session import shared_folder
 
 #: folder of the public tokenizer files
 TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
@@ -30,14 +31,19 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find(table(spark, sf_dir, "documents"))
+    found = secret_scan.find(table(spark, sf_dir, "documents"))
     listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
-        "doc_id", *[count(kind) for kind in secrets.KINDS], sha256(listed("base")).alias("base_sha256"), listed("spans").alias("spans"),
+        "doc_id", *[count(kind) for kind in secret_scan.KINDS], sha256(listed("base")).alias("base_sha256"), listed("spans").alias("spans"),
     )
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = rules.measured(table(spark, sf_dir, "documents").select("doc_id", "text"))
     judged = rules.cascade(counted, rules.counted_rules())
@@ -55,10 +61,23 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: class_id, the smallest doc_id of its class of near copies, and whether it stands for the class."""
+    found = minhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", digests=True)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written to a new folder beside the checkpoints and read back; refers_to is the response's page_id."""
+    folder = shared_folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP1_SQL = r"""
 with lines as (
   select doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) as line,
@@ -138,7 +157,24 @@ select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_item
 from d left join covered using (doc_id) left join named using (doc_id)
 """
 
+OP10_SQL = r"""
+with p as (
+  select page_id, encode(coalesce(html, '')) as raw from pages
+), h as (
+  select page_id, octet_length(raw) as payload_bytes, sha1(raw) as x from p
+), n as (
+  select *, list_transform(generate_series(0, 7), lambda g: ('0x' || substr(x, 1 + 5 * g::int, 5))::int) as v,
+         min(page_id) over (partition by x) as first from h
+)
+select page_id, payload_bytes,
+       array_to_string(list_transform(v, lambda a: array_to_string(list_transform([15, 10, 5, 0],
+         lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((a >> s) & 31) + 1, 1)), '')), '') as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from n
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op5_quality_rules, op7_decontamination, op9_bpe)
+    f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op4_sharding, op5_quality_rules, op7_decontamination, op8_minhash_dedup, op9_bpe, op10_warc)
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL, "op10_warc": OP10_SQL}
