@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import bpe, decontaminate, line_dedup, minhash, rules, secret_scan, sharding, warc
+from stockflow.llm import bpe, decontaminate, line_dedup, minhash, rules, secret_scan, sharding, suffix_dedup, toxicity, warc
 from stockflow.llm.common import table, whole_text
 from stockflow.session import shared_folder
 
@@ -39,6 +39,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -53,6 +57,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -174,7 +182,8 @@ select page_id, payload_bytes,
 from n
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op4_sharding, op5_quality_rules, op7_decontamination, op8_minhash_dedup, op9_bpe, op10_warc)
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_line_dedup, op2_secret_scan, op3_toxicity, op4_sharding, op5_quality_rules, op6_suffix_dedup, op7_decontamination,
+    op8_minhash_dedup, op9_bpe, op10_warc,
+)}
 ORACLES = {"op1_line_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL, "op10_warc": OP10_SQL}
