@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.llm.common import index, let, whole_text
+from stockflow.session import cut
 
 PASSAGE = 10
 K = 5
@@ -92,11 +93,12 @@ def find(
     item_prints = long_items.select(F.explode(F.array_distinct(fingerprints(hashes(F.col("w")), passage, k))).alias("print"), F.lit(passage).alias("n"))
     item_windows = long_items.select("item", F.explode(window_texts(F.col("w"), index(F.size("w") - passage), passage)).alias("x"))
     passages = item_windows.select("item", "x.passage").unionByName(short_items.select("item", F.array_join("w", " ").alias("passage")))
-    passages = passages.groupBy("passage").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    # grouped tables are written before they are joined by the same key: only then can Spark split a frequent passage
+    passages = cut(passages.groupBy("passage").agg(F.sort_array(F.collect_set("item")).alias("items")))
     for n in lengths:
         prints = short_items.filter(F.size("w") == n).select(grams(hashes(F.col("w")), n)[0].alias("print"), F.lit(n).alias("n"))
         item_prints = item_prints.unionByName(prints)
-    item_prints = item_prints.distinct()
+    item_prints = cut(item_prints.distinct())
 
     def kinds(h):
         """All fingerprints of a document, each with the length of the windows it stands for."""

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.llm.common import index, let, whole_text
+from stockflow.session import cut
 
 RUN_LINES = 3
 LONG_CHARS = 300
@@ -64,11 +65,12 @@ def repeated_lines(
     ).select("_id", "_key", "w.*")
     # places of each fingerprint; a place chosen by several windows counts once
     places = rows.select("print", "_id", "_key", "at").distinct()
-    shared = places.groupBy("print").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("print")
-    matched = rows.join(shared, "print", "left_semi")
+    # grouped tables are written before they are joined by the same key: only then can Spark split a frequent line
+    shared = cut(places.groupBy("print").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("print"))
+    matched = cut(rows.join(shared, "print", "left_semi"))
     place = F.struct("_id", "_key", "first")
     first = matched.groupBy("a", "b").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).filter("_first != _last")
-    later = matched.join(first.select("a", "b", "_first"), ["a", "b"]).filter(place != F.col("_first"))
+    later = matched.join(cut(first.select("a", "b", "_first")), ["a", "b"]).filter(place != F.col("_first"))
     gone = later.select("_id", "_key", F.explode(F.sequence("first", "last")).alias("line"))
     return gone.groupBy("_id", "_key").agg(F.sort_array(F.collect_set("line")).alias("_lines"))
 
@@ -90,9 +92,12 @@ def deduplicate(
     unless they lie inside a deleted run. Other columns are kept, one named removed_lines is replaced.
     """
     found = repeated_lines(docs, id, text, run, long_chars)
-    columns = [c for c in docs.columns if c != "removed_lines"]
-    keyed = docs.withColumn("_key_", F.xxhash64(whole_text(text)))
-    joined = keyed.join(found, F.col(id).eqNullSafe(F.col("_id")) & (F.col("_key_") == F.col("_key")), "left")
-    gone = F.coalesce("_lines", F.array().cast("array<int>"))
-    left = F.when(F.col("_lines").isNull(), F.col(text)).otherwise(without(F.col(text), F.col("_lines")))
-    return joined.select(*[left.alias(c) if c == text else F.col(c) for c in columns], gone.alias("removed_lines"))
+    keyed = docs.select(
+        F.struct("*").alias("_row"), F.col(id).alias("_doc"), F.col(text).alias("_text"), F.xxhash64(whole_text(text)).alias("_hash")
+    )
+    joined = keyed.join(found, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")), "left")
+    left = F.when(F.col("_lines").isNull(), F.col("_text")).otherwise(without(F.col("_text"), F.col("_lines")))
+    return joined.select(
+        *[left.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns if c != "removed_lines"],
+        F.coalesce("_lines", F.array().cast("array<int>")).alias("removed_lines"),
+    )

@@ -183,15 +183,16 @@ def similar(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, class: the smallest node that is linked to it, by stars that are pulled to smaller centres until they rest.
 
-    Each round every node hands its smallest neighbour to the larger ones, then to the smaller ones.
+    Each round every node hands its smallest neighbour to the larger ones, then to the smaller ones. What was grouped is
+    written before it is joined by the same key, so that the join can split a node with many links.
     """
     pairs = cut(edges.selectExpr("greatest(a, b) u", "least(a, b) v").filter("u != v").distinct())
     while True:
         both = pairs.unionByName(pairs.selectExpr("v u", "u v"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(least, "u").filter("v > u").selectExpr("v u", "m v").distinct()
         large = cut(large.filter("u != v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").selectExpr("v u", "m v").filter("u != v").unionByName(least.selectExpr("u", "m v"))
         after = cut(small.distinct())
         # at rest when every node but the centres has one link, and no centre has a link itself
@@ -208,10 +209,10 @@ def candidates(rows: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     about TILE documents by hash, and every two tiles are compared in a task of their own, by whole signatures; only
     pairs that pass leave it. An estimate under similarity - SLACK happens to one in 30,000 pairs that are alike.
     """
-    centre = rows.groupBy("band").agg(F.min("id").alias("v"))
+    centre = cut(rows.groupBy("band").agg(F.min("id").alias("v")))
     families = components(rows.join(centre, "band").selectExpr("id a", "v b")).withColumnRenamed("node", "id")
     families = families.withColumnRenamed("class", "family").unionByName(families.selectExpr("class id", "class family").distinct())
-    tiles = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    tiles = cut(families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")))
     kind = dict(texts.dtypes)["id"]
 
     def sign(batches):
@@ -245,7 +246,8 @@ def candidates(rows: DataFrame, texts: DataFrame, shingle: int, similarity: floa
 def links(docs: DataFrame, contents: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Classes (node, class) of representatives that have a link. docs: id, text; contents: id, _bands."""
     members = contents.select("id", F.explode("_bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # grouped tables are written before they are joined by the same key: only then can Spark split a large bucket
+    shared = cut(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     members = cut(members.join(shared, "band"))
     # the more buckets and fellows a member has, the nearer it stands to the middle of its group
     weights = cut(members.groupBy("id").agg(F.sum("n").alias("weight")))
@@ -256,13 +258,13 @@ def links(docs: DataFrame, contents: DataFrame, shingle: int, similarity: float)
         return cut(similar(with_a.join(texts.selectExpr("id b", "text text_b"), "b"), shingle, similarity))
 
     # each member with the leader of its bucket
-    leader = members.join(weights, "id").groupBy("band").agg(F.max_by("id", F.struct("weight", "id")).alias("top"))
+    leader = cut(members.join(weights, "id").groupBy("band").agg(F.max_by("id", F.struct("weight", "id")).alias("top")))
     pairs = members.join(leader, "band").filter("id != top").selectExpr("least(id, top) a", "greatest(id, top) b")
     found = verified(cut(pairs.distinct()))
     linked = components(found)
     # buckets that still hold several classes
     now = members.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("class", "id"))
-    mixed = now.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high")
+    mixed = cut(now.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high"))
     rows = cut(now.join(mixed.select("band"), "band", "left_semi").select("band", "id", "class"))
     rest = verified(cut(candidates(rows, texts, shingle, similarity).distinct()))
     return linked if rest.isEmpty() else components(found.unionByName(rest))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import math
 import sys
 import uuid
 import zlib
@@ -19,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import cloudpickle
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,8 @@ from stockflow.session import cut
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FILE_BYTES = 16 << 20
-SHARD_BYTES = 64 << 20
+#: payload bytes of a shard: a share of all, within bounds
+SHARES, LEAST_BYTES, MOST_BYTES = 200, 128 << 10, 1 << 30
 BINS = 1024
 DATE = "2000-01-01T00:00:00Z"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -115,7 +118,7 @@ def edges(pages: DataFrame, id: str, bytes_: str, target: int) -> list[int]:
 
 def write(
     pages: DataFrame, folder: str, id: str = "page_id", url: str = "url", payload: str = "html", least: int = 0,
-    file_bytes: int = FILE_BYTES, shard_bytes: int = SHARD_BYTES, date: str = DATE,
+    file_bytes: int = FILE_BYTES, shard_bytes: int | None = None, date: str = DATE,
 ) -> DataFrame:
     """Write the pages to folder/*.warc.gz and return the manifest: file, records, bytes, sha1.
 
@@ -129,17 +132,20 @@ def write(
     raw = F.encode(F.coalesce(F.col(payload), F.lit("")), "utf-8")
     rows = pages.select(F.col(id).alias("_id"), F.col(url).cast("string").alias("_url"), raw.alias("_raw")).withColumn("_digest", F.sha1("_raw"))
     slim = cut(rows.select("_id", "_digest", F.octet_length("_raw").cast("long").alias("_size")))
+    if shard_bytes is None:
+        total = slim.agg(F.sum("_size")).first()[0] or 0
+        shard_bytes = min(max(LEAST_BYTES, total // SHARES), MOST_BYTES)
     low = edges(slim.filter("_id is not null"), "_id", "_size", shard_bytes)
-    first = slim.filter(F.col("_size") >= least).groupBy("_digest").agg(F.min("_id").alias("_first"))
+    first = cut(slim.filter(F.col("_size") >= least).groupBy("_digest").agg(F.min("_id").alias("_first")))
     # decisions travel to the shard beside the payloads; copies of one id need one decision
     decided = slim.join(first, "_digest").filter("_id is null or _id >= _first").select("_id", "_digest", "_first").distinct()
-    places = F.array(*[F.lit(e) for e in low]) if low else F.array().cast(f"array<{kind}>")
-    shard = F.coalesce(F.size(F.filter(places, lambda e: e <= F.col("_id"))), F.lit(0))
+    place = Bucketizer(splits=[-math.inf, *map(float, low[1:]), math.inf], inputCol="_number", outputCol="_shard")
     empty = lambda t: F.lit(None).cast(t)
     both = rows.withColumns({"_first": empty(kind), "_kind": F.lit(1)}).unionByName(
         decided.withColumns({"_url": empty("string"), "_raw": empty("binary"), "_kind": F.lit(0)})
-    ).withColumn("_shard", shard)
-    dealt = both.repartition(max(1, len(low)), "_shard").sortWithinPartitions("_shard", F.col("_id").asc_nulls_first(), "_digest", "_kind", "_url")
+    ).withColumn("_number", F.coalesce(F.col("_id").cast("double"), F.lit(-math.inf)))
+    both = (place.transform(both) if len(low) > 1 else both.withColumn("_shard", F.lit(0))).withColumn("_shard", F.col("_shard").cast("int"))
+    dealt = both.drop("_number").repartitionByRange(max(1, len(low)), "_shard").sortWithinPartitions("_shard", F.col("_id").asc_nulls_first(), "_digest", "_kind", "_url")
 
     def run(batches):
         store, path = fs.FileSystem.from_uri(folder)

@@ -1,0 +1,180 @@
+"""Tokens, toxicity, archives and the pipeline."""
+
+import base64
+import gzip
+import hashlib
+import json
+import random
+from collections import Counter
+from urllib.parse import urlparse
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import __spark_entry__ as entry_module
+import corpus_pipeline
+from stockflow.llm import bpe, toxicity, warc
+from stockflow.llm.queries import TOKENIZERS
+from stockflow.session import shared_folder
+
+VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
+
+
+@pytest.fixture(scope="module")
+def library():
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+def test_tokens_as_the_library(spark, docs, corpus, library):
+    rng = random.Random(2)
+    letters = "abcdeioustnrl  '\n\t.,!0123éß漢😀​\xa0\x1c<|endoftext|>"
+    hard = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(800)]
+    hard += ["a<|endoftext|>b", "<|endoftext|><|endoftext|>", "a" * 70, " ", "a ", " a", "  a", "don't we'll I'M he'S", "\x00\x01", "x" * 5000]
+    texts = [t or "" for _, t in corpus] + hard
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = {i: e.ids for i, e in enumerate(library.encode_batch(texts, add_special_tokens=False))}
+    for r in bpe.encode(rows, VOCABULARY).collect():
+        assert r.ids == want[r.doc_id] and r.n_tokens == len(r.ids)
+        assert r.decoded == library.decode(want[r.doc_id], skip_special_tokens=False)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for r in bpe.encode(rows, VOCABULARY, digests=True).collect():
+        assert r.ids_sha256 == sha(",".join(map(str, want[r.doc_id]))) and r.decoded_sha256 == sha(texts[r.doc_id])
+    assert bpe.encode(docs, VOCABULARY).count() == len(corpus)
+
+
+def test_pair_checks_agree_with_merging(library):
+    with open(VOCABULARY, encoding="utf-8") as file:
+        codec = bpe.Codec(file.read())
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 50256, 4000), rng.integers(0, 50256, 4000)
+    words = [codec.bytes_of[x] + codec.bytes_of[y] for x, y in zip(a.tolist(), b.tolist())]
+    exact = [m == [x, y] for m, x, y in zip(codec.merge(words), a.tolist(), b.tolist())]
+    assert codec.compatible(a, b).tolist() == exact and 0 < sum(exact) < 4000
+    assert codec.decode([0, 50256, 255]) == library.decode([0, 50256, 255], skip_special_tokens=False)
+
+
+def test_tokens_of_an_empty_table(none):
+    assert bpe.encode(none, VOCABULARY).count() == 0
+
+
+@pytest.fixture(scope="module")
+def told(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuv") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    bad = ["zwoggle", "fnarkish", "quibblex"]
+    rows, labels = [], []
+    for i in range(900):
+        toxic = int(rng.random() < 0.3)
+        text = [rng.choice(bad) if toxic and rng.random() < 0.1 else rng.choice(words) for _ in range(rng.randint(30, 90))]
+        rows.append((i, " ".join(text), "src", 0))
+        labels.append((i, toxic))
+    rows += [(9001, None, "src", 0), (9002, "", "src", 0), (None, "no id", "src", 0), (3, "again three", "src", 0)]
+    labels += [(5, None), (None, 1), (7, 4)]
+    return spark.createDataFrame(rows, "doc_id long, text string, value string, score int"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_toxic_texts_score_higher(told):
+    docs, labels = told
+    got = toxicity.score(docs, labels)
+    assert got.count() == docs.count() and got.filter("score is null or score < 0 or score > 1").count() == 0
+    held = got.filter("held_out").join(labels.filter("toxic in (0, 1)"), "doc_id").toPandas()
+    assert len(held) > 100 and (held.predicted == held.toxic).mean() > 0.9
+
+
+def test_held_out_labels_teach_nothing(told):
+    docs, labels = told
+    flipped = labels.withColumn("toxic", F.when(toxicity.fold("doc_id") == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    key = lambda df: Counter((r.doc_id, round(r.score, 9)) for r in df.collect())
+    assert key(toxicity.score(docs, labels)) == key(toxicity.score(docs, flipped))
+
+
+def test_scores_without_labels_or_rows(told, none):
+    docs, labels = told
+    assert toxicity.score(docs, labels.filter("toxic > 5")).filter("score is null").count() == 0
+    assert toxicity.score(docs, labels.filter("toxic = 0")).filter("score is null").count() == 0
+    assert toxicity.score(none, labels).count() == 0
+
+
+def test_backoff_is_a_distribution():
+    rng = np.random.default_rng(3)
+    codes = np.unique(rng.integers(0, 32**3, 3000))
+    every = np.arange(32) + (codes[0] >> 5 << 5)
+    assert toxicity.continuation(codes, 3).min() > 0
+    model = toxicity.fit(codes, rng.integers(1, 9, len(codes)), rng.integers(1, 9, len(codes)), 3)
+    assert np.isfinite(model.ratio).all() and len(every) == 32
+
+
+PAGES = [
+    (5, "http://a/5", "same"), (2, "http://a/2", "same"), (9, "http://a/9\nx", "same"), (1, "http://a/1", "own é"), (3, None, None),
+    (4, "http://a/4", ""), (7, "u", "x" * 300_000), (8, "u", "y" * 10), (8, "u", "y" * 10), (None, "u", "lost"), (1 << 40, "u", "far"),
+]
+
+
+def written(spark, **more):
+    folder = shared_folder(spark, "archives")
+    rows = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("_digest", F.lit(1)).repartition(3)
+    manifest = warc.write(rows, folder, file_bytes=200, shard_bytes=2000, **more)
+    return folder, manifest
+
+
+def test_archives_round_trip(spark):
+    folder, manifest = written(spark)
+    got = warc.read(spark, folder).collect()
+    first = {}
+    for i, _, html in sorted(PAGES, key=lambda p: (p[0] is None, p[0] or 0)):
+        first.setdefault(html or "", i)
+    expected = Counter()
+    for i, _, html in sorted(PAGES, key=lambda p: (p[0] is None, p[0] or 0)):
+        raw, origin = (html or "").encode(), first[html or ""]
+        again = expected[i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response", None] if i == origin else 1
+        kind = ("revisit", origin) if again and origin is not None else ("response", None)
+        expected[i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), *kind] += 1
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == +expected
+    assert {r.payload for r in got if r.record_type == "response"} == {h or "" for _, _, h in PAGES}
+    assert manifest.agg(F.sum("records")).first()[0] == len(PAGES) and manifest.count() > 3
+
+
+def test_archives_are_the_same_bytes_in_every_run(spark):
+    (a, first), (b, second) = written(spark), written(spark)
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, second.collect()))
+    path = lambda folder: urlparse(folder).path
+    names = [json.loads(line)["file"] for line in open(f"{path(a)}/MANIFEST.json")]
+    for name in names:
+        one, two = (open(f"{path(f)}/{name}", "rb").read() for f in (a, b))
+        assert one == two and gzip.decompress(one).startswith(b"WARC/1.1\r\n")
+
+
+def test_archives_of_an_empty_table(spark):
+    folder = shared_folder(spark, "archives")
+    warc.write(spark.createDataFrame([], "page_id long, url string, html string"), folder)
+    assert warc.read(spark, folder).count() == 0
+
+
+def test_only_long_payloads_are_revisited(spark):
+    folder, _ = written(spark, least=5)
+    assert warc.read(spark, folder).filter("record_type = 'revisit' and payload_bytes < 5").count() == 0
+
+
+def test_pipeline(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    known, columns = docs.count(), docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == columns, name
+        where = shared_folder(spark, "stage")
+        out.write.parquet(where)
+        docs = spark.read.parquet(where)
+        assert 0 < docs.count() <= known and docs.select("doc_id").distinct().count() == docs.count(), name
+        known = docs.count()
+    assert corpus_pipeline.run(spark, folder).count() == known
+
+
+def test_queries_are_registered():
+    names = entry_module.queries()
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
