@@ -121,7 +121,7 @@ def test_hidden_secrets_map_to_the_encoded_stretch():
     for pack in (gzip.compress, zlib.compress):
         packed = base64.b64encode(pack(pack(secret.encode()))).decode()
         assert ("assign", packed) in plain(f"x {packed} y")
-    assert ("assign", r"password=abcdefgh99") in plain(r"password=abcdefgh99")
+    assert ("assign", r"passw\u006frd=abcdefgh99") in plain(r"so passw\u006frd=abcdefgh99 it is")
     mixed = urllib.parse.quote(urllib.parse.quote("AKIA", safe="") + "ABCDEFGHIJKLMNOP%2", safe="").replace("A", "%41")
     assert any(k == "access" for k, _ in plain(mixed))
 
