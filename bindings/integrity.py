@@ -199,11 +199,11 @@ def _(t):
 
 @query("derived_columns_check", """
     with order_sums as (select sales_order_id id,
-        cast(sum(cast(ordered_quantity*unit_price_sek as decimal(18,4))) as double) s from sales_order_lines group by 1),
+        cast(sum(cast(ordered_quantity*unit_price_sek as decimal(38,8))) as double) s from sales_order_lines group by 1),
     purchase_sums as (select purchase_order_id id,
-        cast(sum(cast(ordered_quantity*unit_cost_sek as decimal(18,4))) as double) s from purchase_order_lines group by 1),
-    loads as (select shipment_id id, cast(sum(cast(quantity*weight_kg as decimal(18,4))) as double) w,
-        cast(sum(cast(quantity*volume_m3 as decimal(18,4))) as double) v
+        cast(sum(cast(ordered_quantity*unit_cost_sek as decimal(38,8))) as double) s from purchase_order_lines group by 1),
+    loads as (select shipment_id id, cast(sum(cast(quantity*weight_kg as decimal(38,8))) as double) w,
+        cast(sum(cast(quantity*volume_m3 as decimal(38,8))) as double) v
         from shipment_items i join products p on p.id = i.product_id group by 1),
     pairs as (
       select 'inventory_balances' table_name, 'available = on hand - reserved' rule, id, available_quantity stored,
@@ -237,7 +237,7 @@ def _(t):
 def _(t):
     skipped = F.col("event_sequence") + F.when(F.col("event_type") == "error", 1).otherwise(0)
     feed = t.shipment_events.withColumns({"event_sequence": skipped, "event_timestamp": F.col("received_at")})
-    return quality.sequence_gaps(feed, chunk_width=20, largest=60)  # the larger shipments are split
+    return quality.sequence_gaps(feed, chunk_width=20)
 
 
 @query("range_order_check", "\nunion all\n".join(
@@ -433,12 +433,12 @@ def _(t):
 
 
 @query("material_requirements", f"""with recursive bom_edges as ({_EDGES}),
-    open_quantity as (select product_id, cast(sum(cast(greatest(planned_quantity-produced_quantity,0) as decimal(18,4))) as double) q
+    open_quantity as (select product_id, cast(sum(cast(greatest(planned_quantity-produced_quantity,0) as decimal(38,8))) as double) q
       from production_orders where status in ('O','P') group by 1),
     walk as (select c product, q*f quantity from open_quantity join bom_edges on p = product_id
       union all select e.c, w.quantity * e.f from walk w join bom_edges e on e.p = w.product),
     demand as (select product, sum(quantity) g from walk group by 1),
-    stock as (select product_id, cast(sum(cast(available_quantity as decimal(18,4))) as double) a from inventory_balances group by 1)
+    stock as (select product_id, cast(sum(cast(available_quantity as decimal(38,8))) as double) a from inventory_balances group by 1)
     select product component_product_id, g gross_quantity, coalesce(a, 0) available_quantity,
       greatest(g - coalesce(a, 0), 0) net_quantity from demand left join stock on product_id = product""")
 def _(t):
@@ -448,8 +448,8 @@ def _(t):
 
 
 @query("stock_reconcile", """
-    with moved as (select product_id, location_id, cast(sum(cast(quantity as decimal(18,4))) as double) moved_quantity from inventory_movements group by all),
-    held as (select product_id, location_id, cast(sum(cast(on_hand_quantity as decimal(18,4))) as double) on_hand_quantity from inventory_balances group by all)
+    with moved as (select product_id, location_id, cast(sum(cast(quantity as decimal(38,8))) as double) moved_quantity from inventory_movements group by all),
+    held as (select product_id, location_id, cast(sum(cast(on_hand_quantity as decimal(38,8))) as double) on_hand_quantity from inventory_balances group by all)
     select product_id, location_id, moved_quantity, on_hand_quantity,
       coalesce(on_hand_quantity, 0) - coalesce(moved_quantity, 0) difference
     from moved full join held using (product_id, location_id)""")

@@ -8,8 +8,8 @@ from stockflow.operators import sets, windows
 from stockflow.plans import kpi, visibility
 
 
-def xsum(expression: str, scale: int = 4) -> str:
-    return f"cast(sum(cast({expression} as decimal({14 + scale},{scale}))) as double)"
+def xsum(expression: str, scale: int = 8) -> str:
+    return f"cast(sum(cast({expression} as decimal(38,{scale}))) as double)"
 
 
 shared("line_delivery", """
@@ -154,14 +154,14 @@ _CUBE = "region, product_family, transport_mode, month"
 
 @query("kpi_cube", f"""select {_CUBE}, cast(grouping({_CUBE}) as int) grouping_level, count(*) facts, {xsum('on_time_quantity')} numerator,
     {xsum('quantity')} denominator, {xsum('on_time_quantity')} / nullif({xsum('quantity')}, 0) kpi from (
-      select l.country_code region, p.product_family, s.transport_mode, cast(date_trunc('year', s.planned_arrival_at) as date) as month,
+      select l.country_code region, p.product_family, s.transport_mode, cast(date_trunc('month', s.planned_arrival_at) as date) as month,
         i.quantity, case when s.delay_hours <= 0 then i.quantity else 0 end on_time_quantity
       from shipment_items i join shipments s on s.id = i.shipment_id join products p on p.id = i.product_id
       join locations l on l.id = s.destination_location_id) group by cube ({_CUBE})""")
 def _(t):
     places = t.locations.selectExpr("id destination_location_id", "country_code region")
     sent = t.shipments.selectExpr(
-        "id shipment_id", "destination_location_id", "transport_mode", "to_date(trunc(planned_arrival_at, 'year')) month", "delay_hours"
+        "id shipment_id", "destination_location_id", "transport_mode", "to_date(trunc(planned_arrival_at, 'month')) month", "delay_hours"
     ).join(places, "destination_location_id")
     families = t.products.selectExpr("id product_id", "product_family")
     facts = t.shipment_items.select("shipment_id", "product_id", "quantity").join(sent, "shipment_id").join(families, "product_id")
@@ -325,7 +325,7 @@ def _(t):
 
 
 shared("running", """select id, product_id, location_id, event_timestamp, quantity,
-    cast(sum(cast(quantity as decimal(18,4))) over (partition by product_id, location_id order by event_timestamp, id
+    cast(sum(cast(quantity as decimal(38,8))) over (partition by product_id, location_id order by event_timestamp, id
       rows unbounded preceding) as double) running_quantity from inventory_movements""")
 
 
@@ -361,8 +361,8 @@ shared("daily_demand", f"""select product_id, order_date as day, {xsum('ordered_
 
 def _rolling(n):
     frame = f"over (partition by product_id order by day range between interval {n - 1} day preceding and current row)"
-    total = f"cast(sum(cast(demand as decimal(18,4))) {frame} as double)"
-    squares = f"cast(sum(cast(demand * demand as decimal(18,4))) {frame} as double)"
+    total = f"cast(sum(cast(demand as decimal(38,8))) {frame} as double)"
+    squares = f"cast(sum(cast(demand * demand as decimal(38,8))) {frame} as double)"
     return f"{total} / {n} mean_{n}d, {spread(str(n), total, squares)} deviation_{n}d"
 
 
@@ -384,7 +384,7 @@ def _(t):
     with lots as (select product_id, location_id, lot_number, expiry_date, {xsum('quantity')} lot_quantity from inventory_movements group by all),
     held as (select * from lots where lot_quantity > 0),
     stock as (select product_id, location_id, {xsum('lot_quantity')} stock_quantity from held group by all),
-    due as (select *, cast(sum(cast(lot_quantity as decimal(18,4))) over (partition by product_id, location_id
+    due as (select *, cast(sum(cast(lot_quantity as decimal(38,8))) over (partition by product_id, location_id
         order by expiry_date, lot_number rows unbounded preceding) as double) at_risk_quantity
       from held where expiry_date between date '2024-02-01' and date '2024-03-02')
     select product_id, location_id, lot_number, expiry_date, lot_quantity, at_risk_quantity, stock_quantity,

@@ -9,32 +9,25 @@ from stockflow.operators import windows
 from stockflow.plans import eta, forecasting, inventory, kpi, risk
 
 LAST_DAY = "2001-08-01"
-FAMILY = ["product_family"]
+PRODUCT = ["product_id"]
 
-shared("family_daily", f"""select product_family, order_date as day, {xsum('ordered_quantity')} demand from sales_order_lines l
-    join sales_orders o on o.id = l.sales_order_id join products p on p.id = l.product_id group by 1, 2""")
-shared("family_days", f"""select c.product_family, c.day, coalesce(d.demand, 0) demand from (
-      select product_family, cast(unnest(generate_series(min(day), date '{LAST_DAY}', interval 1 day)) as date) as day
-      from family_daily group by 1) c left join family_daily d on d.product_family = c.product_family and d.day = c.day""")
+shared("product_days", f"""select c.product_id, c.day, coalesce(d.demand, 0) demand from (
+      select product_id, cast(unnest(generate_series(min(day), date '{LAST_DAY}', interval 1 day)) as date) as day
+      from daily_demand group by 1) c left join daily_demand d on d.product_id = c.product_id and d.day = c.day""")
 shared("product_weekly", f"""select product_id, cast(date_trunc('week', day) as date) as day, {xsum('demand')} demand from daily_demand group by 1, 2""")
 
 
-def family_demand(t):
-    families = t.products.selectExpr("id product_id", "product_family")
-    return windows.daily_demand(t.sales_order_lines.join(families, "product_id"), t.sales_orders, FAMILY)
-
-
-def family_series(t, unit="day"):
-    return forecasting.demand_series(family_demand(t), FAMILY, unit, LAST_DAY)
+def product_demand(t):
+    return windows.daily_demand(t.sales_order_lines, t.sales_orders, PRODUCT)
 
 
-def product_demand(t):
-    return windows.daily_demand(t.sales_order_lines, t.sales_orders, ["product_id"])
+def product_series(t, unit="day"):
+    return forecasting.demand_series(product_demand(t), PRODUCT, unit, LAST_DAY)
 
 
-@query("demand_series", "select * from family_days")
+@query("demand_series", "select * from product_days")
 def _(t):
-    return family_series(t)
+    return product_series(t)
 
 
 @query("demand_series_weekly", """select c.product_id, c.day, coalesce(d.demand, 0) demand from (
@@ -45,30 +38,30 @@ def _(t):
 
 
 def _mean_before(n):
-    frame = f"over (partition by product_family order by day rows between {n} preceding and 1 preceding)"
-    return f"case when count(*) {frame} = {n} then cast(sum(cast(demand as decimal(18,4))) {frame} as double) / {n} end mean_{n}"
+    frame = f"over (partition by product_id order by day rows between {n} preceding and 1 preceding)"
+    return f"case when count(*) {frame} = {n} then cast(sum(cast(demand as decimal(38,8))) {frame} as double) / {n} end mean_{n}"
 
 
 @query("demand_features", f"""select *, lag(demand, 1) over w lag_1, lag(demand, 7) over w lag_7, lag(demand, 28) over w lag_28,
     {_mean_before(7)}, {_mean_before(28)}, cast(extract('isodow' from day) as int) weekday
-    from family_days window w as (partition by product_family order by day)""")
+    from product_days window w as (partition by product_id order by day)""")
 def _(t):
-    return forecasting.demand_features(family_series(t), FAMILY)
+    return forecasting.demand_features(product_series(t), PRODUCT)
 
 
 def _naive_sql(source, keys, season, window, horizon):
     return f"""
       select {keys}, cast(step as int) step, cast(last_day + cast(step as int) as date) as day,
         max(demand) filter (back = {season} - (step - 1) % {season}) seasonal_naive,
-        cast(sum(cast(demand as decimal(18,4))) filter (back <= {window}) as double) / count(*) filter (back <= {window}) moving_average
+        cast(sum(cast(demand as decimal(38,8))) filter (back <= {window}) as double) / count(*) filter (back <= {window}) moving_average
       from (select *, max(day) over (partition by {keys}) last_day, row_number() over (partition by {keys} order by day desc) back from {source}) tail,
         (select unnest(range(1, {horizon} + 1)) step) steps
       where back <= {max(season, window)} group by {keys}, step, last_day"""
 
 
-@query("naive_forecast", _naive_sql("family_days", "product_family", 7, 28, 28))
+@query("naive_forecast", _naive_sql("product_days", "product_id", 7, 28, 28))
 def _(t):
-    return forecasting.naive_forecast(family_series(t), FAMILY, season=7, window=28, horizon=28)
+    return forecasting.naive_forecast(product_series(t), PRODUCT, season=7, window=28, horizon=28)
 
 
 ORIGINS = ["2000-12-31", "2001-03-31", "2001-06-30"]
@@ -81,26 +74,26 @@ def _accuracy_sql(pairs, by):
       round(sqrt({xsum('(forecast - demand) * (forecast - demand)', 8)} / count(*)), 6) rmse from ({pairs}) group by {by}"""
 
 
-shared("origin_days", f"""select f.*, origin from family_days f join (select unnest([{', '.join(f"date '{o}'" for o in ORIGINS)}]) origin) on day <= origin""")
-shared("origin_naive", _naive_sql("origin_days", "product_family, origin", 7, 28, 28))
-_PAIRS = """select n.product_family, n.origin, n.model, n.forecast, coalesce(d.demand, 0) demand from (
-      select product_family, origin, day, 'seasonal_naive' model, seasonal_naive forecast from origin_naive
-      union all select product_family, origin, day, 'moving_average', moving_average from origin_naive) n
-    left join family_days d on d.product_family = n.product_family and d.day = n.day where n.forecast is not null"""
+shared("origin_days", f"""select f.*, origin from product_days f join (select unnest([{', '.join(f"date '{o}'" for o in ORIGINS)}]) origin) on day <= origin""")
+shared("origin_naive", _naive_sql("origin_days", "product_id, origin", 7, 28, 28))
+_PAIRS = """select n.product_id, n.origin, n.model, n.forecast, coalesce(d.demand, 0) demand from (
+      select product_id, origin, day, 'seasonal_naive' model, seasonal_naive forecast from origin_naive
+      union all select product_id, origin, day, 'moving_average', moving_average from origin_naive) n
+    left join product_days d on d.product_id = n.product_id and d.day = n.day where n.forecast is not null"""
 
 
 @query("backtest", _accuracy_sql(_PAIRS, "origin, model"))
 def _(t):
-    return forecasting.backtest(family_series(t), FAMILY, ORIGINS, season=7, window=28, horizon=28)
+    return forecasting.backtest(product_series(t), PRODUCT, ORIGINS, season=7, window=28, horizon=28)
 
 
-@query("forecast_accuracy", _accuracy_sql(_PAIRS, "product_family, model"))
+@query("forecast_accuracy", _accuracy_sql(_PAIRS, "product_id, model"))
 def _(t):
-    series = family_series(t)
+    series = product_series(t)
     each = series.withColumn("origin", F.explode(F.array(*[F.lit(o).cast("date") for o in ORIGINS]))).filter("day <= origin")
-    forecast = forecasting.naive_forecast(each, [*FAMILY, "origin"], season=7, window=28, horizon=28)
-    rows = forecasting.long_forecast(forecast, [*FAMILY, "origin"], ["seasonal_naive", "moving_average"])
-    return kpi.forecast_accuracy(rows, series, [*FAMILY, "day"], [*FAMILY, "model"])
+    forecast = forecasting.naive_forecast(each, [*PRODUCT, "origin"], season=7, window=28, horizon=28)
+    rows = forecasting.long_forecast(forecast, [*PRODUCT, "origin"], ["seasonal_naive", "moving_average"])
+    return kpi.forecast_accuracy(rows, series, [*PRODUCT, "day"], [*PRODUCT, "model"])
 
 
 @query("holt_winters")
@@ -111,8 +104,8 @@ def _(t):
 
 @query("gbt_forecast")
 def _(t):
-    features = forecasting.demand_features(family_series(t), FAMILY)
-    return forecasting.gbt_forecast(features, "2001-03-31")[0].select(*FAMILY, "day", "demand", "forecast")
+    features = forecasting.demand_features(product_series(t), PRODUCT)
+    return forecasting.gbt_forecast(features, "2001-03-31")[0].select(*PRODUCT, "day", "demand", "forecast")
 
 
 # --- inventory -----------------------------------------------------------
@@ -210,7 +203,7 @@ def _(t):
 
 
 @query("transfer_list", """
-    with spare as (select product_id, location_id, cast(available_quantity as decimal(18,4)) - cast(reorder_point_quantity as decimal(18,4)) a from inventory_balances),
+    with spare as (select product_id, location_id, cast(available_quantity as decimal(38,8)) - cast(reorder_point_quantity as decimal(38,8)) a from inventory_balances),
     s as (select product_id, location_id, sum(a) over w - a lo, sum(a) over w hi from spare where a > 0
       window w as (partition by product_id order by a desc, location_id rows unbounded preceding)),
     d as (select product_id, location_id, sum(-a) over w + a lo, sum(-a) over w hi from spare where a < 0
@@ -225,12 +218,12 @@ def _(t):
 # --- arrival times and routes --------------------------------------------
 
 _SERVICE = "origin_location_id, destination_location_id, transport_mode, carrier_id"
-shared("trips", """select *, cast(floor(epoch_us(actual_arrival_at - actual_departure_at) / 60e6) as bigint) as minutes from shipments""")
+shared("trips", """select *, epoch_us(actual_arrival_at - actual_departure_at) / 1e6 as seconds from shipments""")
 
 
 def _times(keys, name):
-    return f"""select {keys}, count(*) {name}_n, round(quantile_cont(minutes, 0.5) / 60, 6) {name}_p50,
-      round(quantile_cont(minutes, 0.9) / 60, 6) {name}_p90 from trips group by {keys}"""
+    return f"""select {keys}, count(*) {name}_n, round(quantile_cont(seconds, 0.5) / 3600, 6) {name}_p50,
+      round(quantile_cont(seconds, 0.9) / 3600, 6) {name}_p90 from trips group by {keys}"""
 
 
 @query("lane_times", f"""select {_SERVICE}, service_n trips, case when service_n >= 5 then 'service' when lane_n >= 5 then 'lane' else 'mode' end basis,
@@ -268,7 +261,7 @@ def _(t):
 
 
 shared("service_costs", f"""select {_SERVICE}, count(*) trips, {xsum('freight_cost_sek')} / count(*) mean_cost_sek,
-    count(*) filter (delay_hours > 0) / count(*) late_rate, round(quantile_cont(minutes, 0.5) / 60, 6) p50_hours from trips group by {_SERVICE}""")
+    count(*) filter (delay_hours > 0) / count(*) late_rate, round(quantile_cont(seconds, 0.5) / 3600, 6) p50_hours from trips group by {_SERVICE}""")
 
 
 @query("carrier_rank", """select * from (select *, cast(row_number() over (partition by origin_location_id, destination_location_id

@@ -10,12 +10,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def decimal(col, scale: int = 4) -> Column:
+#: decimals that a summand keeps; a sum has room for 30 digits before the point
+SCALE = 8
+
+
+def decimal(col, scale: int = SCALE) -> Column:
     col = F.col(col) if isinstance(col, str) else col
-    return col.cast("double").cast(f"decimal({14 + scale},{scale})")
+    return col.cast("double").cast(f"decimal(38,{scale})")
 
 
-def exact_sum(col, scale: int = 4) -> Column:
+def exact_sum(col, scale: int = SCALE) -> Column:
     return F.sum(decimal(col, scale)).cast("double")
 
 

@@ -1,24 +1,20 @@
 """Ordered windows that survive a very large key.
 
-A plain window sorts all rows of a key in one task. That is kept for keys of up
-to MAX_GROUP_ROWS. A larger key is cut into chunks along its order (days, or
-ranges of a number): the window runs inside a chunk, one small row per key and
-chunk carries the state across, and both meet in a join on (key, chunk).
-Results equal those of the plain window.
+A plain window sorts all rows of a key in one task. Here a key is always cut into chunks along its order, coarse ones
+(days, ranges of a number) and, where given, finer ones inside them (minutes, prefixes of an id): the window runs
+inside the finest chunk, one small row per key and chunk carries the state on, first within the coarse chunk, then
+from one coarse chunk to the next, and both meet in a join. Results equal those of the plain window, nulls included.
+The plan is the same for keys of every size, and nothing is run while it is made.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from stockflow.functions.exact import decimal
-from stockflow.session import cut
-
-CHUNK = "_chunk"
-MAX_GROUP_ROWS = 2_000_000
+from stockflow.functions.exact import SCALE, decimal
 
 
 def day_chunk(column, days: int = 1) -> Column:
@@ -26,6 +22,11 @@ def day_chunk(column, days: int = 1) -> Column:
     return F.floor(F.datediff(F.to_date(column), F.lit("1970-01-01").cast("date")) / days)
 
 
+def minute_chunk(column) -> Column:
+    column = F.col(column) if isinstance(column, str) else column
+    return F.floor(F.unix_micros(column.cast("timestamp")) / 60_000_000)
+
+
 def number_chunk(column, width: int) -> Column:
     column = F.col(column) if isinstance(column, str) else column
     return F.floor(column / width)
@@ -35,86 +36,82 @@ def _upto(window: WindowSpec) -> WindowSpec:
     return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _by_size(
-    df: DataFrame, keys: list[str], largest: int | None, plain: Callable[[DataFrame], DataFrame],
-    split: Callable[[DataFrame], DataFrame],
-) -> DataFrame:
-    """Plain for all rows but those of keys with more than `largest` rows (counted first), split for these."""
-    limit = MAX_GROUP_ROWS if largest is None else largest
-    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit).select(*keys)
-    if big.isEmpty():
-        return plain(df)
-    big = cut(big)
-    return plain(df.join(big, keys, "left_anti")).unionByName(split(df.join(big, keys, "left_semi")))
+def _chunked(df: DataFrame, chunks) -> tuple[DataFrame, list[str]]:
+    """The rows with a column per level of chunks, from coarse to fine."""
+    levels = {f"_chunk{i}": c for i, c in enumerate(chunks if isinstance(chunks, list) else [chunks])}
+    return df.withColumns(levels), list(levels)
+
 
+def _meet(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left join in which nulls are equal; the right side brings only its other columns."""
+    right = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    return left.join(right, same, "left").drop(*[f"_on_{c}" for c in on])
 
-def _chunked(df: DataFrame, keys: list[str], chunk: Column, order: list[str]):
-    """Rows with their chunk, the window inside a chunk, and the window over the chunks of a key."""
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    return df.withColumn(CHUNK, chunk), inside, Window.partitionBy(*keys).orderBy(CHUNK)
+
+def _added(a: Column, b: Column, scale: int) -> Column:
+    """a + b as decimals; one digit less before the point, so that the sum keeps its scale."""
+    return a.cast(f"decimal(37,{scale})") + b.cast(f"decimal(37,{scale})")
+
+
+def _carried(
+    totals: DataFrame, keys: list[str], levels: list[str], values: list[str], add: bool, scale: int = SCALE
+) -> DataFrame:
+    """Per key and chunk, what the chunks before it amount to: sums, or the last that is not null."""
+    *upper, level = levels
+    before = Window.partitionBy(*keys, *upper).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
+    state = lambda v: F.sum(v).over(before) if add else F.last(v, ignorenulls=True).over(before)
+    own = totals.select(*keys, *levels, *[state(v).alias(v) for v in values])
+    if not upper:
+        return own
+    # max_by would pass over a null level, which comes first: as part of a struct it does not
+    whole = lambda v: F.sum(v) if add else F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(level)))
+    above = _carried(totals.groupBy(*keys, *upper).agg(*[whole(v).alias(v) for v in values]), keys, upper, values, add, scale)
+    both = _meet(own, above.withColumnsRenamed({v: f"_above{v}" for v in values}), [*keys, *upper])
+    sums = lambda v: F.when(F.col(v).isNull(), F.col(f"_above{v}")).when(F.col(f"_above{v}").isNull(), F.col(v)).otherwise(_added(F.col(v), F.col(f"_above{v}"), scale))
+    last = lambda v: F.coalesce(v, f"_above{v}")
+    return both.select(*keys, *levels, *[(sums if add else last)(v).alias(v) for v in values])
 
 
 def running_sums(
-    df: DataFrame, keys: list[str], chunk: Column, order: list[str], sums: dict[str, Column], scale: int = 4,
-    largest: int | None = None,
+    df: DataFrame, keys: list[str], chunks: Column | list[Column], order: list[str], sums: dict[str, Column], scale: int = SCALE
 ) -> DataFrame:
     """Add, per key in the given order, the sum of each column up to and including the row."""
+    rows, levels = _chunked(df, chunks)
     amounts = {n: decimal(c, scale) for n, c in sums.items()}
+    totals = rows.groupBy(*keys, *levels).agg(*[F.sum(a).alias(f"_c_{n}") for n, a in amounts.items()])
+    inside = _upto(Window.partitionBy(*keys, *levels).orderBy(*order))
+    local = rows.withColumns({f"_l_{n}": F.sum(a).over(inside) for n, a in amounts.items()})
+    joined = _meet(local, _carried(totals, keys, levels, [f"_c_{n}" for n in sums], True, scale), [*keys, *levels])
 
-    def plain(rows):
-        window = _upto(Window.partitionBy(*keys).orderBy(*order))
-        return rows.select(*df.columns, *[F.sum(a).over(window).cast("double").alias(n) for n, a in amounts.items()])
+    def total(name):
+        own, carried = F.col(f"_l_{name}"), F.col(f"_c_{name}")
+        return F.when(own.isNull(), carried).when(carried.isNull(), own).otherwise(_added(own, carried, scale)).cast("double")
 
-    def split(rows):
-        rows, inside, across = _chunked(rows, keys, chunk, order)
-        totals = rows.groupBy(*keys, CHUNK).agg(*[F.sum(a).alias(f"_t_{n}") for n, a in amounts.items()])
-        before = across.rowsBetween(Window.unboundedPreceding, -1)
-        carry = totals.select(*keys, CHUNK, *[F.sum(f"_t_{n}").over(before).alias(f"_c_{n}") for n in sums])
-        local = rows.withColumns({f"_l_{n}": F.sum(a).over(_upto(inside)) for n, a in amounts.items()})
-        out = [(F.col(f"_l_{n}") + F.coalesce(f"_c_{n}", F.lit(0))).cast("double").alias(n) for n in sums]
-        return local.join(carry, [*keys, CHUNK], "left").select(*df.columns, *out)
-
-    return _by_size(df, keys, largest, plain, split)
+    return joined.select(*df.columns, *[total(n).alias(n) for n in sums])
 
 
 def previous_row(
-    df: DataFrame, keys: list[str], chunk: Column, order: list[str], previous: dict[str, str], largest: int | None = None
+    df: DataFrame, keys: list[str], chunks: Column | list[Column], order: list[str], previous: dict[str, str]
 ) -> DataFrame:
     """Add the named columns of the row before, per key in the given order ({new name: column})."""
-
-    def plain(rows):
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return rows.select(*df.columns, *[F.lag(c).over(window).alias(n) for n, c in previous.items()])
-
-    def split(rows):
-        rows, inside, across = _chunked(rows, keys, chunk, order)
-        rows = rows.withColumn("_row", F.struct(*[F.col(c).alias(n) for n, c in previous.items()]))
-        ends = rows.groupBy(*keys, CHUNK).agg(F.max_by("_row", F.struct(*order)).alias("_end"))
-        carry = ends.select(*keys, CHUNK, F.lag("_end").over(across).alias("_carry"))
-        joined = rows.withColumn("_before", F.lag("_row").over(inside)).join(carry, [*keys, CHUNK], "left")
-        joined = joined.withColumn("_before", F.coalesce("_before", "_carry"))
-        return joined.select(*df.columns, *[F.col(f"_before.{n}").alias(n) for n in previous])
-
-    return _by_size(df, keys, largest, plain, split)
+    rows, levels = _chunked(df, chunks)
+    rows = rows.withColumn("_row", F.struct(*[F.col(c).alias(n) for n, c in previous.items()]))
+    ends = rows.groupBy(*keys, *levels).agg(F.max_by("_row", F.struct(*order)).alias("_end"))
+    local = rows.withColumn("_before", F.lag("_row").over(Window.partitionBy(*keys, *levels).orderBy(*order)))
+    joined = _meet(local, _carried(ends, keys, levels, ["_end"], False), [*keys, *levels])
+    joined = joined.withColumn("_before", F.coalesce("_before", "_end"))
+    return joined.select(*df.columns, *[F.col(f"_before.{n}").alias(n) for n in previous])
 
 
 def last_known(
-    df: DataFrame, keys: list[str], chunk: Column, order: list[str], value: str, out: str, largest: int | None = None
+    df: DataFrame, keys: list[str], chunks: Column | list[Column], order: list[str], value: str, out: str
 ) -> DataFrame:
     """Add the newest non-null value at or before the row, per key in the given order."""
-
-    def plain(rows):
-        window = _upto(Window.partitionBy(*keys).orderBy(*order))
-        return rows.select(*df.columns, F.last(value, ignorenulls=True).over(window).alias(out))
-
-    def split(rows):
-        rows, inside, across = _chunked(rows, keys, chunk, order)
-        known = F.when(F.col(value).isNotNull(), F.struct(*order))
-        ends = rows.groupBy(*keys, CHUNK).agg(F.max_by(value, known).alias("_end"))
-        before = across.rowsBetween(Window.unboundedPreceding, -1)
-        carry = ends.select(*keys, CHUNK, F.last("_end", ignorenulls=True).over(before).alias("_carry"))
-        local = rows.withColumn("_local", F.last(value, ignorenulls=True).over(_upto(inside)))
-        joined = local.join(carry, [*keys, CHUNK], "left")
-        return joined.select(*df.columns, F.coalesce("_local", "_carry").alias(out))
-
-    return _by_size(df, keys, largest, plain, split)
+    rows, levels = _chunked(df, chunks)
+    known = F.when(F.col(value).isNotNull(), F.struct(*order))
+    ends = rows.groupBy(*keys, *levels).agg(F.max_by(value, known).alias("_end"))
+    inside = _upto(Window.partitionBy(*keys, *levels).orderBy(*order))
+    local = rows.withColumn("_local", F.last(value, ignorenulls=True).over(inside))
+    joined = _meet(local, _carried(ends, keys, levels, ["_end"], False), [*keys, *levels])
+    return joined.select(*df.columns, F.coalesce("_local", "_end").alias(out))

@@ -27,11 +27,21 @@ def order_lines(headers: DataFrame, lines: DataFrame, link: str, header_columns:
 
 
 def enrich_facts(facts: DataFrame, dimensions: dict[str, tuple[DataFrame, str, list[str]]]) -> DataFrame:
-    """Left-join dimensions: {prefix: (dimension, fact column, dimension columns)}."""
+    """Left-join dimensions: {prefix: (dimension, fact column, dimension columns)}.
+
+    Facts without a reference are spread by a hash of their other columns, so they do not gather in one task.
+    """
     out = facts
     for prefix, (dimension, column, wanted) in dimensions.items():
-        side = dimension.select(F.col("id").alias(column), *[F.col(c).alias(f"{prefix}_{c}") for c in wanted])
-        out = out.join(side, column, "left")
+        others = [c for c in facts.columns if c != column][:3] or [column]
+        spread = F.when(F.col(column).isNull(), F.pmod(F.xxhash64(*others), F.lit(1000))).otherwise(F.lit(-1))
+        side = dimension.select(
+            F.col("id").alias("_id"), F.when(F.col("id").isNull(), F.lit(-2)).otherwise(F.lit(-1)).cast("long").alias("_other"),
+            *[F.col(c).alias(f"{prefix}_{c}") for c in wanted],
+        )
+        out = out.withColumn("_spread", spread.cast("long"))
+        out = out.join(side, (F.col(column) == F.col("_id")) & (F.col("_spread") == F.col("_other")), "left")
+        out = out.drop("_id", "_other", "_spread")
     return out
 
 
@@ -75,7 +85,7 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], day: str,
 
 def as_of(
     requests: DataFrame, facts: DataFrame, keys: list[str], request_time: str, fact_time: str,
-    fact_id: str, values: list[str], chunk_days: int = 1, largest: int | None = None,
+    fact_id: str, values: list[str], chunk_days: int = 1,
 ) -> DataFrame:
     """Each request with the values of the newest fact at or before its time (the higher id at equal times)."""
     asked = requests.select(
@@ -87,14 +97,16 @@ def as_of(
         F.struct(F.col(fact_time).alias("as_of_time"), *values).alias("_fact"),
     )
     both = asked.unionByName(facts_, allowMissingColumns=True)
-    known = last_known(both, keys, day_chunk("_time", chunk_days), ["_time", "_side", "_tie"], "_fact", "_found", largest)
+    # a busy day is cut further where its times are, then its ids
+    fine = [day_chunk("_time", chunk_days), F.col("_time").cast("timestamp"), F.struct("_side", F.substring("_tie", 1, 6))]
+    known = last_known(both, keys, fine, ["_time", "_side", "_tie"], "_fact", "_found")
     return known.filter("_side = 1").select("_request.*", "_found.*")
 
 
-def stock_as_of(movements: DataFrame, snapshots: DataFrame, largest: int | None = None) -> DataFrame:
+def stock_as_of(movements: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Stock on hand by the last snapshot at or before the day of each movement."""
     requests = movements.select("id", "product_id", "location_id", F.to_date("event_timestamp").alias("moved_on"))
-    return as_of(requests, snapshots, ["product_id", "location_id"], "moved_on", "snapshot_date", "id", ["on_hand_quantity"], largest=largest)
+    return as_of(requests, snapshots, ["product_id", "location_id"], "moved_on", "snapshot_date", "id", ["on_hand_quantity"])
 
 
 def unfulfilled(

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from stockflow.functions.exact import decimal, exact_sum, ratio, sample_variance
 from stockflow.functions.measures import number, seconds_between
 from stockflow.functions.ranking import newest
-from stockflow.functions.split_windows import day_chunk, previous_row, running_sums
+from stockflow.functions.split_windows import day_chunk, minute_chunk, previous_row, running_sums
 
 
-def event_gaps(events: DataFrame, chunk_days: int = 1, largest: int | None = None) -> DataFrame:
+def event_gaps(events: DataFrame, chunk_days: int = 1) -> DataFrame:
     """Seconds since the event before of the same shipment (by time, then id)."""
     pairs = previous_row(
-        events.select("id", "shipment_id", "event_timestamp"), ["shipment_id"], day_chunk("event_timestamp", chunk_days),
-        ["event_timestamp", "id"], {"previous_timestamp": "event_timestamp"}, largest,
+        events.select("id", "shipment_id", "event_timestamp"), ["shipment_id"],
+        [day_chunk("event_timestamp", chunk_days), minute_chunk("event_timestamp")], ["event_timestamp", "id"],
+        {"previous_timestamp": "event_timestamp"},
     )
     return pairs.withColumn("gap_seconds", seconds_between(F.col("previous_timestamp"), F.col("event_timestamp")))
 
@@ -27,12 +28,12 @@ def longest_gaps(events: DataFrame) -> DataFrame:
     )
 
 
-def running_stock(movements: DataFrame, chunk_days: int = 1, largest: int | None = None) -> DataFrame:
+def running_stock(movements: DataFrame, chunk_days: int = 1) -> DataFrame:
     """Cumulative signed movement per product and location (by time, then id)."""
     return running_sums(
         movements.select("id", "product_id", "location_id", "event_timestamp", "quantity"), ["product_id", "location_id"],
-        day_chunk("event_timestamp", chunk_days), ["event_timestamp", "id"], {"running_quantity": number("quantity")},
-        largest=largest,
+        [day_chunk("event_timestamp", chunk_days), minute_chunk("event_timestamp")], ["event_timestamp", "id"],
+        {"running_quantity": number("quantity")},
     )
 
 

@@ -11,26 +11,27 @@ from pyspark.sql import functions as F
 from stockflow.functions.exact import count_if, exact_sum, ratio
 from stockflow.functions.measures import haversine_km, has_status, hours_between, number, seconds_between
 from stockflow.functions.ranking import newest
+from stockflow.session import cut
 
 LANE = ["origin_location_id", "destination_location_id"]
 SERVICE = [*LANE, "transport_mode", "carrier_id"]
 
 
-def _travel_minutes(shipments: DataFrame, done_statuses):
-    """Done shipments counted per service and whole minute of travel: percentiles then keep one count per minute."""
-    minutes = F.floor(seconds_between(F.col("actual_departure_at"), F.col("actual_arrival_at")) / 60).cast("long")
-    done = shipments.filter(has_status("status", done_statuses)).withColumn("minutes", minutes)
-    return done.groupBy(*SERVICE, "minutes").agg(F.count(F.lit(1)).alias("n"))
+def _travel_seconds(shipments: DataFrame, done_statuses):
+    """Done shipments counted per service and time of travel: percentiles then keep one count per time."""
+    seconds = seconds_between(F.col("actual_departure_at"), F.col("actual_arrival_at"))
+    done = shipments.filter(has_status("status", done_statuses)).withColumn("seconds", seconds)
+    return done.groupBy(*SERVICE, "seconds").agg(F.count(F.lit(1)).alias("n"))
 
 
 def lane_times(shipments: DataFrame, least: int = 5, done_statuses=None) -> DataFrame:
     """p50 and p90 travel hours per lane, mode and carrier; with fewer than `least` trips those of the lane, then of the mode."""
-    counted = _travel_minutes(shipments, done_statuses)
+    counted = _travel_seconds(shipments, done_statuses)
 
     def times(keys, name):
         return counted.groupBy(*keys).agg(
             F.sum("n").alias(f"{name}_n"),
-            *[F.round(F.percentile("minutes", p, F.col("n")) / 60, 6).alias(f"{name}_p{round(100 * p)}") for p in (0.5, 0.9)],
+            *[F.round(F.percentile("seconds", p, F.col("n")) / 3600, 6).alias(f"{name}_p{round(100 * p)}") for p in (0.5, 0.9)],
         )
 
     joined = times(SERVICE, "service").join(times(LANE, "lane"), LANE).join(times(["transport_mode"], "mode"), "transport_mode")
@@ -92,19 +93,34 @@ def feature_stages(numbers: list[str], labels: list[str]) -> list:
     ]
 
 
+def arrived_by(features: DataFrame, day) -> DataFrame:
+    """Shipments whose arrival, and so whose travel time and delay, is known at the end of the day."""
+    return features.filter(F.to_date("actual_arrival_at") <= F.lit(day).cast("date"))
+
+
+def bins_for(prepared: PipelineModel) -> int:
+    """Bins that hold every label of the indexed columns, and the unknown one."""
+    return max(64, *[len(labels) + 1 for labels in prepared.stages[0].labelsArray])
+
+
 def eta_gbt(features: DataFrame, train_until, numbers=None, labels=None, seed: int = 7, rounds: int = 20) -> tuple[DataFrame, PipelineModel]:
-    """Boosted regression of travel hours; trained on departures up to a day, scored on those after it."""
+    """Boosted regression of travel hours; trained on shipments that arrived by a day, scored on departures after it."""
     numbers, labels = numbers or TRAVEL_NUMBERS, labels or TRAVEL_LABELS
     early = F.to_date("actual_departure_at") <= F.lit(train_until).cast("date")
-    learner = GBTRegressor(labelCol="travel_hours", predictionCol="predicted_hours", maxIter=rounds, maxDepth=4, maxBins=64, seed=seed)
-    model = Pipeline(stages=[*feature_stages(numbers, labels), learner]).fit(features.filter(early))
-    return model.transform(features.filter(~early)).select("id", "travel_hours", "predicted_hours"), model
+    known = cut(features)
+    train, prepared = arrived_by(known, train_until), feature_stages(numbers, labels)
+    prepared = Pipeline(stages=prepared).fit(train)
+    learner = GBTRegressor(
+        labelCol="travel_hours", predictionCol="predicted_hours", maxIter=rounds, maxDepth=4, maxBins=bins_for(prepared), seed=seed
+    )
+    model = PipelineModel([*prepared.stages, learner.fit(prepared.transform(train))])
+    return model.transform(known.filter(~early)).select("id", "travel_hours", "predicted_hours"), model
 
 
 def carrier_rank(shipments: DataFrame, k: int, done_statuses=None) -> DataFrame:
     """The k best carrier and mode pairs per lane by mean cost, then median travel time, then late share."""
-    times = _travel_minutes(shipments, done_statuses).groupBy(*SERVICE).agg(
-        F.round(F.percentile("minutes", 0.5, F.col("n")) / 60, 6).alias("p50_hours")
+    times = _travel_seconds(shipments, done_statuses).groupBy(*SERVICE).agg(
+        F.round(F.percentile("seconds", 0.5, F.col("n")) / 3600, 6).alias("p50_hours")
     )
     costs = shipments.filter(has_status("status", done_statuses)).groupBy(*SERVICE).agg(
         F.count(F.lit(1)).alias("trips"), ratio(exact_sum(number("freight_cost_sek")), F.count(F.lit(1))).alias("mean_cost_sek"),

@@ -120,7 +120,7 @@ def transfer_list(balances: DataFrame) -> DataFrame:
 
     Both sides lie end to end on one line per product. Every end on that line
     closes one move, so the work grows with the places of a product, not with
-    their pairs.
+    their pairs: read from the far end, each window only ever gains rows.
     """
     spare = decimal("available_quantity") - decimal("reorder_point_quantity")
     places = current_balances(balances).select(*PLACE, spare.alias("spare"))
@@ -131,11 +131,11 @@ def transfer_list(balances: DataFrame) -> DataFrame:
         return rows.select("product_id", F.sum("amount").over(lined_up).alias("end"), F.col("location_id").alias(side))
 
     points = ends("from_location_id", F.col("spare")).unionByName(ends("to_location_id", -F.col("spare")), allowMissingColumns=True)
-    ahead = Window.partitionBy("product_id").orderBy("end").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    ahead = Window.partitionBy("product_id").orderBy(F.desc("end")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     in_turn = Window.partitionBy("product_id").orderBy("end", F.col("from_location_id").isNull())
     moves = points.withColumns({
-        "from_location": F.first("from_location_id", ignorenulls=True).over(ahead),
-        "to_location": F.first("to_location_id", ignorenulls=True).over(ahead),
+        "from_location": F.last("from_location_id", ignorenulls=True).over(ahead),
+        "to_location": F.last("to_location_id", ignorenulls=True).over(ahead),
         "moved": F.col("end") - F.coalesce(F.lag("end").over(in_turn), F.lit(0)),
     })
     return moves.filter("moved > 0 and from_location is not null and to_location is not null").select(

@@ -85,7 +85,7 @@ def root_cause(
     One pass sums both periods at the finest grain; the k largest changes per dimension are kept, with their share.
     """
     inside = lambda period: F.col(day).between(*[F.lit(d).cast("date") for d in period])
-    part = lambda period: F.sum(F.when(inside(period), decimal(measure)).otherwise(F.lit(0).cast("decimal(18,4)")))
+    part = lambda period: F.sum(F.when(inside(period), decimal(measure)).otherwise(decimal(F.lit(0))))
     fine = facts.filter(inside(before) | inside(after)).groupBy(*dimensions).agg(part(before).alias("b"), part(after).alias("a"))
     split = fine.select(
         F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in dimensions])).alias("p"),
@@ -108,7 +108,7 @@ def late_shipment_alerts(shipments: DataFrame, items: DataFrame, products: DataF
     """Late shipments; the impact is the sales value on board."""
     late = shipments.filter(number("delay_hours") > least_hours).select(F.col("id").alias("shipment_id"), "delay_hours")
     prices = products.select(F.col("id").alias("product_id"), number("selling_price_sek").alias("price"))
-    loads = items.groupBy("shipment_id", "product_id").agg(F.sum(decimal("quantity")).cast("double").alias("q"))
+    loads = items.join(late, "shipment_id", "left_semi").select("shipment_id", "product_id", number("quantity").alias("q"))
     aboard = loads.join(prices, "product_id").groupBy("shipment_id").agg(
         exact_sum(F.col("q") * F.col("price")).alias("impact")
     ).join(late, "shipment_id")

@@ -11,11 +11,28 @@ from stockflow.functions.split_windows import day_chunk, last_known, number_chun
 def _hot(spark, n=3000):
     key = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 40).cast("string")))
     return spark.range(n).select(
-        F.col("id"), key.alias("k"), F.pmod(F.xxhash64("id"), F.lit(700)).cast("int").alias("t"),
+        F.col("id"), F.when(F.col("id") % 11 != 0, key).alias("k"), F.pmod(F.xxhash64("id"), F.lit(700)).cast("int").alias("t"),
         (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2000)) / 100.0 - 10).alias("v"),
     )
 
 
+# one level, two, and three; the hot key has a third of the rows, and most of them in one coarse chunk
+def _chunks():
+    return [
+        number_chunk("t", 50), [number_chunk("t", 5000), number_chunk("t", 7)],
+        [number_chunk("t", 300), number_chunk("t", 20), number_chunk("t", 1)],
+    ]
+
+
+def test_no_job_runs_while_a_plan_is_made(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    running_sums(_hot(spark), ["k"], _chunks()[1], ["t", "id"], {"s": F.col("v")})
+    last_known(_hot(spark), ["k"], _chunks()[1], ["t", "id"], "v", "l")
+    assert not tracker.getJobIdsForGroup("planning")
+    spark.sparkContext.setJobGroup("", "")
+
+
 def _same(a, b, columns):
     left = sorted(map(tuple, a.select(*columns).collect()), key=str)
     right = sorted(map(tuple, b.select(*columns).collect()), key=str)
@@ -26,23 +43,23 @@ def test_running_sum(spark):
     df = _hot(spark)
     plain = Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
     expected = df.withColumn("s", F.sum(F.col("v").cast("decimal(18,4)")).over(plain).cast("double"))
-    for largest in (0, 500, None):  # all keys split, only the hot one, none
-        _same(running_sums(df, ["k"], number_chunk("t", 50), ["t", "id"], {"s": F.col("v")}, largest=largest), expected, ["id", "s"])
+    for chunks in _chunks():
+        _same(running_sums(df, ["k"], chunks, ["t", "id"], {"s": F.col("v")}), expected, ["id", "s"])
 
 
 def test_previous_row(spark):
     df = _hot(spark)
     expected = df.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy("t", "id")))
-    for largest in (0, 500, None):
-        _same(previous_row(df, ["k"], number_chunk("t", 13), ["t", "id"], {"p": "v"}, largest), expected, ["id", "p"])
+    for chunks in _chunks():
+        _same(previous_row(df, ["k"], chunks, ["t", "id"], {"p": "v"}), expected, ["id", "p"])
 
 
 def test_last_known(spark):
     df = _hot(spark).withColumn("v", F.when(F.col("id") % 7 == 0, F.col("v")))
     plain = Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
     expected = df.withColumn("l", F.last("v", ignorenulls=True).over(plain))
-    for largest in (0, 500, None):
-        _same(last_known(df, ["k"], number_chunk("t", 20), ["t", "id"], "v", "l", largest), expected, ["id", "l"])
+    for chunks in _chunks():
+        _same(last_known(df, ["k"], chunks, ["t", "id"], "v", "l"), expected, ["id", "l"])
 
 
 def test_day_chunk(spark):
