@@ -38,17 +38,18 @@ def _named(numbered: DataFrame, names: list[dict[str, str]]) -> DataFrame:
 def key_duplicates(keys: list[tuple[str, DataFrame, list[str]]], rule: str) -> DataFrame:
     """Values of keys (table name, rows, one or more columns) that are null or occur more than once.
 
-    All keys are counted by one aggregation.
+    All keys are counted by one aggregation, part by part: the joined form is only shown.
     """
     tagged = [
-        df.select(
-            F.lit(i).alias("_ref"), (F.concat_ws("|", *key) if len(key) > 1 else F.col(key[0]).cast("string")).alias("key")
-        )
+        df.select(F.lit(i).alias("_ref"), F.array(*[F.col(c).cast("string") for c in key]).alias("_parts"))
         for i, (_, df, key) in enumerate(keys)
     ]
-    counted = union_all(tagged).groupBy("_ref", "key").agg(F.count(F.lit(1)).alias("occurrences"))
+    counted = union_all(tagged).groupBy("_ref", "_parts").agg(F.count(F.lit(1)).alias("occurrences"))
+    unknown = F.exists("_parts", lambda part: part.isNull())
+    shown = F.when(F.size("_parts") > 1, F.concat_ws("|", "_parts")).otherwise(F.col("_parts")[0])
+    counted = counted.filter(unknown | (F.col("occurrences") > 1)).select("_ref", shown.alias("key"), "occurrences")
     names = [{"table_name": name, "rule": rule, "column_name": "+".join(key)} for name, _, key in keys]
-    return _named(counted.filter("occurrences > 1 or key is null"), names)
+    return _named(counted, names)
 
 
 def pk_duplicates(tables: dict[str, DataFrame]) -> DataFrame:
@@ -182,14 +183,15 @@ def rekey(tables: dict[str, DataFrame], parent: str, mapping: DataFrame) -> dict
     return out
 
 
-def _differences(df: DataFrame, table: str, rule: str, stored: Column, computed: Column, tolerance: float) -> DataFrame:
-    return (
-        df.select(
-            F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), "id",
-            stored.cast("double").alias("stored"), computed.cast("double").alias("computed"),
-        )
-        .filter(F.col("computed").isNull() | (F.abs(F.col("stored") - F.col("computed")) > tolerance))
-    )
+def _differences(df: DataFrame, table: str, rules: dict[str, tuple[Column, Column]], tolerance: float) -> DataFrame:
+    """Rows whose stored value is not the computed one ({rule: (stored, computed)}); all rules read a row once."""
+    checks = F.array(*[
+        F.struct(F.lit(rule).alias("rule"), stored.cast("double").alias("stored"), computed.cast("double").alias("computed"))
+        for rule, (stored, computed) in rules.items()
+    ])
+    return df.select(F.lit(table).alias("table_name"), "id", F.inline(checks)).select(
+        "table_name", "rule", "id", "stored", "computed"
+    ).filter(F.col("computed").isNull() | (F.abs(F.col("stored") - F.col("computed")) > tolerance))
 
 
 def derived_columns_check(tables: dict[str, DataFrame], tolerance: float = 0.01) -> DataFrame:
@@ -197,13 +199,12 @@ def derived_columns_check(tables: dict[str, DataFrame], tolerance: float = 0.01)
     balances, shipments = tables["inventory_balances"], tables["shipments"]
     capacity, products = tables["production_capacity"], tables["products"]
     reports = [
-        _differences(balances, "inventory_balances", "available = on hand - reserved", number("available_quantity"),
-                     number("on_hand_quantity") - number("reserved_quantity"), tolerance),
-        _differences(shipments, "shipments", "delay = actual - planned arrival", number("delay_hours"),
-                     hours_between(F.col("planned_arrival_at"), F.col("actual_arrival_at")), tolerance),
-        _differences(capacity.filter(number("planned_capacity_units") != 0), "production_capacity",
-                     "utilization = actual / planned", number("utilization_rate"),
-                     F.try_divide(number("actual_capacity_units"), number("planned_capacity_units")), tolerance),
+        _differences(balances, "inventory_balances", {"available = on hand - reserved": (
+            number("available_quantity"), number("on_hand_quantity") - number("reserved_quantity"),
+        )}, tolerance),
+        _differences(capacity.filter(number("planned_capacity_units") != 0), "production_capacity", {"utilization = actual / planned": (
+            number("utilization_rate"), F.try_divide(number("actual_capacity_units"), number("planned_capacity_units")),
+        )}, tolerance),
     ]
     for header, line, price, quantity in (
         ("sales_orders", "sales_order_lines", "unit_price_sek", "ordered_quantity"),
@@ -214,28 +215,27 @@ def derived_columns_check(tables: dict[str, DataFrame], tolerance: float = 0.01)
             exact_sum(number(quantity) * number(price)).alias("_sum")
         )
         totals = tables[header].select("id", "total_value_sek").join(sums, "id", "left")
-        reports.append(_differences(totals, header, "total = sum of lines", number("total_value_sek"),
-                                    F.coalesce("_sum", F.lit(0.0)), tolerance))
+        reports.append(_differences(totals, header, {
+            "total = sum of lines": (number("total_value_sek"), F.coalesce("_sum", F.lit(0.0)))
+        }, tolerance))
     sizes = products.select(F.col("id").alias("product_id"), number("weight_kg").alias("_w"), number("volume_m3").alias("_v"))
     loads = tables["shipment_items"].join(sizes, "product_id").groupBy(F.col("shipment_id").alias("id")).agg(
         exact_sum(number("quantity") * F.col("_w")).alias("_weight"), exact_sum(number("quantity") * F.col("_v")).alias("_volume"),
     )
-    loaded = shipments.select("id", "total_weight_kg", "total_volume_m3").join(loads, "id", "left")
-    reports += [
-        _differences(loaded, "shipments", "weight = sum of items", number("total_weight_kg"),
-                     F.coalesce("_weight", F.lit(0.0)), tolerance),
-        _differences(loaded, "shipments", "volume = sum of items", number("total_volume_m3"),
-                     F.coalesce("_volume", F.lit(0.0)), tolerance),
-    ]
+    reports.append(_differences(shipments.join(loads, "id", "left"), "shipments", {
+        "delay = actual - planned arrival": (number("delay_hours"), hours_between(F.col("planned_arrival_at"), F.col("actual_arrival_at"))),
+        "weight = sum of items": (number("total_weight_kg"), F.coalesce("_weight", F.lit(0.0))),
+        "volume = sum of items": (number("total_volume_m3"), F.coalesce("_volume", F.lit(0.0))),
+    }, tolerance))
     return union_all(reports)
 
 
-def sequence_gaps(events: DataFrame, chunk_width: int = 1000, largest: int | None = None) -> DataFrame:
+def sequence_gaps(events: DataFrame, chunk_width: int = 1000) -> DataFrame:
     """Events whose number skips, repeats, or goes back in time against the event before (by number, then id)."""
     pairs = previous_row(
         events.select("id", "shipment_id", "event_sequence", "event_timestamp"), ["shipment_id"],
         number_chunk("event_sequence", chunk_width), ["event_sequence", "id"],
-        {"previous_sequence": "event_sequence", "previous_timestamp": "event_timestamp"}, largest,
+        {"previous_sequence": "event_sequence", "previous_timestamp": "event_timestamp"},
     )
     step = F.col("event_sequence") - F.col("previous_sequence")
     return (
