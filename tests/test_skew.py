@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stockflow.functions.exact import exact_sum
 from stockflow.functions.ranking import exact_percentiles, global_row_number, newest, tile
 from stockflow.functions.split_windows import day_chunk, last_known, number_chunk, previous_row, running_sums
 
@@ -62,13 +63,22 @@ def test_last_known(spark):
         _same(last_known(df, ["k"], chunks, ["t", "id"], "v", "l"), expected, ["id", "l"])
 
 
+def test_sums_keep_small_values_and_hold_large_ones(spark):
+    small = spark.range(1000).select(F.lit(3e-5).alias("v"))
+    assert small.agg(exact_sum("v").alias("s")).first().s == 0.03
+    large = spark.range(100).select(F.lit("k").alias("k"), F.col("id"), F.lit(1e9).alias("v"))
+    assert large.agg(exact_sum(F.col("v") * F.col("v")).alias("s")).first().s == 1e20
+    summed = running_sums(large, ["k"], [number_chunk("id", 10), F.col("id")], ["id"], {"s": F.col("v") * F.col("v")})
+    assert summed.agg(F.max("s")).first()[0] == 1e20
+
+
 def test_day_chunk(spark):
     df = spark.sql("select timestamp '1970-01-01 23:00:00' a, timestamp '1970-01-02 00:00:00' b, date '1969-12-31' c")
     assert tuple(df.select(day_chunk("a"), day_chunk("b"), day_chunk("c"), day_chunk("b", 7)).first()) == (0, 1, -1, 0)
 
 
 def test_newest(spark):
-    df = _hot(spark)
+    df = _hot(spark).filter("k is not null")
     got = {r.k: r.id for r in newest(df, ["k"], ["t", "id"]).collect()}
     rows = df.toPandas().sort_values(["t", "id"]).groupby("k").last()
     assert got == rows["id"].to_dict()
