@@ -29,7 +29,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: a space after white space or at the end, or white space at the end
 DOUBLE_SPACE = regex.compile(r"\s |\s$")
 #: words, and stretches of words, that a task keeps encoded; beyond, it starts anew
-CACHED_PIECES = 1_200_000
+CACHED_PIECES = 250_000
 NEVER = np.int64(1) << 40
 
 
