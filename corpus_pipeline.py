@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated runs of lines; one of which nothing is left goes. n_chars is counted anew."""
-    left = line_dedup.deduplicate(docs).filter((F.size("removed_lines") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    """Documents without their repeated runs of lines and passages of lines; one of which nothing is left goes. n_chars is counted anew."""
+    left = line_dedup.deduplicate(docs, words=line_dedup.PASSAGE_WORDS).filter((F.size("removed_lines") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     count = {"n_chars": F.coalesce(F.when(F.size("removed_lines") > 0, F.char_length("text").cast("long")), F.col("n_chars"))}
     return left.withColumns(count if "n_chars" in docs.columns else {}).select(*docs.columns)
 

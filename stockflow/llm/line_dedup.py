@@ -9,6 +9,11 @@ longer runs by themselves. No pairs are made: a window with many places gives on
 
 Result: a line goes if it lies in a run of RUN_LINES lines, or is a line of LONG_CHARS, that also starts earlier, in a
 document with a smaller id or higher up in the same one. "Earlier" is judged on the input, not on what is left.
+
+With `words` given, a run of any number of lines, one included, that holds more than so many words goes too. Of these
+only the shortest from each line onwards and the shortest up to each line are looked at, and a line
+that is long enough alone with each line beside it: any longer run is made of them, and each is at most words + 1 lines
+long, as every line looked at holds a word.
 """
 
 from __future__ import annotations
@@ -21,20 +26,64 @@ from stockflow.session import cut
 
 RUN_LINES = 3
 LONG_CHARS = 300
+#: passages of more words than this are the ones the pipeline deletes
+PASSAGE_WORDS = 50
 BLANK = " \t\n\x0b\f\r"
 
 
-def sequence(text: Column) -> Column:
-    """The lines that hold a word: place among all lines, two independent hashes, whether it is long."""
+def sequence(text: Column, counted: bool = False) -> Column:
+    """The lines that hold a word: place among all lines, two independent hashes, its characters, if asked its words."""
     lines = F.transform(F.split(text, "\n"), lambda line, i: let(
         F.trim(line, F.lit(BLANK)), lambda x: F.struct(
             i.alias("i"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"),
-            F.char_length(x).alias("n"),
+            F.char_length(x).alias("n"), *([F.size(F.split(x, "[ \t\n\x0b\f\r]+")).alias("words")] if counted else []),
         )
     ))
     return F.filter(lines, lambda x: x.n > 0)
 
 
+def passages(lines: Column, words: int) -> Column:
+    """The shortest runs of more than that many words from each line onwards, and up to each line, as windows()."""
+    def window(s, start, size):
+        part = F.slice(s, start + 1, size)
+        least = F.array_min(F.transform(part, lambda p: F.struct(p.h, p.i)))
+        return F.struct(
+            least["h"].alias("print"), F.xxhash64(F.transform(part, lambda p: p.h)).alias("a"),
+            F.xxhash64(F.transform(part, lambda p: p.g)).alias("b"),
+            F.get(s, start).i.alias("first"), F.get(s, start + size - 1).i.alias("last"), least["i"].alias("at"),
+        )
+
+    def reach(part):
+        """Lines and words of the shortest run of more than the words, from the first of these lines on."""
+        zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("total"))
+        return F.aggregate(part, zero, lambda r, p: F.when(r.total > words, r).otherwise(
+            F.struct((r.size + 1).alias("size"), (r.total + p.words).alias("total"))
+        ))
+
+    def both(s):
+        places = index(F.size(s) - 1)
+        # most runs are of few lines, so a few are tried first
+        tried = lambda part: let(reach(part(F.lit(min(8, words + 1)))), lambda r: (
+            F.when(r.total > words, r).otherwise(reach(part(F.lit(words + 1))))
+        ))
+        below = lambda j: lambda n: F.slice(s, j + 1, n)
+        above = lambda j: lambda n: F.reverse(F.slice(s, F.greatest(j - n + 2, F.lit(1)), F.least(n, j + 1)))
+        onwards = F.transform(places, lambda j: F.struct(j.alias("j"), tried(below(j)).alias("r")))
+        upto = F.transform(places, lambda j: F.struct(j.alias("j"), tried(above(j)).alias("r")))
+        # with the next line, so that what lies between two long ones goes with them
+        pairs = F.filter(index(F.size(s) - 2), lambda j: (F.get(s, j).words > words) | (F.get(s, j + 1).words > words))
+        return F.concat(
+            F.transform(pairs, lambda j: window(s, j, F.lit(2))),
+            F.transform(F.filter(onwards, lambda w: w.r.total > words), lambda w: window(s, w.j, w.r.size)),
+            # long enough without its last line too: no run onwards ends here
+            F.transform(
+                F.filter(upto, lambda w: w.r.total - F.get(s, w.j).words > words), lambda w: window(s, w.j - w.r.size + 1, w.r.size)
+            ),
+        )
+
+    return let(lines, both)
+
+
 def windows(lines: Column, run: int, long_chars: int) -> Column:
     """Per run: fingerprint, content (128 bits), first and last line, line of the fingerprint."""
     at = lambda s, i: F.get(s, i)
@@ -56,12 +105,15 @@ def windows(lines: Column, run: int, long_chars: int) -> Column:
 
 
 def repeated_lines(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", run: int = RUN_LINES, long_chars: int = LONG_CHARS
+    docs: DataFrame, id: str = "doc_id", text: str = "text", run: int = RUN_LINES, long_chars: int = LONG_CHARS,
+    words: int | None = None,
 ) -> DataFrame:
     """One row per document with a line to delete: _id, _key (a hash of its text) and _lines, the places in order."""
+    found = let(sequence(whole_text(text), words is not None), lambda s: (
+        windows(s, run, long_chars) if words is None else F.concat(windows(s, run, long_chars), passages(s, words))
+    ))
     rows = docs.select(
-        F.col(id).alias("_id"), F.xxhash64(whole_text(text)).alias("_key"),
-        F.explode(windows(sequence(whole_text(text)), run, long_chars)).alias("w"),
+        F.col(id).alias("_id"), F.xxhash64(whole_text(text)).alias("_key"), F.explode(found).alias("w"),
     ).select("_id", "_key", "w.*")
     # places of each fingerprint; a place chosen by several windows counts once
     places = rows.select("print", "_id", "_key", "at").distinct()
@@ -83,7 +135,8 @@ def without(text: Column, gone: Column) -> Column:
 
 
 def deduplicate(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", run: int = RUN_LINES, long_chars: int = LONG_CHARS
+    docs: DataFrame, id: str = "doc_id", text: str = "text", run: int = RUN_LINES, long_chars: int = LONG_CHARS,
+    words: int | None = None,
 ) -> DataFrame:
     """The documents with the repeated lines deleted from their text, and removed_lines, the deleted places (0-based).
 
@@ -91,7 +144,7 @@ def deduplicate(
     text stays null, an empty one empty. Lines compare without white space at their ends; lines without a word stay
     unless they lie inside a deleted run. Other columns are kept, one named removed_lines is replaced.
     """
-    found = repeated_lines(docs, id, text, run, long_chars)
+    found = repeated_lines(docs, id, text, run, long_chars, words)
     keyed = docs.select(
         F.struct("*").alias("_row"), F.col(id).alias("_doc"), F.col(text).alias("_text"), F.xxhash64(whole_text(text)).alias("_hash")
     )

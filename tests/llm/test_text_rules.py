@@ -2,6 +2,7 @@
 
 import base64
 import gzip
+import random
 import re
 import urllib.parse
 import zlib
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from stockflow.llm import decontaminate, line_dedup, rules, secret_scan
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -92,6 +94,38 @@ def test_repeated_lines(docs, corpus):
     assert keyed.count() == rows.count()
 
 
+def expected_passages(rows, words):
+    """Lines of any run of lines with more than so many words that starts earlier too, besides those of expected_lines."""
+    seen, gone = set(), expected_lines(list(enumerate(rows)))
+    for n, (_, text) in enumerate(rows):
+        lines = [(p, x.strip(SPACE)) for p, x in enumerate(text.split("\n")) if x.strip(SPACE)]
+        for j in range(len(lines)):
+            for k in range(j + 1, len(lines) + 1):
+                content = tuple(x for _, x in lines[j:k])
+                if sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in content) > words:
+                    if content in seen:
+                        gone[n].update(range(lines[j][0], lines[k - 1][0] + 1))
+                    seen.add(content)
+    return gone
+
+
+def test_repeated_passages_of_few_or_short_lines(spark):
+    rng = random.Random(8)
+    make = lambda n: " ".join(rng.choice(["ab", "cd", "ef", "gh"]) for _ in range(n))
+    one, two, just = make(51), f"{make(30)}\n \n{make(21)}", f"{make(30)}\n{make(20)}"
+    rows = [(0, f"a\n{one}\nb\n{two}\nc\n{just}\nd"), (1, f"e\n{just}\nf\n{one}\ng"), (2, f"h\n{two}\n{make(3)}"), (3, f"{one}\n{one}")]
+    rows += [(4, make(5)), (5, ""), (6, f"{one}\ni j\nk"), (7, f"l\n{one}\ni j\nk")]
+    pool = [make(rng.choice([1, 2, 9, 20, 51])) for _ in range(12)]
+    rows += [(8 + i, "\n".join(rng.choice([*pool, "", make(4)]) for _ in range(rng.randint(1, 90)))) for i in range(30)]
+    gone = expected_passages([(i, t) for i, t in rows], 50)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.removed_lines for r in line_dedup.deduplicate(frame, words=50).collect()}
+    assert got == {i: sorted(gone[i]) for i, _ in rows} and got[1] == [4] and got[2] == [1, 2, 3] and got[3] == [0, 1]
+    assert got[7] == [1, 2, 3]
+    kept = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, frame.filter("doc_id < 3"), "").collect()}
+    assert one not in kept[1] and two not in kept[2] and just in kept[1]
+
+
 def test_lines_of_an_empty_table(none):
     assert line_dedup.deduplicate(none).count() == 0
 
