@@ -1,15 +1,15 @@
 """Secrets in texts and in what is encoded inside them.
 
 Each text is scanned for three kinds of secrets. Encoded stretches are unwrapped on a worklist: URL escapes, Unicode
-escapes, base64 runs, and gzip or zlib data below base64. Each decoded layer is scanned again and put back on the
-worklist until nothing new comes out; a layer whose content was seen before in the document is not opened twice, so
-self-containing data ends. Every character of a layer knows the stretch of the original text that it comes from.
+escapes, base64 runs, and gzip or zlib data in any decoded layer. Each decoded layer is scanned again and put back on
+the worklist until nothing new comes out; a layer whose content was seen before in the document is not opened twice,
+so self-containing data ends. Layers are bytes, held as a string with one character for each, so no byte that is no
+text hides its neighbours. Every byte of a layer knows the stretch of the original text that it comes from.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import sys
@@ -35,11 +35,19 @@ HEX = re.compile(r"[0-9a-f]{%d,}" % HEX_CHARS)
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64_CHARS = 20
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % BASE64_CHARS)
+LETTER = r"[A-Za-z0-9+/_-]"
+BASE64 = re.compile(r"(?<!%s)%s{%d,}={0,2}" % (LETTER, LETTER, BASE64_CHARS))
+LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+GZIP = b"\x1f\x8b"
+# the two bytes that zlib data starts with, without a preset dictionary
+ZLIB = re.compile(b"|".join(
+    re.escape(bytes((a, b))) for a in range(8, 128, 16) for b in range(256) if (a << 8 | b) % 31 == 0 and not b & 32
+))
 # what the Arrow filters look for, a superset of what the patterns find
 HINTS = {
     "assign": r"(?i)password|passwd|secret|token|api_?key", "access": r"AKIA[A-Z0-9]", "hex": r"[0-9a-f]{%d}" % HEX_CHARS,
-    "coded": r"%%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#|[A-Za-z0-9+/_-]{%d}" % BASE64_CHARS,
+    "coded": r"%%%%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#|%s{%d}" % (LETTER, BASE64_CHARS),
 }
 
 
@@ -65,18 +73,9 @@ def replaced(text: str, origin: list[tuple[int, int]], pattern: re.Pattern, deco
     return ("".join(out) + text[at:], places + origin[at:]) if changed else None
 
 
-def url(m: re.Match) -> list[tuple[str, int, int]] | None:
-    """Characters of a run of URL escapes with their places in it; None if the bytes are no UTF-8."""
-    try:
-        chars = bytes.fromhex(m[0].replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    out, at = [], 0
-    for c in chars:
-        size = 3 * len(c.encode())
-        out.append((c, at, at + size))
-        at += size
-    return out
+def url(m: re.Match) -> list[tuple[str, int, int]]:
+    """Bytes of a run of URL escapes with their places in it."""
+    return [(chr(c), 3 * i, 3 * i + 3) for i, c in enumerate(bytes.fromhex(m[0].replace("%", "")))]
 
 
 def escape(m: re.Match) -> list[tuple[str, int, int]] | None:
@@ -84,86 +83,156 @@ def escape(m: re.Match) -> list[tuple[str, int, int]] | None:
     code = int(digits, 16) if digits else int(decimal)
     if code > 0x10FFFF or 0xD800 <= code < 0xE000:
         return None
-    return [(chr(code), 0, m.end() - m.start())]
+    # an escape for one byte is that byte, so that escaped binary data stays what it is
+    data = bytes([code]) if m[4] and code > 127 else chr(code).encode()
+    return [(chr(c), 0, m.end() - m.start()) for c in data]
+
 
+def inflate(data: bytes, whole: bool = False) -> tuple[bytes, int] | None:
+    """gzip (all members) or zlib data at the start, as far as it can be read, and the bytes it takes; None if it is neither.
 
-def inflate(data: bytes) -> bytes | None:
-    """gzip or zlib data, as far as it is whole; None if it is neither."""
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-        engine = zlib.decompressobj(47)
+    With `whole`, only data that is read to its end and fits its checksum.
+    """
+    out, rest, used = [], memoryview(data), 0
+    while rest[:2] == GZIP or ZLIB.match(rest):
+        engine, ended, got, at = zlib.decompressobj(47), False, [], 0
         try:
-            return engine.decompress(data) + engine.flush()
+            while at < len(rest) and not engine.eof:
+                got.append(engine.decompress(rest[at : at + 4096]))
+                at = min(len(rest), at + 4096)
+            ended = engine.eof
         except zlib.error:
-            return None
-    return None
-
-
-def unbase64(run: str) -> bytes | None:
+            pass
+        if not ended and (whole or out):
+            break
+        out += got
+        used += at - len(engine.unused_data) if ended else len(rest)
+        if not ended or rest[:2] != GZIP:
+            break
+        rest = rest[at - len(engine.unused_data) :]
+    text = b"".join(out)
+    return (text, used) if text else None
+
+
+def unbase64(run: str) -> bytes:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
         body = body[:-1]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def clean(data: bytes) -> bool:
+    """Whether it is text: UTF-8 without control characters."""
+    if CONTROL.search(data):
+        return False
     try:
-        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+        data.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def holds(text: str) -> bool:
+    """Whether a decoded layer may hold a secret or something encoded."""
+    return any(p.search(text) for p in (ASSIGN, ACCESS, HEX, URL, ESCAPE, BASE64))
 
 
-def below(run: str, origin: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]] | None:
-    """The text under a base64 run, through any compressed layers; None if it is no text.
+def below(run: str, origin: list[tuple[int, int]], starts: list[int]):
+    """The layers under a base64 run. starts: where in the run what is encoded may start, besides its first letter.
 
-    Characters map to the four-letter groups that hold them, those of compressed data to the whole run.
+    Bytes map to the four-letter groups that hold them, those of compressed data to all letters of it.
     """
-    data = unbase64(run)
-    if data is None:
-        return None
-    packed, seen = False, set()
-    while (more := inflate(data)) is not None and (key := hashlib.sha256(data).digest()) not in seen:
-        seen.add(key)
-        data, packed = more, True
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    if any(c < " " and c not in "\t\n\r" for c in text):
-        return None
-    if packed:
-        return text, [(origin[0][0], origin[-1][1])] * len(text)
-    places, at, last = [], 0, len(origin) - 1
-    for c in text:
-        size = len(c.encode())
-        places.append((origin[min(last, at // 3 * 4)][0], origin[min(last, (at + size - 1) // 3 * 4 + 3)][1]))
-        at += size
-    return text, places
-
-
-def decoded_layers(text: str, origin: list[tuple[int, int]]):
-    """What comes out of one layer: the layer without URL escapes, without Unicode escapes, and each base64 run's text."""
+    last = len(run) - 1
+
+    def places(shift, start, end):
+        return [(origin[min(last, shift + t // 3 * 4)][0], origin[min(last, shift + t // 3 * 4 + 3)][1]) for t in range(start, end)]
+
+    for shift in range(1):
+        data = unbase64(run[shift:])
+        offsets = [(s - shift) // 4 * 3 for s in [0, *starts] if s % 4 == shift]
+        packed = {*offsets, *(m.start() for m in re.finditer(GZIP, data))}
+        found = [(at, got) for at in sorted(packed) if (got := inflate(data[at:] if data[at : at + 2] == GZIP or ZLIB.match(data, at) else b""))]
+        for at, (text, used) in found:
+            first, end = places(shift, at, at + 1)[0], places(shift, at + used - 1, at + used)[0]
+            yield text.decode("latin-1"), [(first[0], end[1])] * len(text)
+        # from the first start on after which all is text, what stands before it is no part of it
+        bad = max((m.start() for m in CONTROL.finditer(data)), default=-1)
+        cut = next((at for at in [o for o in offsets if bad < o < len(data)][:64] if clean(data[at:])), 0)
+        for start, end in ((0, cut), (cut, len(data))):
+            part = data[start:end].decode("latin-1")
+            if part and holds(part):
+                yield part, places(shift, start, end)
+        if shift == 0 and (clean(data) or found and found[0][0] == 0):
+            return
+
+
+def runs(m: re.Match):
+    """The base64 runs of a match, as lists of (start, end) of their lines: all lines together, and each that is long enough."""
+    lines = [x.span() for x in LINE.finditer(m.string, m.start(), m.end())]
+    if len(lines) == 1:
+        return [lines]
+    alone = [[(a, b)] for a, b in lines if b - a >= BASE64_CHARS]
+    whole = unbase64("".join(m.string[a:b] for a, b in lines))
+    if len(lines) > 2 and clean(whole):
+        return [lines]
+    if len(lines) == 2 and alone and alone[0][0] == lines[0] and clean(unbase64(m.string[slice(*lines[0])])) and not clean(whole):
+        # a line that is text by itself, and a word below it that is not
+        return alone
+    return [lines, *alone]
+
+
+def decoded_layers(text: str, origin: list[tuple[int, int]], original: bool = False):
+    """What comes out of one layer: without URL escapes, without Unicode escapes, under its base64 runs, and inflated."""
     for pattern, decode in ((URL, url), (ESCAPE, escape)):
         if got := replaced(text, origin, pattern, decode):
             yield got
     for m in BASE64.finditer(text):
-        if got := below(m[0], origin[m.start() : m.end()]):
-            yield got
+        for lines in runs(m):
+            run = "".join(text[a:b] for a, b in lines)
+            known = [o for a, b in lines for o in origin[a:b]]
+            ends = {sum(b - a for a, b in lines[:i]) for i in range(1, len(lines))}
+            starts = sorted(ends | {i + 1 for i, c in enumerate(run) if c in "/-_" and i + 1 < len(run)})
+            yield from below(run, known, starts)
+    if not original:
+        data = text.encode("latin-1")
+        for m in re.finditer(b"%s|%s" % (re.escape(GZIP), ZLIB.pattern), data):
+            at = m.start()
+            if got := inflate(data[at:], whole=at > 0 and m[0] != GZIP):
+                yield got[0].decode("latin-1"), [(origin[at][0], origin[at + got[1] - 1][1])] * len(got[0])
+
+
+def stretches(text: str) -> list[tuple[int, int]]:
+    """The lines of a text that hold something encoded, together where it goes on from one to the next."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(m.span() for p in (URL, ESCAPE, BASE64) for m in p.finditer(text)):
+        if out and end <= out[-1][1]:
+            continue
+        start, end = text.rfind("\n", 0, start) + 1, text.find("\n", end)
+        end = len(text) if end < 0 else end
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
 
 
 def hidden(text: str) -> set[tuple[str, int, int]]:
     """Secrets of the decoded layers, as spans of the text. Layers start from lines that hold something encoded."""
     found, seen = set(), set()
-    work, at = [], 0
-    for line in text.split("\n"):
-        if URL.search(line) or ESCAPE.search(line) or BASE64.search(line):
-            work.append((line, [(at + i, at + i + 1) for i in range(len(line))], True))
-        at += len(line) + 1
+    work = []
+    for start, end in stretches(text):
+        chars = [(c.encode("utf-8", "surrogatepass").decode("latin-1"), i) for i, c in enumerate(text[start:end], start)]
+        work.append(("".join(c for c, _ in chars), [(i, i + 1) for c, i in chars for _ in c], True))
     while work:
         layer, origin, original = work.pop()
         if not original:
-            key = (hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest(), origin[:1], origin[-1:])
+            key = (hashlib.sha256(layer.encode("latin-1")).digest(), origin[:1], origin[-1:])
             key = (key[0], *(x for o in (key[1], key[2]) for x in o))
             if key in seen:
                 continue
             seen.add(key)
             found.update((kind, origin[a][0], origin[b - 1][1]) for kind, a, b in scan(layer))
-        work += [(inner, places, False) for inner, places in decoded_layers(layer, origin) if inner]
+        work += [(inner, places, False) for inner, places in decoded_layers(layer, origin, original) if inner]
     return found
 
 

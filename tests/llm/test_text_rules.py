@@ -160,6 +160,20 @@ def test_hidden_secrets_map_to_the_encoded_stretch():
     assert any(k == "access" for k, _ in plain(mixed))
 
 
+def test_bytes_that_are_no_text_hide_nothing():
+    secret = b"password = hunter2hunter2"
+    for data in (b"\x00" + secret, secret + b"\xff\x1b", b"\x1b[1m" + secret + b"\xc3"):
+        assert any(k == "assign" for k, _ in plain(f"x {base64.b64encode(data).decode()} y"))
+    escaped = "".join(f"%{c:02X}" for c in b"\xff" + secret)
+    assert plain(f"x {escaped} y") == {("assign", escaped[3:])}
+    for pack in (gzip.compress, zlib.compress):
+        data = pack(secret)
+        for text in ("".join(f"%{c:02x}" for c in data), "".join(f"\\x{c:02x}" for c in data)):
+            assert ("assign", text) in plain(f"x {text} y")
+    both = base64.b64encode(gzip.compress(b"first") + gzip.compress(secret)).decode()
+    assert any(k == "assign" for k, _ in plain(f"x {both} y"))
+
+
 def test_layers_that_repeat_end():
     assert secret_scan.hidden("%2525252525" * 50) == set()
     assert secret_scan.hidden(r"\u005cu005cu005c" * 30) == set()
