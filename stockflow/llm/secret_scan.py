@@ -5,6 +5,9 @@ escapes, base64 runs, and gzip or zlib data in any decoded layer. Each decoded l
 the worklist until nothing new comes out; a layer whose content was seen before in the document is not opened twice,
 so self-containing data ends. Layers are bytes, held as a string with one character for each, so no byte that is no
 text hides its neighbours. Every byte of a layer knows the stretch of the original text that it comes from.
+
+A base64 run may go on over line breaks. If it is text from its first letter on, that is what it holds; if not, it is
+read at all four alignments, so what stands before it ('/blob/', 'id-', a word) does no harm.
 """
 
 from __future__ import annotations
@@ -34,9 +37,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{%d,}" % (ACCESS_CHARS - 4))
 HEX = re.compile(r"[0-9a-f]{%d,}" % HEX_CHARS)
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-BASE64_CHARS = 20
-LETTER = r"[A-Za-z0-9+/_-]"
-BASE64 = re.compile(r"(?<!%s)%s{%d,}={0,2}" % (LETTER, LETTER, BASE64_CHARS))
+# the letters of the shortest secret, 'token=' and its value, without padding
+BASE64_CHARS = -(-(6 + ASSIGN_CHARS) * 8 // 6)
+LETTER, BREAK = r"[A-Za-z0-9+/_-]", r"[\x20\t]*\r?\n[\x20\t]*"
+BASE64 = re.compile(r"(?<!%s)(?:%s(?:%s(?=%s))?){%d,}={0,2}" % (LETTER, LETTER, BREAK, LETTER, BASE64_CHARS))
 LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 GZIP = b"\x1f\x8b"
@@ -47,7 +51,7 @@ ZLIB = re.compile(b"|".join(
 # what the Arrow filters look for, a superset of what the patterns find
 HINTS = {
     "assign": r"(?i)password|passwd|secret|token|api_?key", "access": r"AKIA[A-Z0-9]", "hex": r"[0-9a-f]{%d}" % HEX_CHARS,
-    "coded": r"%%%%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#|%s{%d}" % (LETTER, BASE64_CHARS),
+    "coded": r"%%%%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#|(?:%s(?:%s)?){%d}" % (LETTER, BREAK, BASE64_CHARS),
 }
 
 
@@ -147,7 +151,7 @@ def below(run: str, origin: list[tuple[int, int]], starts: list[int]):
     def places(shift, start, end):
         return [(origin[min(last, shift + t // 3 * 4)][0], origin[min(last, shift + t // 3 * 4 + 3)][1]) for t in range(start, end)]
 
-    for shift in range(1):
+    for shift in range(4):
         data = unbase64(run[shift:])
         offsets = [(s - shift) // 4 * 3 for s in [0, *starts] if s % 4 == shift]
         packed = {*offsets, *(m.start() for m in re.finditer(GZIP, data))}

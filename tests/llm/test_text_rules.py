@@ -160,6 +160,25 @@ def test_hidden_secrets_map_to_the_encoded_stretch():
     assert any(k == "access" for k, _ in plain(mixed))
 
 
+def test_base64_after_names_short_or_wrapped():
+    rng = random.Random(9)
+    noise = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz\n ") for _ in range(400))
+    secret = "password = hunter2hunter2"
+    once = base64.b64encode(secret.encode()).decode()
+    for before in ("/blob/", "id-", "a/b_c-", "xy", "word\n"):
+        found = secret_scan.hidden(f"see {before}{once} there")
+        at = 4 + len(before)
+        assert ("assign", at, at + len(once)) in found, before
+    assert plain("x dG9rZW49YWJjZGVmZ2g= y") == {("assign", "dG9rZW49YWJjZGVmZ2g=")}
+    long = f"{noise}{secret} {noise}"
+    for data in (long.encode(), gzip.compress(long.encode()), zlib.compress(long.encode())):
+        letters = base64.b64encode(data).decode()
+        for width, end in ((76, "\n"), (64, "\r\n"), (16, "\n  ")):
+            text = f"-----BEGIN-----{end}" + end.join(letters[i : i + width] for i in range(0, len(letters), width)) + f"{end}-----END-----"
+            assert any(k == "assign" for k, _ in plain(text)), (width, data[:4])
+    assert secret_scan.hidden(f"{once}\nbe it so") == {("assign", 0, len(once))}
+
+
 def test_bytes_that_are_no_text_hide_nothing():
     secret = b"password = hunter2hunter2"
     for data in (b"\x00" + secret, secret + b"\xff\x1b", b"\x1b[1m" + secret + b"\xc3"):
@@ -174,6 +193,12 @@ def test_bytes_that_are_no_text_hide_nothing():
     assert any(k == "assign" for k, _ in plain(f"x {both} y"))
 
 
+def test_short_wrapped_base64_through_spark(spark):
+    rows = [(1, "x dG9rZW49YWJjZGVmZ2g= y"), (2, "dG9rZW49\nYWJjZGVm\nZ2g="), (3, "%70assword%3Dabcdefgh")]
+    got = secret_scan.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: len(r.spans) for r in got} == {1: 1, 2: 1, 3: 1}
+
+
 def test_layers_that_repeat_end():
     assert secret_scan.hidden("%2525252525" * 50) == set()
     assert secret_scan.hidden(r"\u005cu005cu005c" * 30) == set()
