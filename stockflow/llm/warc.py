@@ -211,19 +211,24 @@ def write(
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The records of the files that the manifest names: page_id, url, record_type, payload_bytes, payload_digest,
     refers_to, payload (null for revisits). A payload that does not fit its digest, or a file that differs from the
-    manifest, is an error. payload_bytes and payload_digest are those of the full payload.
+    manifest or is missing, is an error. payload_bytes and payload_digest are those of the full payload.
     """
     named = spark.read.schema("file string, records bigint, bytes bigint, sha1 string").json(f"{folder}/MANIFEST.json")
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    files = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(F.broadcast(named.limit(1_000_000)), "file")
+    found = found.withColumn("file", F.element_at(F.split("path", "/"), -1))
+    if not named.join(found.select("file"), "file", "left_anti").isEmpty():  # names only, no content is read
+        raise ValueError("an archive of the manifest is missing")
+    # Spark broadcasts a manifest under the session's threshold by itself
+    files = found.join(named, "file")
 
     def run(batches):
         for batch in batches:
             for content, sha1, records in zip(batch.column("content"), batch.column("sha1"), batch.column("records")):
-                data, rows = content.as_py(), []
+                data, rows, left = content.as_py(), [], records.as_py()
                 if hashlib.sha1(data).hexdigest() != sha1.as_py():
                     raise ValueError("an archive differs from its manifest")
                 for headers, payload in parse(data):
+                    left -= 1
                     digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
                     fresh = headers["WARC-Type"] == "response"
                     if fresh and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
@@ -236,6 +241,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     if len(rows) == 500:
                         yield _batch(rows)
                         rows = []
+                if left:
+                    raise ValueError("an archive holds more or fewer records than its manifest says")
                 yield _batch(rows)
 
     return files.select("content", "sha1", "records").mapInArrow(run, READ)

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import json
 import random
+import shutil
 from collections import Counter
 from urllib.parse import urlparse
 
@@ -149,6 +150,20 @@ def test_archives_are_the_same_bytes_in_every_run(spark):
         assert one == two and gzip.decompress(one).startswith(b"WARC/1.1\r\n")
 
 
+def test_every_file_of_the_manifest_is_read_and_counted(spark):
+    folder, _ = written(spark)
+    assert "GlobalLimit" not in (plan := warc.read(spark, folder)._jdf.queryExecution().toString()) and "hint" not in plan.lower()
+    path = urlparse(folder).path
+    files = [json.loads(line) for line in open(f"{path}/MANIFEST.json")]
+    for wrong in ({**files[0], "records": files[0]["records"] + 1}, {**files[0], "file": "none.warc.gz"}):
+        other = shared_folder(spark, "archives")
+        shutil.copytree(path, urlparse(other).path)
+        with open(f"{urlparse(other).path}/MANIFEST.json", "w") as out:
+            out.writelines(json.dumps(f) + "\n" for f in [wrong, *files[1:]])
+        with pytest.raises(Exception, match="an archive (of the manifest is missing|holds more or fewer)"):
+            warc.read(spark, other).count()
+
+
 def test_archives_of_an_empty_table(spark):
     folder = shared_folder(spark, "archives")
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), folder)
