@@ -5,9 +5,10 @@ import pytest
 
 import __spark_entry__ as entry_module
 from bindings.compare import compare
+from bindings.registry import oracle_queries, spark_queries
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLES = spark_queries(), oracle_queries()
 # rows that only larger data gives
 MAY_BE_EMPTY = {"single_source_check"}
 
@@ -22,6 +23,7 @@ def duck():
 
 def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
 @pytest.mark.parametrize("key", list(QUERIES))
