@@ -237,7 +237,7 @@ def _(t):
 def _(t):
     skipped = F.col("event_sequence") + F.when(F.col("event_type") == "error", 1).otherwise(0)
     feed = t.shipment_events.withColumns({"event_sequence": skipped, "event_timestamp": F.col("received_at")})
-    return quality.sequence_gaps(feed, chunk_width=20)
+    return quality.sequence_gaps(feed)
 
 
 @query("range_order_check", "\nunion all\n".join(

@@ -1,10 +1,12 @@
 """Ordered windows that survive a very large key.
 
-A plain window sorts all rows of a key in one task. Here a key is always cut into chunks along its order, coarse ones
-(days, ranges of a number) and, where given, finer ones inside them (minutes, prefixes of an id): the window runs
-inside the finest chunk, one small row per key and chunk carries the state on, first within the coarse chunk, then
-from one coarse chunk to the next, and both meet in a join. Results equal those of the plain window, nulls included.
-The plan is the same for keys of every size, and nothing is run while it is made.
+A plain window sorts all rows of a key in one task. Here a key with more than its share of the rows is cut into
+stretches of its order, about as many rows each as one of `parts` equal parts of the table: the window runs inside
+(key, stretch), and one small row per stretch carries the state on to the next ones. All other keys have one stretch.
+The cuts come from the SAMPLE * parts rows with the least hash, so they follow from the rows alone: a task that runs
+again finds the same ones. There are at most `parts` of them, whatever the table, so they and the carried rows are
+broadcast; the rows themselves are shuffled once, by the window. Results equal those of the plain window, nulls
+included. Nothing is run while the plan is made.
 """
 
 from __future__ import annotations
@@ -16,37 +18,21 @@ from pyspark.sql import functions as F
 
 from stockflow.functions.exact import SCALE, decimal
 
-
-def day_chunk(column, days: int = 1) -> Column:
-    column = F.col(column) if isinstance(column, str) else column
-    return F.floor(F.datediff(F.to_date(column), F.lit("1970-01-01").cast("date")) / days)
-
-
-def minute_chunk(column) -> Column:
-    column = F.col(column) if isinstance(column, str) else column
-    return F.floor(F.unix_micros(column.cast("timestamp")) / 60_000_000)
-
-
-def number_chunk(column, width: int) -> Column:
-    column = F.col(column) if isinstance(column, str) else column
-    return F.floor(column / width)
+#: rows of the sample in one part
+SAMPLE = 50
+#: cuts are looked up in groups of this many
+GROUP = 16
 
 
 def _upto(window: WindowSpec) -> WindowSpec:
     return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _chunked(df: DataFrame, chunks) -> tuple[DataFrame, list[str]]:
-    """The rows with a column per level of chunks, from coarse to fine."""
-    levels = {f"_chunk{i}": c for i, c in enumerate(chunks if isinstance(chunks, list) else [chunks])}
-    return df.withColumns(levels), list(levels)
-
-
-def _meet(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Left join in which nulls are equal; the right side brings only its other columns."""
+def _meet(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Join in which nulls are equal, to a side of at most as many rows as parts; it brings only its other columns."""
     right = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
-    return left.join(right, same, "left").drop(*[f"_on_{c}" for c in on])
+    return left.join(F.broadcast(right), same, how).drop(*[f"_on_{c}" for c in on])
 
 
 def _added(a: Column, b: Column, scale: int) -> Column:
@@ -54,64 +40,80 @@ def _added(a: Column, b: Column, scale: int) -> Column:
     return a.cast(f"decimal(37,{scale})") + b.cast(f"decimal(37,{scale})")
 
 
-def _carried(
-    totals: DataFrame, keys: list[str], levels: list[str], values: list[str], add: bool, scale: int = SCALE
-) -> DataFrame:
-    """Per key and chunk, what the chunks before it amount to: sums, or the last that is not null."""
-    *upper, level = levels
-    before = Window.partitionBy(*keys, *upper).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
-    state = lambda v: F.sum(v).over(before) if add else F.last(v, ignorenulls=True).over(before)
-    own = totals.select(*keys, *levels, *[state(v).alias(v) for v in values])
-    if not upper:
-        return own
-    # max_by would pass over a null level, which comes first: as part of a struct it does not
-    whole = lambda v: F.sum(v) if add else F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(level)))
-    above = _carried(totals.groupBy(*keys, *upper).agg(*[whole(v).alias(v) for v in values]), keys, upper, values, add, scale)
-    both = _meet(own, above.withColumnsRenamed({v: f"_above{v}" for v in values}), [*keys, *upper])
-    sums = lambda v: F.when(F.col(v).isNull(), F.col(f"_above{v}")).when(F.col(f"_above{v}").isNull(), F.col(v)).otherwise(_added(F.col(v), F.col(f"_above{v}"), scale))
-    last = lambda v: F.coalesce(v, f"_above{v}")
-    return both.select(*keys, *levels, *[(sums if add else last)(v).alias(v) for v in values])
+def _either(own: Column, carried: Column, scale: int) -> Column:
+    return F.when(own.isNull(), carried).when(carried.isNull(), own).otherwise(_added(own, carried, scale))
+
+
+class Stretches:
+    """The rows with `_part`, the number of their stretch of the key; `hot` are those of keys with several."""
+
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], parts: int | None = None):
+        parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.keys, self.order = keys, order
+        sample = df.select(*keys, F.struct(*order).alias("_at")).orderBy(F.xxhash64(*keys, "_at")).limit(SAMPLE * parts)
+        placed = sample.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_at")))
+        cuts = placed.filter(F.col("_n") % SAMPLE == 0).groupBy(*keys).agg(F.sort_array(F.collect_set("_at")).alias("_cuts"))
+        self.cuts = cuts.withColumn("_groups", F.filter("_cuts", lambda c, i: i % GROUP == GROUP - 1))
+        self.rows, self.hot = self._numbered(df, "left"), self._numbered(df, "inner")
+        self.inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+        self.before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+    def _numbered(self, df: DataFrame, how: str) -> DataFrame:
+        at = F.struct(*self.order)
+        passed = lambda cuts: F.size(F.filter(cuts, lambda c: c <= at))
+        rows = _meet(df, self.cuts, self.keys, how).withColumn("_above", F.when(F.col("_cuts").isNotNull(), GROUP * passed("_groups")))
+        part = F.col("_above") + passed(F.slice("_cuts", F.col("_above") + 1, GROUP))
+        return rows.withColumn("_part", F.coalesce(part, F.lit(0))).drop("_cuts", "_groups", "_above")
+
+    def carry(self, local: DataFrame, states: dict[str, tuple[Column, callable]]) -> DataFrame:
+        """The rows with, per name, what all stretches before theirs come to; {name: (aggregate, its sum or last)}."""
+        totals = self.hot.groupBy(*self.keys, "_part").agg(*[total.alias(n) for n, (total, _) in states.items()])
+        carried = totals.select(*self.keys, "_part", *[then(n).over(self.before).alias(n) for n, (_, then) in states.items()])
+        return _meet(local, carried, [*self.keys, "_part"])
+
+
+def _last(name: str) -> Column:
+    return F.last(name, ignorenulls=True)
+
+
+def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str, parts: int | None = None) -> DataFrame:
+    """Add the number of the row, from 0, per key in the given order."""
+    cut = Stretches(df, keys, order, parts)
+    local = cut.rows.withColumn("_local", F.row_number().over(cut.inside))
+    joined = cut.carry(local, {"_count": (F.count(F.lit(1)), F.sum)})
+    return joined.select(*df.columns, (F.col("_local") - 1 + F.coalesce("_count", F.lit(0))).cast("long").alias(out))
 
 
 def running_sums(
-    df: DataFrame, keys: list[str], chunks: Column | list[Column], order: list[str], sums: dict[str, Column], scale: int = SCALE
+    df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], scale: int = SCALE, parts: int | None = None
 ) -> DataFrame:
     """Add, per key in the given order, the sum of each column up to and including the row."""
-    rows, levels = _chunked(df, chunks)
+    cut = Stretches(df, keys, order, parts)
     amounts = {n: decimal(c, scale) for n, c in sums.items()}
-    totals = rows.groupBy(*keys, *levels).agg(*[F.sum(a).alias(f"_c_{n}") for n, a in amounts.items()])
-    inside = _upto(Window.partitionBy(*keys, *levels).orderBy(*order))
-    local = rows.withColumns({f"_l_{n}": F.sum(a).over(inside) for n, a in amounts.items()})
-    joined = _meet(local, _carried(totals, keys, levels, [f"_c_{n}" for n in sums], True, scale), [*keys, *levels])
-
-    def total(name):
-        own, carried = F.col(f"_l_{name}"), F.col(f"_c_{name}")
-        return F.when(own.isNull(), carried).when(carried.isNull(), own).otherwise(_added(own, carried, scale)).cast("double")
-
-    return joined.select(*df.columns, *[total(n).alias(n) for n in sums])
+    local = cut.rows.withColumns({f"_l_{n}": F.sum(a).over(_upto(cut.inside)) for n, a in amounts.items()})
+    joined = cut.carry(local, {f"_c_{n}": (F.sum(a), F.sum) for n, a in amounts.items()})
+    total = lambda n: _either(F.col(f"_l_{n}"), F.col(f"_c_{n}"), scale).cast("double").alias(n)
+    return joined.select(*df.columns, *map(total, sums))
 
 
 def previous_row(
-    df: DataFrame, keys: list[str], chunks: Column | list[Column], order: list[str], previous: dict[str, str]
+    df: DataFrame, keys: list[str], order: list[str], previous: dict[str, str], parts: int | None = None
 ) -> DataFrame:
     """Add the named columns of the row before, per key in the given order ({new name: column})."""
-    rows, levels = _chunked(df, chunks)
-    rows = rows.withColumn("_row", F.struct(*[F.col(c).alias(n) for n, c in previous.items()]))
-    ends = rows.groupBy(*keys, *levels).agg(F.max_by("_row", F.struct(*order)).alias("_end"))
-    local = rows.withColumn("_before", F.lag("_row").over(Window.partitionBy(*keys, *levels).orderBy(*order)))
-    joined = _meet(local, _carried(ends, keys, levels, ["_end"], False), [*keys, *levels])
+    held = df.withColumn("_row", F.struct(*[F.col(c).alias(n) for n, c in previous.items()]))
+    cut = Stretches(held, keys, order, parts)
+    local = cut.rows.withColumn("_before", F.lag("_row").over(cut.inside))
+    joined = cut.carry(local, {"_end": (F.max_by("_row", F.struct(*order)), _last)})
     joined = joined.withColumn("_before", F.coalesce("_before", "_end"))
     return joined.select(*df.columns, *[F.col(f"_before.{n}").alias(n) for n in previous])
 
 
 def last_known(
-    df: DataFrame, keys: list[str], chunks: Column | list[Column], order: list[str], value: str, out: str
+    df: DataFrame, keys: list[str], order: list[str], value: str, out: str, parts: int | None = None
 ) -> DataFrame:
     """Add the newest non-null value at or before the row, per key in the given order."""
-    rows, levels = _chunked(df, chunks)
+    cut = Stretches(df, keys, order, parts)
     known = F.when(F.col(value).isNotNull(), F.struct(*order))
-    ends = rows.groupBy(*keys, *levels).agg(F.max_by(value, known).alias("_end"))
-    inside = _upto(Window.partitionBy(*keys, *levels).orderBy(*order))
-    local = rows.withColumn("_local", F.last(value, ignorenulls=True).over(inside))
-    joined = _meet(local, _carried(ends, keys, levels, ["_end"], False), [*keys, *levels])
+    local = cut.rows.withColumn("_local", F.last(value, ignorenulls=True).over(_upto(cut.inside)))
+    joined = cut.carry(local, {"_end": (F.max_by(value, known), _last)})
     return joined.select(*df.columns, F.coalesce("_local", "_end").alias(out))

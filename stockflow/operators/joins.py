@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stockflow.functions.exact import exact_sum
 from stockflow.functions.measures import number
-from stockflow.functions.split_windows import day_chunk, last_known
+from stockflow.functions.split_windows import last_known
 
 
 def prefixed(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
@@ -85,7 +85,7 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], day: str,
 
 def as_of(
     requests: DataFrame, facts: DataFrame, keys: list[str], request_time: str, fact_time: str,
-    fact_id: str, values: list[str], chunk_days: int = 1,
+    fact_id: str, values: list[str],
 ) -> DataFrame:
     """Each request with the values of the newest fact at or before its time (the higher id at equal times)."""
     asked = requests.select(
@@ -97,9 +97,7 @@ def as_of(
         F.struct(F.col(fact_time).alias("as_of_time"), *values).alias("_fact"),
     )
     both = asked.unionByName(facts_, allowMissingColumns=True)
-    # a busy day is cut further where its times are, then its ids
-    fine = [day_chunk("_time", chunk_days), F.col("_time").cast("timestamp"), F.struct("_side", F.substring("_tie", 1, 6))]
-    known = last_known(both, keys, fine, ["_time", "_side", "_tie"], "_fact", "_found")
+    known = last_known(both, keys, ["_time", "_side", "_tie"], "_fact", "_found")
     return known.filter("_side = 1").select("_request.*", "_found.*")
 
 

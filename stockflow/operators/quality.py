@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stockflow import schema
 from stockflow.functions.exact import exact_sum
 from stockflow.functions.measures import hours_between, number
-from stockflow.functions.split_windows import number_chunk, previous_row
+from stockflow.functions.split_windows import previous_row
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -230,11 +230,11 @@ def derived_columns_check(tables: dict[str, DataFrame], tolerance: float = 0.01)
     return union_all(reports)
 
 
-def sequence_gaps(events: DataFrame, chunk_width: int = 1000) -> DataFrame:
+def sequence_gaps(events: DataFrame) -> DataFrame:
     """Events whose number skips, repeats, or goes back in time against the event before (by number, then id)."""
     pairs = previous_row(
         events.select("id", "shipment_id", "event_sequence", "event_timestamp"), ["shipment_id"],
-        number_chunk("event_sequence", chunk_width), ["event_sequence", "id"],
+        ["event_sequence", "id"],
         {"previous_sequence": "event_sequence", "previous_timestamp": "event_timestamp"},
     )
     step = F.col("event_sequence") - F.col("previous_sequence")

@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from stockflow.functions.exact import decimal, exact_sum, ratio, sample_variance
 from stockflow.functions.measures import number, seconds_between
 from stockflow.functions.ranking import newest
-from stockflow.functions.split_windows import day_chunk, minute_chunk, previous_row, running_sums
+from stockflow.functions.split_windows import previous_row, running_sums
 
 
-def event_gaps(events: DataFrame, chunk_days: int = 1) -> DataFrame:
+def event_gaps(events: DataFrame) -> DataFrame:
     """Seconds since the event before of the same shipment (by time, then id)."""
     pairs = previous_row(
-        events.select("id", "shipment_id", "event_timestamp"), ["shipment_id"],
-        [day_chunk("event_timestamp", chunk_days), minute_chunk("event_timestamp")], ["event_timestamp", "id"],
+        events.select("id", "shipment_id", "event_timestamp"), ["shipment_id"], ["event_timestamp", "id"],
         {"previous_timestamp": "event_timestamp"},
     )
     return pairs.withColumn("gap_seconds", seconds_between(F.col("previous_timestamp"), F.col("event_timestamp")))
@@ -28,12 +27,11 @@ def longest_gaps(events: DataFrame) -> DataFrame:
     )
 
 
-def running_stock(movements: DataFrame, chunk_days: int = 1) -> DataFrame:
+def running_stock(movements: DataFrame) -> DataFrame:
     """Cumulative signed movement per product and location (by time, then id)."""
     return running_sums(
         movements.select("id", "product_id", "location_id", "event_timestamp", "quantity"), ["product_id", "location_id"],
-        [day_chunk("event_timestamp", chunk_days), minute_chunk("event_timestamp")], ["event_timestamp", "id"],
-        {"running_quantity": number("quantity")},
+        ["event_timestamp", "id"], {"running_quantity": number("quantity")},
     )
 
 
@@ -45,11 +43,11 @@ def first_shortage(movements: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_delta(snapshots: DataFrame, chunk_days: int = 7) -> DataFrame:
+def snapshot_delta(snapshots: DataFrame) -> DataFrame:
     """Change of stock and value against the snapshot before."""
     pairs = previous_row(
         snapshots.select("id", "product_id", "location_id", "snapshot_date", "on_hand_quantity", "inventory_value_sek"),
-        ["product_id", "location_id"], day_chunk("snapshot_date", chunk_days), ["snapshot_date", "id"],
+        ["product_id", "location_id"], ["snapshot_date", "id"],
         {"previous_date": "snapshot_date", "_quantity": "on_hand_quantity", "_value": "inventory_value_sek"},
     )
     return pairs.withColumns({
@@ -104,5 +102,5 @@ def expiry_risk(movements: DataFrame, as_of, days: int) -> DataFrame:
     stock = held.groupBy(*keys).agg(exact_sum("lot_quantity").alias("stock_quantity"))
     start = F.lit(as_of).cast("date")
     due = held.filter(F.col("expiry_date").between(start, F.date_add(start, days)))
-    summed = running_sums(due, keys, day_chunk("expiry_date", 7), ["expiry_date", "lot_number"], {"at_risk_quantity": F.col("lot_quantity")})
+    summed = running_sums(due, keys, ["expiry_date", "lot_number"], {"at_risk_quantity": F.col("lot_quantity")})
     return summed.join(stock, keys).withColumn("share_at_risk", ratio("at_risk_quantity", "stock_quantity"))

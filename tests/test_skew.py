@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stockflow.functions.exact import exact_sum
 from stockflow.functions.ranking import exact_percentiles, global_row_number, newest, tile
-from stockflow.functions.split_windows import day_chunk, last_known, number_chunk, previous_row, running_sums
+from stockflow.functions.split_windows import Stretches, last_known, previous_row, row_numbers, running_sums
 
 
 def _hot(spark, n=3000):
@@ -17,19 +17,34 @@ def _hot(spark, n=3000):
     )
 
 
-# one level, two, and three; the hot key has a third of the rows, and most of them in one coarse chunk
-def _chunks():
-    return [
-        number_chunk("t", 50), [number_chunk("t", 5000), number_chunk("t", 7)],
-        [number_chunk("t", 300), number_chunk("t", 20), number_chunk("t", 1)],
-    ]
+# from no cut at all to more cuts than one group of them; the hot key has a third of the rows
+PARTS = [1, 7, 60]
+
+
+def test_a_hot_key_is_cut_and_its_rows_are_shuffled_once(spark):
+    cut = Stretches(_hot(spark), ["k"], ["t", "id"], 60)
+    sizes = cut.rows.groupBy("k", "_part").count().collect()
+    assert max(r["count"] for r in sizes) < 200 and sum(r.k == "hot" for r in sizes) > 16
+    assert {r.k for r in cut.hot.select("k").distinct().collect()} <= {r.k for r in sizes if r._part}
+    frame = running_sums(_hot(spark), ["k"], ["t", "id"], {"s": F.col("v")}, parts=60)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    rows = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "_part" in line and "k#" in line]
+    assert len(rows) == 2  # the rows, and the totals of the stretches
+
+
+def test_row_numbers(spark):
+    df = _hot(spark)
+    expected = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("t", "id")).cast("long") - 1)
+    for parts in PARTS:
+        _same(row_numbers(df, ["k"], ["t", "id"], "n", parts), expected, ["id", "n"])
+    assert row_numbers(df.limit(0), ["k"], ["t", "id"], "n").count() == 0
 
 
 def test_no_job_runs_while_a_plan_is_made(spark):
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("planning", "planning")
-    running_sums(_hot(spark), ["k"], _chunks()[1], ["t", "id"], {"s": F.col("v")})
-    last_known(_hot(spark), ["k"], _chunks()[1], ["t", "id"], "v", "l")
+    running_sums(_hot(spark), ["k"], ["t", "id"], {"s": F.col("v")})
+    last_known(_hot(spark), ["k"], ["t", "id"], "v", "l")
     assert not tracker.getJobIdsForGroup("planning")
     spark.sparkContext.setJobGroup("", "")
 
@@ -44,23 +59,23 @@ def test_running_sum(spark):
     df = _hot(spark)
     plain = Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
     expected = df.withColumn("s", F.sum(F.col("v").cast("decimal(18,4)")).over(plain).cast("double"))
-    for chunks in _chunks():
-        _same(running_sums(df, ["k"], chunks, ["t", "id"], {"s": F.col("v")}), expected, ["id", "s"])
+    for parts in PARTS:
+        _same(running_sums(df, ["k"], ["t", "id"], {"s": F.col("v")}, parts=parts), expected, ["id", "s"])
 
 
 def test_previous_row(spark):
     df = _hot(spark)
     expected = df.withColumn("p", F.lag("v").over(Window.partitionBy("k").orderBy("t", "id")))
-    for chunks in _chunks():
-        _same(previous_row(df, ["k"], chunks, ["t", "id"], {"p": "v"}), expected, ["id", "p"])
+    for parts in PARTS:
+        _same(previous_row(df, ["k"], ["t", "id"], {"p": "v"}, parts), expected, ["id", "p"])
 
 
 def test_last_known(spark):
     df = _hot(spark).withColumn("v", F.when(F.col("id") % 7 == 0, F.col("v")))
     plain = Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
     expected = df.withColumn("l", F.last("v", ignorenulls=True).over(plain))
-    for chunks in _chunks():
-        _same(last_known(df, ["k"], chunks, ["t", "id"], "v", "l"), expected, ["id", "l"])
+    for parts in PARTS:
+        _same(last_known(df, ["k"], ["t", "id"], "v", "l", parts), expected, ["id", "l"])
 
 
 def test_sums_keep_small_values_and_hold_large_ones(spark):
@@ -68,15 +83,10 @@ def test_sums_keep_small_values_and_hold_large_ones(spark):
     assert small.agg(exact_sum("v").alias("s")).first().s == 0.03
     large = spark.range(100).select(F.lit("k").alias("k"), F.col("id"), F.lit(1e9).alias("v"))
     assert large.agg(exact_sum(F.col("v") * F.col("v")).alias("s")).first().s == 1e20
-    summed = running_sums(large, ["k"], [number_chunk("id", 10), F.col("id")], ["id"], {"s": F.col("v") * F.col("v")})
+    summed = running_sums(large, ["k"], ["id"], {"s": F.col("v") * F.col("v")}, parts=1)
     assert summed.agg(F.max("s")).first()[0] == 1e20
 
 
-def test_day_chunk(spark):
-    df = spark.sql("select timestamp '1970-01-01 23:00:00' a, timestamp '1970-01-02 00:00:00' b, date '1969-12-31' c")
-    assert tuple(df.select(day_chunk("a"), day_chunk("b"), day_chunk("c"), day_chunk("b", 7)).first()) == (0, 1, -1, 0)
-
-
 def test_newest(spark):
     df = _hot(spark).filter("k is not null")
     got = {r.k: r.id for r in newest(df, ["k"], ["t", "id"]).collect()}
