@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import bpe, decontaminate, line_dedup, minhash, rules, secret_scan, sharding, suffix_dedup, toxicity, warc
+from stockflow.llm import (
+    bpe, decontaminate, exact_dedup, line_dedup, merkle, minhash, prefix_trie, rules, secret_scan, sharding, suffix_dedup, toxicity,
+    warc,
+)
 from stockflow.llm.common import table, whole_text
 from stockflow.session import shared_folder
 
@@ -86,6 +90,28 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark(table(spark, sf_dir, "documents"), columns=["doc_id"])
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build(table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth document, by the CRC of its id, is checked as if the capitals A-Z of its text had been changed."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = [F.translate(c, string.ascii_uppercase, string.ascii_lowercase) if c == "text" else F.col(c) for c in fields]
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    seen = F.when(tampered, merkle.leaf(*changed)).otherwise(merkle.leaf(*map(F.col, fields)))
+    proved = merkle.prove(docs, fields, seen)
+    return proved.select(
+        F.col("_row.id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 OP1_SQL = r"""
 with lines as (
   select doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) as line,
@@ -182,8 +208,107 @@ select page_id, payload_bytes,
 from n
 """
 
+OP11_SQL = r"""
+with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as x from documents)
+select doc_id, min(doc_id) over (partition by x) as keep_id, count(*) over (partition by x) as group_size,
+       row_number() over (partition by x order by doc_id nulls last) = 1 as kept, sha256(x) as text_sha256
+from n
+"""
+
+
+OP12_SQL = r"""
+with ids as (select distinct conv_id, conv_id - conv_id % 100 as base, conv_id::varchar as s from conversations where conv_id is not null
+), n as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) - 1 as i,
+         md5(coalesce(role, '')) || md5(coalesce(text, '')) as t, length(coalesce(text, '')) as chars
+  from conversations where conv_id is not null
+), h as (
+  select conv_id, base, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(s) + 1), lambda i: ascii(s[i:i])::bigint)),
+    lambda r, b: list_reduce(list_prepend(xor(r, b), range(8)), lambda v, k: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end)),
+    4294967295) % 6 as h from ids
+), r as (
+  select h.conv_id, 0 as own, n.i, n.t, n.chars from h join n on n.conv_id = h.base and n.i < h.h
+  union all select h.conv_id, 1, n.i, n.t, n.chars from h join n on n.conv_id = h.conv_id and n.i >= h.h
+), p as (
+  select conv_id, list(t order by own, i) as ts, list(chars order by own, i) as cs from r group by conv_id
+), c as (
+  select h.conv_id, coalesce(ts, []) as ts, coalesce(cs, []) as cs from h left join p using (conv_id)
+), m as (
+  select conv_id, d, ts[1:d] as path, case when d = 0 then 0 else cs[d] end as chars, d = len(ts) as is_end
+  from (select conv_id, ts, cs, unnest(range(0, len(ts) + 1)) as d from c)
+), nodes as (
+  select path, d as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(chars) as chars,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (is_end), '')) as ends_sha256
+  from m group by path, d
+), k as (
+  select n.*, (select count(*) from nodes y where y.depth = n.depth + 1 and y.path[1:n.depth] = n.path) as n_children from nodes n
+), sub as (
+  select x.path, sum((y.n_convs - 1) * y.chars) as saved_tokens, count(*) filter (y.n_children = 0) as n_leaves
+  from k x join k y on y.depth >= x.depth and y.path[1:x.depth] = x.path group by x.path
+)
+select k.conv_id, k.depth, u.conv_id as parent_conv_id, k.n_convs, k.n_children, n_leaves, saved_tokens::bigint as saved_tokens, k.ends_sha256
+from k join sub using (path) left join k u on k.depth > 0 and u.path = k.path[1:k.depth - 1]
+"""
+
+
+def merkle_sql(levels: int = 5, upper: int = 3) -> str:
+    """The manifest for sources of at most 16 ** levels rows, and 16 ** upper sources."""
+    field = lambda c: f"case when {c} is null then '-' else strlen({c}::varchar) || ':' || {c}::varchar end"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = """
+  list_reduce(list_prepend(4294967295, list_transform(range(1, length(s) + 1), lambda i: ascii(s[i:i])::bigint)), lambda r, b:
+    list_reduce(list_prepend(xor(r, b), range(8)), lambda v, k: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end))"""
+    steps = [f"""
+d as (select *, doc_id::varchar as s from documents),
+f as (select *, coalesce(xor({crc}, 4294967295) % 5 = 0, false) as tampered from d),
+leaves as (
+  select doc_id, source, {leaf("text")} as leaf, case when tampered then {leaf(low)} else {leaf("text")} end as seen from f
+),
+a0 as (
+  select row_number() over () as id, source as tree, leaf as x, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as p
+  from leaves
+)"""]
+
+    def grow(a: str, count: int) -> None:
+        """Nodes of each level with what is left and right of them in their run."""
+        for k in range(count):
+            steps.append(f"""
+{a}{k}s as (
+  select *, p // 16 as up, count(*) over (partition by tree) as n,
+         coalesce(string_agg(x, '') over (partition by tree, p // 16 order by p rows between unbounded preceding and 1 preceding), '') as l,
+         coalesce(string_agg(x, '') over (partition by tree, p // 16 order by p rows between 1 following and unbounded following), '') as r
+  from {a}{k}
+),
+{a}{k + 1} as (select tree, up as p, case when any_value(n) = 1 then any_value(x) else sha256(string_agg(x, '' order by p)) end as x from {a}{k}s group by tree, up)""")
+
+    grow("a", levels)
+    steps.append(f"""
+b0 as (select 0 as tree, tree as source, x, row_number() over (order by tree nulls first) - 1 as p from a{levels})""")
+    grow("b", upper)
+    steps.append(f"""
+w0 as (
+  select y.*, z.x as subroot, (select x from b{upper}) as root, z.p as place, y.seen as folded, '' as proof, a.p as spot
+  from (select row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as p0, * from leaves) y
+  join a0 a on a.tree is not distinct from y.source and a.p = y.p0 join b0 z on z.source is not distinct from y.source
+)""")
+    for k in range(levels + upper):
+        a, at, same = (f"a{k}s", "spot", "is not distinct from w.source") if k < levels else (f"b{k - levels}s", "place", "= 0")
+        rest = f"w.{at} // 16"
+        steps.append(f"""
+w{k + 1} as (
+  select w.doc_id, w.source, w.leaf, w.subroot, w.root, {f"w.place, {rest} as spot" if k < levels else f"{rest} as place, w.spot"},
+         case when n = 1 then folded else sha256(l || folded || r) end as folded, proof || l || r as proof
+  from w{k} w join {a} v on v.tree {same} and v.p = w.{at}
+)""")
+    return "with " + ",".join(steps) + f"""
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, folded as folded_root, folded = root as verified from w{levels + upper}
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_line_dedup, op2_secret_scan, op3_toxicity, op4_sharding, op5_quality_rules, op6_suffix_dedup, op7_decontamination,
-    op8_minhash_dedup, op9_bpe, op10_warc,
+    op8_minhash_dedup, op9_bpe, op10_warc, op11_exact_dedup, op12_prefix_trie, op13_merkle_manifest,
 )}
-ORACLES = {"op1_line_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL, "op10_warc": OP10_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op7_decontamination": OP7_SQL, "op10_warc": OP10_SQL, "op11_exact_dedup": OP11_SQL, "op12_prefix_trie": OP12_SQL,
+           "op13_merkle_manifest": merkle_sql()}
