@@ -170,7 +170,8 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = rows[starts]
         stop = np.append(starts[1:], len(rows))
         level = m.panel[first] * WIDTH + depth
-        ending = np.add.reduceat((m.length[rows] == m.panel[rows] * WIDTH + depth).astype(np.int64), starts)
+        ends_here = m.length[rows] == m.panel[rows] * WIDTH + depth
+        ending, ended = np.add.reduceat(ends_here.astype(np.int64), starts), m.conv[rows[ends_here]]
         whole = (first != 0) & (rows[stop - 1] != m.n - 1) & (depth > 0)
         out = {
             "depth": level, "k1": m.k1[first, depth], "k2": m.k2[first, depth],
@@ -179,8 +180,8 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "chars": m.chars[first, depth - 1] if depth else np.zeros(len(first), np.int64),
         }
         ends, source, seq = [], [], []
-        for i, (at, count, done) in enumerate(zip(starts.tolist(), ending.tolist(), whole.tolist())):
-            mine = m.conv[rows[at:at + count]] if count else m.conv[:0]
+        for i, (last, count, done) in enumerate(zip(np.cumsum(ending).tolist(), ending.tolist(), whole.tolist())):
+            mine = ended[last - count:last]
             lines = [hashlib.sha256(ids_of(mine)).hexdigest() if count else EMPTY] if done else (
                 [ids_of(mine[k:k + CHUNK]).decode() for k in range(0, count, CHUNK)] or [""]
             )
