@@ -3,8 +3,8 @@
 A plain window sorts all rows of a key in one task. Here a key with more than its share of the rows is cut into
 stretches of its order, about as many rows each as one of `parts` equal parts of the table: the window runs inside
 (key, stretch), and one small row per stretch carries the state on to the next ones. All other keys have one stretch.
-The cuts come from the SAMPLE * parts rows with the least hash, so they follow from the rows alone: a task that runs
-again finds the same ones. There are at most `parts` of them, whatever the table, so they and the carried rows are
+The cuts come from a sample by hash, about SAMPLE * parts rows, so they follow from the rows alone: a task that runs
+again finds the same ones. There are about `parts` of them at most, whatever the table, so they and the carried rows are
 broadcast; the rows themselves are shuffled once, by the window. Results equal those of the plain window, nulls
 included. Nothing is run while the plan is made.
 """
@@ -50,9 +50,12 @@ class Stretches:
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], parts: int | None = None):
         parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.keys, self.order = keys, order
-        sample = df.select(*keys, F.struct(*order).alias("_at")).orderBy(F.xxhash64(*keys, "_at")).limit(SAMPLE * parts)
-        placed = sample.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_at")))
-        cuts = placed.filter(F.col("_n") % SAMPLE == 0).groupBy(*keys).agg(F.sort_array(F.collect_set("_at")).alias("_cuts"))
+        placed = df.select(*keys, F.struct(*order).alias("_at"))
+        share = SAMPLE * parts / F.greatest(placed.agg(F.count(F.lit(1))).scalar(), F.lit(1))
+        sample = placed.filter(F.pmod(F.xxhash64(*keys, "_at"), F.lit(1 << 40)) < share * (1 << 40))
+        # rows that repeat are one, so they cannot swell the sample
+        listed = sample.groupBy(*keys).agg(F.sort_array(F.collect_set("_at")).alias("_all"))
+        cuts = listed.select(*keys, F.filter("_all", lambda c, i: i % SAMPLE == SAMPLE - 1).alias("_cuts")).filter(F.size("_cuts") > 0)
         self.cuts = cuts.withColumn("_groups", F.filter("_cuts", lambda c, i: i % GROUP == GROUP - 1))
         self.rows, self.hot = self._numbered(df, "left"), self._numbered(df, "inner")
         self.inside = Window.partitionBy(*keys, "_part").orderBy(*order)
