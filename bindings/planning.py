@@ -104,8 +104,16 @@ def _(t):
 
 @query("gbt_forecast")
 def _(t):
-    features = forecasting.demand_features(product_series(t), PRODUCT)
-    return forecasting.gbt_forecast(features, "2001-03-31")[0].select(*PRODUCT, "day", "demand", "forecast")
+    return forecasting.gbt_forecast(product_series(t), PRODUCT, "2001-06-30", horizon=28, history_days=182)[0]
+
+
+@query("backtest_learned")
+def _(t):
+    """The same origins and horizon as `backtest`, for the models without a SQL form."""
+    return forecasting.backtest_fitted(product_series(t), PRODUCT, ORIGINS, {
+        "holt_winters": lambda known, keys, origin: forecasting.holt_winters(known, keys, season=7, horizon=28),
+        "gbt": lambda known, keys, origin: forecasting.gbt_forecast(known, keys, origin, horizon=28, rounds=10, history_days=182)[0],
+    })
 
 
 # --- inventory -----------------------------------------------------------
