@@ -423,6 +423,54 @@ def _(t):
     return bom.bom_explode(t.bill_of_materials, "1998-01-01")
 
 
+# The feed with faults: components held over a level as well (diamonds), and some that hold what they are part of (cycles).
+shared("looped_edges", f"""with own as ({_EDGES}), far as (select a.p top, b.c low from own a join own b on a.c = b.p)
+    select p, c, f from own
+    union all select top, low, 1.0e0 from far where cast(substr(low, 2) as bigint) % 5 = 1
+    union all select low, top, 2.0e0 from far where cast(substr(low, 2) as bigint) % 97 = 0""")
+shared("mutual", """with recursive below(a, b) as (select p, c from looped_edges union select a, c from below join looped_edges on p = b)
+    select x.a, x.b from below x join below y on x.a = y.b and x.b = y.a""")
+
+
+def looped_bom(t):
+    own = t.bill_of_materials
+    number = lambda c: F.substring(c, 2, 20).cast("bigint")
+    far = projections.valid_on(own, "1998-01-01", "effective_from", "effective_to").select(
+        F.col("finished_product_id").alias("top"), F.col("component_product_id").alias("mid")
+    ).join(projections.valid_on(own, "1998-01-01", "effective_from", "effective_to").select(
+        F.col("finished_product_id").alias("mid"), F.col("component_product_id").alias("low")
+    ), "mid")
+
+    def edges(rows, product, component, quantity):
+        return rows.select(
+            F.col(product).alias("finished_product_id"), F.col(component).alias("component_product_id"),
+            F.lit(quantity).cast("decimal(12,4)").alias("quantity_required"), F.lit(0.0).alias("scrap_factor"),
+            F.lit("1995-01-01").cast("date").alias("effective_from"), F.lit("2001-12-31").cast("date").alias("effective_to"),
+        )
+
+    plain = own.select("finished_product_id", "component_product_id", "quantity_required", "scrap_factor", "effective_from", "effective_to")
+    return plain.unionByName(edges(far.filter(number("low") % 5 == 1), "top", "low", 1)).unionByName(
+        edges(far.filter(number("low") % 97 == 0), "low", "top", 2)
+    )
+
+
+@query("bom_cycles", """with sized as (select a, min(b) component, count(distinct b) products from mutual group by a)
+    select distinct component, p product, c "next", products from looped_edges join mutual on a = p and b = c join sized on sized.a = p""")
+def _(t):
+    return bom.bom_cycles(looped_bom(t), "1998-01-01")
+
+
+@query("bom_explode_looped", """with recursive open_edges as (
+      select p, c, f from looped_edges where not exists (select 1 from mutual where a = p and b = c)),
+    walk as (select p root, c product, 1 level, f quantity from open_edges
+      union all select w.root, e.c, w.level + 1, w.quantity * e.f from walk w join open_edges e on e.p = w.product)
+    select root product_id, product component_product_id, cast(level as int) level, sum(quantity) quantity
+    from walk group by all""")
+def _(t):
+    """The explosion of the feed with faults: what lies behind a cycle is still found, the cycle itself is not followed."""
+    return bom.bom_explode(looped_bom(t), "1998-01-01")
+
+
 @query("bom_where_used", f"""with recursive bom_edges as ({_EDGES}),
     walk as (select c root, p product, 1 level, f quantity from bom_edges
       union all select w.root, e.p, w.level + 1, w.quantity * e.f from walk w join bom_edges e on e.c = w.product)
