@@ -55,6 +55,24 @@ def _(t):
     return kpi.fill_rate(t.sales_order_lines, ["product_id"])
 
 
+KPI_SCENARIOS = [("as it was", 0, 100), ("a week later", 7, 100), ("five percent less", 0, 95), ("earlier and more", -3, 110)]
+
+
+@query("kpi_scenarios", f"""with v(scenario, days, percent) as (values {', '.join(f"('{n}', {d}, {p})" for n, d, p in KPI_SCENARIOS)}),
+    o as (select scenario, priority, sales_order_id,
+        bool_and(coalesce(cast(arrived_at as date) + days <= promised_delivery_date, false)) on_time,
+        bool_and(delivered_quantity * percent >= ordered_quantity * 100) in_full
+      from line_delivery, v group by all),
+    r as (select scenario, priority, count(*) orders, count(*) filter (on_time and in_full) otif_orders from o group by all),
+    f as (select scenario, priority, {xsum('ordered_quantity')} ordered_quantity,
+        {xsum('least(delivered_quantity * percent / 100, ordered_quantity)')} filled_quantity from line_delivery, v group by all)
+    select scenario, priority, orders, otif_orders, otif_orders / orders otif_rate, ordered_quantity, filled_quantity,
+      filled_quantity / ordered_quantity fill_rate from r join f using (scenario, priority)""")
+def _(t):
+    lines = kpi.line_delivery(t.sales_order_lines, t.shipment_items, t.shipments, t.sales_orders)
+    return kpi.kpi_scenarios(lines, t.sales_order_lines, t.sales_orders, ["priority"], KPI_SCENARIOS)
+
+
 shared("cogs_1996", f"""select product_id, q * unit_cost_sek cogs_sek from (
       select l.product_id, {xsum('shipped_quantity')} q from sales_order_lines l join sales_orders o on o.id = l.sales_order_id
       where order_date between date '1996-01-01' and date '1996-12-31' group by 1)
@@ -291,6 +309,17 @@ def _(t):
     return visibility.port_congestion(t.shipment_pings)
 
 
+@query("port_peaks", """with moments as (
+      select location_id, date_trunc('hour', first_at) as hour, first_at as at from stays
+      union select location_id, hour, hour from (select location_id,
+        unnest(generate_series(date_trunc('hour', first_at) + interval 1 hour, date_trunc('hour', last_at), interval 1 hour)) as hour from stays))
+    select location_id, hour, max(n) at_once from (
+      select m.location_id, m.hour, m.at, count(*) n from moments m join stays s on s.location_id = m.location_id
+        and m.at between s.first_at and s.last_at group by 1, 2, 3) group by 1, 2""")
+def _(t):
+    return visibility.port_peaks(t.shipment_pings)
+
+
 @query("port_dwell", f"""select location_id, count(*) shipments, {xsum('epoch_us(last_at - first_at) / 1e6', 6)} / 3600 / count(*) mean_dwell_hours
     from stays group by 1""")
 def _(t):

@@ -6,7 +6,7 @@ the finest wanted grain before a cube or rollup multiplies rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.functions.exact import count_if, decimal, exact_sum, ratio, sample_variance
@@ -97,6 +97,67 @@ def fill_rate(lines: DataFrame, by: list[str]) -> DataFrame:
     })
 
 
+def _needed_percent(ordered: Column, delivered: Column) -> Column:
+    """The least whole percentage of the delivered quantity that covers the ordered one; null where none does."""
+    return F.when(ordered <= 0, F.lit(0)).otherwise(F.ceil(F.try_divide(decimal(ordered) * 100, decimal(delivered)))).cast("long")
+
+
+def slack_histograms(
+    deliveries: DataFrame, lines: DataFrame, orders: DataFrame, by: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """What any shift of arrivals or supply can be answered from, per group (columns of the orders).
+
+    Orders by days of slack (promised less last arrival; null: not all arrived) and by the percentage of supply
+    they need; ordered and delivered quantity of the lines by that percentage (null: none is enough). The rows are
+    bounded by groups × days × percentages, not by orders.
+    """
+    needed = lines.select(
+        F.col("id").alias("line_id"), "sales_order_id", number("ordered_quantity").alias("ordered"), number("delivered_quantity").alias("delivered"),
+        _needed_percent(number("ordered_quantity"), number("delivered_quantity")).alias("needed"),
+    )
+    headers = orders.select(F.col("id").alias("sales_order_id"), "promised_delivery_date", *by)
+    merged = deliveries.select("line_id", "sales_order_id", "arrived_at").join(needed.select("line_id", "needed"), "line_id").groupBy("sales_order_id").agg(
+        F.when(F.count("arrived_at") == F.count(F.lit(1)), F.max(F.to_date("arrived_at"))).alias("arrived_on"),
+        F.when(F.count("needed") == F.count(F.lit(1)), F.max("needed")).alias("needed"),
+    )
+    slack = merged.join(headers, "sales_order_id").groupBy(
+        *by, F.datediff("promised_delivery_date", "arrived_on").alias("slack"), "needed"
+    ).agg(F.count(F.lit(1)).alias("orders"))
+    cover = needed.groupBy("sales_order_id", "needed").agg(F.sum(decimal("ordered")).alias("ordered"), F.sum(decimal("delivered")).alias("delivered"))
+    supply = cover.join(headers, "sales_order_id").groupBy(*by, "needed").agg(
+        F.sum(F.col("ordered")).alias("ordered"), F.sum(F.col("delivered")).alias("delivered")
+    )
+    return slack, supply
+
+
+def kpi_scenarios(
+    deliveries: DataFrame, lines: DataFrame, orders: DataFrame, by: list[str], scenarios: list[tuple[str, int, int]]
+) -> DataFrame:
+    """OTIF and fill rate per group under (name, days all arrivals shift by, percentage of supply), one row per scenario.
+
+    deliveries are those of line_delivery. The facts are passed once, into histograms; every scenario is a sum over
+    these. Scenarios ride along as a constant array.
+    """
+    slack, supply = slack_histograms(deliveries, lines, orders, by)
+    listed = F.explode(F.array(*[
+        F.struct(F.lit(n).alias("scenario"), F.lit(int(d)).alias("days"), F.lit(int(p)).alias("percent")) for n, d, p in scenarios
+    ])).alias("s")
+    met = (F.col("slack") >= F.col("s.days")) & (F.col("needed") <= F.col("s.percent"))
+    counted = slack.select("*", listed).groupBy(F.col("s.scenario").alias("scenario"), *by).agg(
+        F.sum("orders").alias("orders"), F.sum(F.when(met, F.col("orders")).otherwise(0)).alias("otif_orders"),
+    )
+    enough = F.coalesce(F.col("needed") <= F.col("s.percent"), F.lit(False))
+    # all of the ordered quantity where that is enough, else the share of the delivered one
+    filled = F.when(enough, F.col("ordered").cast("decimal(38,6)")).otherwise((F.col("delivered") * F.col("s.percent") / 100).cast("decimal(38,6)"))
+    quantities = supply.select("*", listed).groupBy(F.col("s.scenario").alias("scenario"), *by).agg(
+        F.sum("ordered").cast("double").alias("ordered_quantity"), F.sum(filled).cast("double").alias("filled_quantity")
+    )
+    return counted.join(quantities, ["scenario", *by]).select(
+        "scenario", *by, "orders", "otif_orders", ratio("otif_orders", "orders").alias("otif_rate"),
+        "ordered_quantity", "filled_quantity", ratio("filled_quantity", "ordered_quantity").alias("fill_rate"),
+    )
+
+
 def cost_of_goods(lines: DataFrame, orders: DataFrame, products: DataFrame, start, end) -> DataFrame:
     """Shipped quantity × unit cost per product, for orders dated in the closed period."""
     dated = orders.filter(F.col("order_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockflow.functions.exact import exact_sum, ratio
+from stockflow.functions.split_windows import running_sums
 from stockflow.functions.measures import has_status, number, seconds_between, truncated
 from stockflow.functions.ranking import newest
 
@@ -91,6 +92,32 @@ def port_congestion(events: DataFrame) -> DataFrame:
     return present.filter("present > 0").select("location_id", hours.alias("hour"), "present")
 
 
+def port_peaks(events: DataFrame) -> DataFrame:
+    """The highest number of shipments at a location at once, per hour with any.
+
+    A sweep over arrivals and departures in order of time; a stay is closed, so arrivals of an instant count before its
+    departures. The running number is summed per stretch of a location and carried on, so a busy location is many
+    tasks. Hours without a change take over the number that the last one left.
+    """
+    stays = _stays(events)
+    moves = stays.select("location_id", F.col("shipment_id").alias("_tie"), F.explode(F.array(
+        F.struct(F.col("first_at").alias("at"), F.lit(0).alias("out")), F.struct(F.col("last_at").alias("at"), F.lit(1).alias("out")),
+    )).alias("m")).select("location_id", "_tie", "m.at", "m.out")
+    order = ["at", "out", "_tie"]
+    summed = running_sums(moves, ["location_id"], order, {"present": 1 - 2 * F.col("out")}, scale=0)
+    hourly = summed.groupBy("location_id", truncated(summed, "at", "hour").alias("hour")).agg(
+        F.max("present").cast("long").alias("top"), F.max_by("present", F.struct(*order)).cast("long").alias("left"),
+    )
+    by_hour = Window.partitionBy("location_id").orderBy("hour")
+    step = F.expr("interval 1 hour")
+    known = hourly.withColumns({"carried": F.coalesce(F.lag("left").over(by_hour), F.lit(0)), "until": F.lead("hour").over(by_hour)})
+    own = known.select("location_id", "hour", F.greatest("top", "carried").alias("at_once"))
+    quiet = known.filter((F.col("left") > 0) & (F.col("until") > F.col("hour") + step)).select(
+        "location_id", F.explode(F.sequence(F.col("hour") + step, F.col("until") - step, step)).alias("hour"), F.col("left").alias("at_once")
+    )
+    return own.unionByName(quiet).filter("at_once > 0")
+
+
 def delayed_orders(orders: DataFrame, purchases: DataFrame, as_of) -> DataFrame:
     """Sales orders (order_delivery) past their promised date and purchases past their confirmed date, highest value first.
 
