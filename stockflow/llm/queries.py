@@ -27,7 +27,8 @@ def sha256(text) -> F.Column:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, those deleted (0-based, comma-joined), and the digest of what is left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = line_dedup.deduplicate(docs.withColumn("n_lines", F.size(F.split(whole_text("text"), "\n")).cast("long")))
+    counted = docs.withColumn("n_lines", F.size(F.split(whole_text("text"), "\n")).cast("long"))
+    done = line_dedup.deduplicate(counted, words=line_dedup.PASSAGE_WORDS)
     return done.select(
         "doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"),
         F.concat_ws(",", F.col("removed_lines").cast("array<string>")).alias("removed"), sha256(whole_text("text")).alias("kept_sha256"),
@@ -118,13 +119,21 @@ with lines as (
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as i
   from documents
 ), kept as (
-  select doc_id, i, trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) as x from lines
-), s as (
-  select doc_id, i, x, lead(x, 1) over w as x1, lead(x, 2) over w as x2, lead(i, 2) over w as i2
-  from kept where x <> '' window w as (partition by doc_id order by i)
+  select doc_id, i, x, row_number() over w as r, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) as n,
+         sum(len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) over w as upto
+  from (select doc_id, i, trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) as x from lines)
+  where x <> '' window w as (partition by doc_id order by i)
+), d as (select doc_id, list(x order by i) as xs, list(i order by i) as ps from kept group by doc_id
+), spans as (
+  select doc_id, r as a, r + 2 as b from kept
+  union select doc_id, r, r from kept where length(x) >= 300
+  union select s.doc_id, s.r, s.r + 1 from kept s join kept t on t.doc_id = s.doc_id and t.r = s.r + 1 where s.n > 50 or t.n > 50
+  union select s.doc_id, s.r, min(t.r) from kept s join kept t
+    on t.doc_id = s.doc_id and t.r between s.r and s.r + 50 and t.upto - s.upto + s.n > 50 group by s.doc_id, s.r
+  union select t.doc_id, max(s.r), t.r from kept s join kept t
+    on t.doc_id = s.doc_id and t.r between s.r and s.r + 50 and t.upto - s.upto + s.n > 50 group by t.doc_id, t.r
 ), runs as (
-  select doc_id, i as a, i2 as b, md5(x) || md5(x1) || md5(x2) as content from s where i2 is not null
-  union all select doc_id, i, i, md5(x) from s where length(x) >= 300
+  select doc_id, ps[a] as a, ps[b] as b, md5(array_to_string(xs[a:b], chr(10))) as content from spans join d using (doc_id) where b <= len(xs)
 ), places as (
   select *, row_number() over (partition by content order by doc_id, a) as n from runs
 ), gone as (
