@@ -4,7 +4,11 @@ Texts become symbols: a to z in either case, digits, four groups of bytes beyond
 characters, 32 in all. So a model of order ORDER has at most 32^ORDER n-grams whatever the corpus, which bounds what
 is collected and sent to the tasks. Counts come from all learning rows. Each class discounts its own counts; what it
 sets aside goes to one backoff model, built from the continuation counts of both classes together, so that rare
-expressions count alike in both. A text's score is the logistic value of the difference of its mean log-likelihoods.
+expressions count alike in both.
+
+The difference of the log-likelihoods is normalised by length over windows as well as over short texts as a whole: of
+each width in WINDOWS (symbols, about one expression and one clause) the window with the highest mean counts, so a few toxic words
+are found in a text of any length. The score is the logistic value of the average over the widths.
 """
 
 from __future__ import annotations
@@ -27,8 +31,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ORDER = 4
 SYMBOLS = 32
 DISCOUNT = 0.75
+#: symbols of the windows whose highest mean counts
+WINDOWS = (20, 50)
 #: steps of the scores whose counts set the logistic curve
-STEPS, SPAN = 4000, 1.0
+STEPS, SPAN = 4000, 4.0
 
 
 def symbol_table() -> np.ndarray:
@@ -100,14 +106,29 @@ class Model:
     contexts: np.ndarray
     missing: np.ndarray
 
-    def means(self, texts: pa.Array, order: int = ORDER) -> np.ndarray:
-        """By text the mean difference of the log-likelihoods per symbol; 0 for texts without symbols."""
+    def differences(self, texts: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row and difference of the log-likelihoods of every symbol, and the symbols of each row."""
         row, code, counts = grams(texts, order)
         each = self._at(self.codes, self.ratio, code, np.nan)
         unseen = np.flatnonzero(np.isnan(each))
         # an n-gram that neither class has: the backoff is the same, only what the classes set aside differs
         each[unseen] = self._at(self.contexts, self.missing, code[unseen] >> 5, 0.0)
-        return np.bincount(row, each, minlength=len(counts)) / np.maximum(counts, 1)
+        return row, each, counts
+
+    def values(self, texts: pa.Array, order: int = ORDER, windows: tuple[int, ...] = WINDOWS) -> np.ndarray:
+        """By text the highest mean difference in a window, averaged over the widths; 0 for texts without symbols."""
+        row, each, counts = self.differences(texts, order)
+        sums, place = np.concatenate([[0.0], np.cumsum(each)]), np.arange(len(row))
+        total = np.zeros(len(counts))
+        for width in windows:
+            # a text shorter than the window is one window
+            highest = np.bincount(row, each, minlength=len(counts)) / np.maximum(counts, 1)
+            inside = place[place + width <= np.cumsum(counts)[row]]
+            if len(inside):
+                first = np.flatnonzero(np.diff(row[inside], prepend=-1))
+                highest[row[inside[first]]] = np.maximum.reduceat((sums[inside + width] - sums[inside]) / width, first)
+            total += highest / len(windows)
+        return total
 
     @staticmethod
     def _at(keys, values, wanted, default):
@@ -209,7 +230,7 @@ def score(
     def apply(batches):
         own = Model(*shared.value)
         for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(own.means(batch.column("text"), order))], names=["key", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(own.values(batch.column("text"), order))], names=["key", "value"])
 
     def valued(rows: DataFrame, key: str) -> DataFrame:
         kind = dict(rows.dtypes)[key]

@@ -101,6 +101,35 @@ def test_scores_without_labels_or_rows(told, none):
     assert toxicity.score(none, labels).count() == 0
 
 
+def test_windows_are_the_highest_means():
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcd "), n)) for n in (0, 1, 5, 19, 20, 21, 50, 51, 300)] + [None, "   "]
+    row, code, counts = toxicity.grams(toxicity.pa.array(texts), 4)
+    codes = np.unique(code)
+    model = toxicity.fit(codes, rng.integers(0, 9, len(codes)), rng.integers(1, 9, len(codes)))
+    row, each, counts = model.differences(toxicity.pa.array(texts))
+    got = model.values(toxicity.pa.array(texts), windows=(20, 50))
+    for i in range(len(texts)):
+        own = each[row == i]
+        best = [max(own[j : j + w].mean() for j in range(max(len(own) - w, 0) + 1)) if len(own) else 0.0 for w in (20, 50)]
+        assert abs(np.mean(best) - got[i]) < 1e-9
+
+
+def test_few_toxic_words_in_a_long_text_count(spark, told):
+    docs, labels = told
+    rng = random.Random(11)
+    plain = [r.text for r in docs.join(labels.filter("toxic = 0"), "doc_id").limit(60).collect() if r.text]
+    bad = [r.text for r in docs.join(labels.filter("toxic = 1"), "doc_id").limit(60).collect() if r.text]
+    words = lambda pool: [w for t in pool for w in t.split()]
+    long = [" ".join(rng.choice(words(plain)) for _ in range(3000)) for _ in range(8)]
+    only_bad = [w for w in words(bad) if w not in set(words(plain))]
+    mixed = [t[:9000] + " " + " ".join(rng.choice(only_bad) for _ in range(12)) + " " + t[9000:] for t in long]
+    rows = [(20_000 + i, t) for i, t in enumerate(long + mixed)]
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.score for r in toxicity.score(more, labels).filter("doc_id >= 20000").collect()}
+    assert all(got[20_008 + i] > got[20_000 + i] for i in range(8)) and min(got[20_008 + i] for i in range(8)) > 0.5
+
+
 def test_backoff_is_a_distribution():
     rng = np.random.default_rng(3)
     codes = np.unique(rng.integers(0, 32**3, 3000))
