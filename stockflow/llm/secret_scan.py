@@ -4,7 +4,9 @@ Each text is scanned for three kinds of secrets. Encoded stretches are unwrapped
 escapes, base64 runs, and gzip or zlib data in any decoded layer. Each decoded layer is scanned again and put back on
 the worklist until nothing new comes out; a layer whose content was seen before in the document is not opened twice,
 so self-containing data ends. Layers are bytes, held as a string with one character for each, so no byte that is no
-text hides its neighbours. Every byte of a layer knows the stretch of the original text that it comes from.
+text hides its neighbours. Every byte of a layer knows the stretch of the original text that it comes from, in two flat
+arrays; all of an inflated layer, and all below it, comes from one stretch, which is held once however far the data
+grows. A layer is held whole, so data that is compressed twice needs as much memory as it holds in the end.
 
 A base64 run may go on over line breaks. If it is text from its first letter on, that is what it holds; if not, it is
 read at all four alignments, so what stands before it ('/blob/', 'id-', a word) does no harm.
@@ -17,7 +19,9 @@ import hashlib
 import re
 import sys
 import zlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
@@ -40,7 +44,9 @@ ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa
 # the letters of the shortest secret, 'token=' and its value, without padding
 BASE64_CHARS = -(-(6 + ASSIGN_CHARS) * 8 // 6)
 LETTER, BREAK = r"[A-Za-z0-9+/_-]", r"[\x20\t]*\r?\n[\x20\t]*"
-BASE64 = re.compile(r"(?<!%s)(?:%s(?:%s(?=%s))?){%d,}={0,2}" % (LETTER, LETTER, BREAK, LETTER, BASE64_CHARS))
+# possessive, so that a run of any length keeps nothing to go back to
+BASE64 = re.compile(r"(?<!%s)(?:%s++(?:%s(?=%s))?+)++={0,2}" % (LETTER, LETTER, BREAK, LETTER))
+FILLING = re.compile(r"[\s=]+")
 LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 GZIP = b"\x1f\x8b"
@@ -55,26 +61,72 @@ HINTS = {
 }
 
 
+def names_a_secret(text: str) -> bool:
+    """Whether ASSIGN can match: one of its words is there."""
+    low = text.lower()
+    return any(word in low for word in ("password", "passwd", "secret", "token", "apikey", "api_key"))
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the secrets in one layer; per kind leftmost and not overlapping."""
-    found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_CHARS]
+    named = ASSIGN.finditer(text) if names_a_secret(text) else ()
+    found = [("assign", m.start(), m.end()) for m in named if len(m[2]) >= ASSIGN_CHARS]
     found += [("access", *m.span()) for m in ACCESS.finditer(text)]
     return found + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
-def replaced(text: str, origin: list[tuple[int, int]], pattern: re.Pattern, decode) -> tuple[str, list[tuple[int, int]]] | None:
+class Origin:
+    """Where each byte of a layer comes from: first and end in the text, as arrays, or once for all bytes."""
+
+    __slots__ = ("first", "end", "one")
+
+    def __init__(self, first: np.ndarray, end: np.ndarray, one: bool = False):
+        self.first, self.end, self.one = first, end, one
+
+    @classmethod
+    def same(cls, first: int, end: int) -> Origin:
+        return cls(np.array([first]), np.array([end]), True)
+
+    @classmethod
+    def of(cls, text: str, start: int, end: int) -> tuple[str, Origin]:
+        """The bytes of a piece of the original text, one character each, and their places."""
+        data = text[start:end].encode("utf-8", "surrogatepass")
+        place = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) - 1 + start
+        return data.decode("latin-1"), cls(place, place + 1)
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        """The stretch of the bytes a to b, the end exclusive."""
+        return (int(self.first[0]), int(self.end[0])) if self.one else (int(self.first[a]), int(self.end[b - 1]))
+
+    def cut(self, a: int, b: int) -> Origin:
+        return self if self.one else Origin(self.first[a:b], self.end[a:b])
+
+    def groups(self, lows: Callable[[], np.ndarray], highs: Callable[[], np.ndarray]) -> Origin:
+        """For bytes made of several: those places, worked out only where they differ."""
+        return self if self.one else Origin(self.first[lows()], self.end[highs()])
+
+    @staticmethod
+    def joined(parts: list[Origin]) -> Origin:
+        if parts[0].one or len(parts) == 1:
+            return parts[0]
+        return Origin(np.concatenate([p.first for p in parts]), np.concatenate([p.end for p in parts]))
+
+
+def replaced(text: str, origin: Origin, pattern: re.Pattern, decode) -> tuple[str, Origin] | None:
     """The text with the matches decoded, and the origins of its characters; None if nothing changes."""
-    out, places, at, changed = [], [], 0, False
+    out, places, at = [], [], 0
     for m in pattern.finditer(text):
         got = decode(m)
         if got is None:
             continue
-        changed = True
         out += [text[at : m.start()], "".join(c for c, _, _ in got)]
-        places += origin[at : m.start()]
-        places += [(origin[m.start() + a][0], origin[m.start() + b - 1][1]) for _, a, b in got]
+        if not origin.one:
+            of = lambda k: np.fromiter((g[k] for g in got), np.int64, len(got)) + m.start()  # noqa: B023, E731
+            places += [origin.cut(at, m.start()), origin.groups(lambda: of(1), lambda: of(2) - 1)]  # noqa: B023
         at = m.end()
-    return ("".join(out) + text[at:], places + origin[at:]) if changed else None
+    if not out:
+        return None
+    return "".join(out) + text[at:], Origin.joined([*places, origin.cut(at, len(text))])
 
 
 def url(m: re.Match) -> list[tuple[str, int, int]]:
@@ -136,12 +188,34 @@ def clean(data: bytes) -> bool:
     return True
 
 
+def base64_runs(text: str) -> Iterator[re.Match]:
+    """The runs of base64 letters that may hold a secret, over line breaks too."""
+    for m in BASE64.finditer(text):
+        if m.end() - m.start() >= BASE64_CHARS and len(FILLING.sub("", m[0])) >= BASE64_CHARS:
+            yield m
+
+
 def holds(text: str) -> bool:
     """Whether a decoded layer may hold a secret or something encoded."""
-    return any(p.search(text) for p in (ASSIGN, ACCESS, HEX, URL, ESCAPE, BASE64))
+    return names_a_secret(text) or any(p.search(text) for p in (ACCESS, HEX, URL, ESCAPE)) or any(True for _ in base64_runs(text))
 
 
-def below(run: str, origin: list[tuple[int, int]], starts: list[int]):
+def first_text(data: bytes, starts: list[int]) -> int:
+    """The first of the starts from which on the data is UTF-8, 0 if there is none."""
+    for at in starts:
+        try:
+            data[at:].decode("utf-8")
+            return at
+        except UnicodeDecodeError as error:
+            # whatever starts before the byte that is wrong meets it too, unless it lies inside the character there
+            wrong = at + error.start
+            if wrong > starts[-1]:
+                return 0
+            return first_text(data, [s for s in starts if s > wrong])
+    return 0
+
+
+def below(run: str, origin: Origin, starts: list[int]):
     """The layers under a base64 run. starts: where in the run what is encoded may start, besides its first letter.
 
     Bytes map to the four-letter groups that hold them, those of compressed data to all letters of it.
@@ -149,7 +223,8 @@ def below(run: str, origin: list[tuple[int, int]], starts: list[int]):
     last = len(run) - 1
 
     def places(shift, start, end):
-        return [(origin[min(last, shift + t // 3 * 4)][0], origin[min(last, shift + t // 3 * 4 + 3)][1]) for t in range(start, end)]
+        group = lambda: shift + np.arange(start, end) // 3 * 4
+        return origin.groups(lambda: np.minimum(last, group()), lambda: np.minimum(last, group() + 3))
 
     for shift in range(4):
         data = unbase64(run[shift:])
@@ -157,11 +232,11 @@ def below(run: str, origin: list[tuple[int, int]], starts: list[int]):
         packed = {*offsets, *(m.start() for m in re.finditer(GZIP, data))}
         found = [(at, got) for at in sorted(packed) if (got := inflate(data[at:] if data[at : at + 2] == GZIP or ZLIB.match(data, at) else b""))]
         for at, (text, used) in found:
-            first, end = places(shift, at, at + 1)[0], places(shift, at + used - 1, at + used)[0]
-            yield text.decode("latin-1"), [(first[0], end[1])] * len(text)
+            first, end = places(shift, at, at + 1).span(0, 1), places(shift, at + used - 1, at + used).span(0, 1)
+            yield text.decode("latin-1"), Origin.same(first[0], end[1])
         # from the first start on after which all is text, what stands before it is no part of it
         bad = max((m.start() for m in CONTROL.finditer(data)), default=-1)
-        cut = next((at for at in [o for o in offsets if bad < o < len(data)][:64] if clean(data[at:])), 0)
+        cut = first_text(data, [o for o in offsets if bad < o < len(data)])
         for start, end in ((0, cut), (cut, len(data))):
             part = data[start:end].decode("latin-1")
             if part and holds(part):
@@ -185,15 +260,15 @@ def runs(m: re.Match):
     return [lines, *alone]
 
 
-def decoded_layers(text: str, origin: list[tuple[int, int]], original: bool = False):
+def decoded_layers(text: str, origin: Origin, original: bool = False):
     """What comes out of one layer: without URL escapes, without Unicode escapes, under its base64 runs, and inflated."""
     for pattern, decode in ((URL, url), (ESCAPE, escape)):
         if got := replaced(text, origin, pattern, decode):
             yield got
-    for m in BASE64.finditer(text):
+    for m in base64_runs(text):
         for lines in runs(m):
             run = "".join(text[a:b] for a, b in lines)
-            known = [o for a, b in lines for o in origin[a:b]]
+            known = Origin.joined([origin.cut(a, b) for a, b in lines])
             ends = {sum(b - a for a, b in lines[:i]) for i in range(1, len(lines))}
             starts = sorted(ends | {i + 1 for i, c in enumerate(run) if c in "/-_" and i + 1 < len(run)})
             yield from below(run, known, starts)
@@ -202,13 +277,13 @@ def decoded_layers(text: str, origin: list[tuple[int, int]], original: bool = Fa
         for m in re.finditer(b"%s|%s" % (re.escape(GZIP), ZLIB.pattern), data):
             at = m.start()
             if got := inflate(data[at:], whole=at > 0 and m[0] != GZIP):
-                yield got[0].decode("latin-1"), [(origin[at][0], origin[at + got[1] - 1][1])] * len(got[0])
+                yield got[0].decode("latin-1"), Origin.same(*origin.span(at, at + got[1]))
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
     """The lines of a text that hold something encoded, together where it goes on from one to the next."""
     out: list[tuple[int, int]] = []
-    for start, end in sorted(m.span() for p in (URL, ESCAPE, BASE64) for m in p.finditer(text)):
+    for start, end in sorted(m.span() for found in (URL.finditer(text), ESCAPE.finditer(text), base64_runs(text)) for m in found):
         if out and end <= out[-1][1]:
             continue
         start, end = text.rfind("\n", 0, start) + 1, text.find("\n", end)
@@ -225,17 +300,15 @@ def hidden(text: str) -> set[tuple[str, int, int]]:
     found, seen = set(), set()
     work = []
     for start, end in stretches(text):
-        chars = [(c.encode("utf-8", "surrogatepass").decode("latin-1"), i) for i, c in enumerate(text[start:end], start)]
-        work.append(("".join(c for c, _ in chars), [(i, i + 1) for c, i in chars for _ in c], True))
+        work.append((*Origin.of(text, start, end), True))
     while work:
         layer, origin, original = work.pop()
         if not original:
-            key = (hashlib.sha256(layer.encode("latin-1")).digest(), origin[:1], origin[-1:])
-            key = (key[0], *(x for o in (key[1], key[2]) for x in o))
+            key = (hashlib.sha256(layer.encode("latin-1")).digest(), origin.span(0, 1), origin.span(len(layer) - 1, len(layer)))
             if key in seen:
                 continue
             seen.add(key)
-            found.update((kind, origin[a][0], origin[b - 1][1]) for kind, a, b in scan(layer))
+            found.update((kind, *origin.span(a, b)) for kind, a, b in scan(layer))
         work += [(inner, places, False) for inner, places in decoded_layers(layer, origin, original) if inner]
     return found
 

@@ -2,8 +2,11 @@
 
 import base64
 import gzip
+import os
 import random
 import re
+import subprocess
+import sys
 import urllib.parse
 import zlib
 from collections import Counter, defaultdict
@@ -204,6 +207,20 @@ def test_layers_that_repeat_end():
     assert secret_scan.hidden(r"\u005cu005cu005c" * 30) == set()
 
 
+def test_a_small_text_that_inflates_far_stays_small(spark):
+    secret = b" password = hunter2hunter2"
+    code = "import resource, sys; sys.path.insert(0, %r); from stockflow.llm import secret_scan;"
+    code += "print(sorted(secret_scan.hidden(sys.stdin.read())), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    packed = base64.b64encode(gzip.compress(b"a" * 8_000_000 + secret)).decode()
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code % root], input=f"x {packed} y", capture_output=True, text=True, check=True, timeout=100).stdout
+    assert f"('assign', 2, {2 + len(packed)})" in out and int(out.split()[-1]) < 400_000
+
+
+def test_secrets_of_an_empty_table(none):
+    assert secret_scan.find(none).count() == 0
+
+
 def test_secrets_through_spark(spark):
     once = base64.b64encode(b"secret: abcdefgh1234").decode()
     row = secret_scan.find(spark.createDataFrame([(1, f"a token=12345678 b {once}")], "doc_id long, text string")).first()
