@@ -6,6 +6,7 @@ import os
 import string
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from stockflow.llm.common import table, whole_text
 from stockflow.session import shared_folder
 
 #: folder of the public tokenizer files
-TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
+TOKENIZERS = os.environ.get("TOKENIZERS") or os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def sha256(text) -> F.Column:

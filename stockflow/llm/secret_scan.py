@@ -19,7 +19,7 @@ import hashlib
 import re
 import sys
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,7 @@ ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa
 BASE64_CHARS = -(-(6 + ASSIGN_CHARS) * 8 // 6)
 LETTER, BREAK = r"[A-Za-z0-9+/_-]", r"[\x20\t]*\r?\n[\x20\t]*"
 # possessive, so that a run of any length keeps nothing to go back to
-BASE64 = re.compile(r"(?<!%s)(?:%s++(?:%s(?=%s))?+)++={0,2}" % (LETTER, LETTER, BREAK, LETTER))
-FILLING = re.compile(r"[\s=]+")
+BASE64 = re.compile(r"(?<!%s)(?:%s(?:%s(?=%s))?+){%d,}+={0,2}" % (LETTER, LETTER, BREAK, LETTER, BASE64_CHARS))
 LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 GZIP = b"\x1f\x8b"
@@ -188,16 +187,9 @@ def clean(data: bytes) -> bool:
     return True
 
 
-def base64_runs(text: str) -> Iterator[re.Match]:
-    """The runs of base64 letters that may hold a secret, over line breaks too."""
-    for m in BASE64.finditer(text):
-        if m.end() - m.start() >= BASE64_CHARS and len(FILLING.sub("", m[0])) >= BASE64_CHARS:
-            yield m
-
-
 def holds(text: str) -> bool:
     """Whether a decoded layer may hold a secret or something encoded."""
-    return names_a_secret(text) or any(p.search(text) for p in (ACCESS, HEX, URL, ESCAPE)) or any(True for _ in base64_runs(text))
+    return names_a_secret(text) or any(p.search(text) for p in (ACCESS, HEX, URL, ESCAPE, BASE64))
 
 
 def first_text(data: bytes, starts: list[int]) -> int:
@@ -265,7 +257,7 @@ def decoded_layers(text: str, origin: Origin, original: bool = False):
     for pattern, decode in ((URL, url), (ESCAPE, escape)):
         if got := replaced(text, origin, pattern, decode):
             yield got
-    for m in base64_runs(text):
+    for m in BASE64.finditer(text):
         for lines in runs(m):
             run = "".join(text[a:b] for a, b in lines)
             known = Origin.joined([origin.cut(a, b) for a, b in lines])
@@ -283,7 +275,7 @@ def decoded_layers(text: str, origin: Origin, original: bool = False):
 def stretches(text: str) -> list[tuple[int, int]]:
     """The lines of a text that hold something encoded, together where it goes on from one to the next."""
     out: list[tuple[int, int]] = []
-    for start, end in sorted(m.span() for found in (URL.finditer(text), ESCAPE.finditer(text), base64_runs(text)) for m in found):
+    for start, end in sorted(m.span() for p in (URL, ESCAPE, BASE64) for m in p.finditer(text)):
         if out and end <= out[-1][1]:
             continue
         start, end = text.rfind("\n", 0, start) + 1, text.find("\n", end)
