@@ -222,7 +222,8 @@ def score(
     learn = labels.filter(F.col(label).isin(0, 1) & F.col(id).isNotNull()).groupBy(F.col(id).alias("_id")).agg(F.max(label).alias("toxic"))
     learn = learn.withColumn("_fold", fold("_id")).filter("_fold != 0")
     taught = docs.filter(F.col(id).isNotNull()).select(F.col(id).alias("_id"), F.col(text).alias("text")).filter(fold("_id") != 0)
-    taught = cut(taught.join(learn, "_id").select("text", "toxic", "_fold"))
+    # the same way at every size: the labels grow with the table, so they are not sent to all tasks
+    taught = cut(taught.join(learn.hint("merge"), "_id").select("text", "toxic", "_fold"))
     counted = count(taught.filter("_fold != 1"), order).toPandas()  # at most SYMBOLS^order rows
     model = fit(counted["code"].to_numpy(), counted["toxic"].to_numpy(), counted["ordinary"].to_numpy(), order)
     shared = docs.sparkSession.sparkContext.broadcast((model.codes, model.ratio.astype(np.float32), model.contexts, model.missing.astype(np.float32)))
