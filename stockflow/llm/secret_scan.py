@@ -19,6 +19,7 @@ import hashlib
 import re
 import sys
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable
 
 import numpy as np
@@ -193,17 +194,15 @@ def holds(text: str) -> bool:
 
 
 def first_text(data: bytes, starts: list[int]) -> int:
-    """The first of the starts from which on the data is UTF-8, 0 if there is none."""
-    for at in starts:
+    """The first of the starts, in order, from which on the data is UTF-8, 0 if there is none."""
+    view, i = memoryview(data), 0
+    while i < len(starts):
         try:
-            data[at:].decode("utf-8")
-            return at
+            str(view[starts[i] :], "utf-8")
+            return starts[i]
         except UnicodeDecodeError as error:
-            # whatever starts before the byte that is wrong meets it too, unless it lies inside the character there
-            wrong = at + error.start
-            if wrong > starts[-1]:
-                return 0
-            return first_text(data, [s for s in starts if s > wrong])
+            # what starts at or before the byte that is wrong meets it too, or lies inside a character
+            i = max(i + 1, bisect_right(starts, starts[i] + error.start))
     return 0
 
 
