@@ -86,6 +86,39 @@ def find(
     texts have no words, on both sides. Rows that repeat id and text get the same result each; items with equal texts
     are all named. Other columns are left out.
     """
+    keyed = _keyed(docs, id, text)
+    hits = _hits(keyed, items, item, item_text, passage, k)
+    counted = keyed.select("_id", "_key", count_words(F.col("_text")).cast("long").alias("n_words"))
+    same = F.col("_id").eqNullSafe(F.col("h_id")) & (F.col("_key") == F.col("h_key"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda total, x: total + x["last"] - x["first"] + 1)
+    return counted.join(hits, same, "left").select(
+        F.col("_id").alias(id), "n_words", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("hits", F.array().cast("array<struct<first: int, last: int>>")).alias("hits"),
+    )
+
+
+def remove(
+    docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id",
+    item_text: str = "text", passage: int = PASSAGE, k: int = K,
+) -> DataFrame:
+    """The documents, all columns, without the rows whose own text holds a passage of an item; see find().
+
+    Rows are told apart by id and text: a null id hides nothing, and a clean row stays whatever shares its id.
+    """
+    hits = _hits(_keyed(docs, id, text), items, item, item_text, passage, k)
+    dirty = cut(hits.select(F.struct(F.col("h_id").alias("id"), F.col("h_key").alias("key")).alias("dirty"))).select("dirty")
+    own = F.struct(docs[id].alias("id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("key"))
+    return docs.join(dirty, own["id"].eqNullSafe(dirty["dirty.id"]) & (own["key"] == dirty["dirty.key"]), "left_anti")
+
+
+def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """_id, _text and _key, the hash of the text."""
+    return docs.select(F.col(id).alias("_id"), whole_text(text).alias("_text")).withColumn("_key", F.xxhash64("_text"))
+
+
+def _hits(keyed: DataFrame, items: DataFrame, item: str, item_text: str, passage: int, k: int) -> DataFrame:
+    """h_id, h_key, items and hits of the documents that hold a passage."""
     known = items.select(F.col(item).cast("string").alias("item"), words(whole_text(item_text)).alias("w")).filter(F.size("w") > 0)
     long_items, short_items = known.filter(F.size("w") >= passage), known.filter(F.size("w") < passage)
     # lengths of short items: at most passage - 1 numbers
@@ -105,22 +138,13 @@ def find(
         tag = lambda prints, n: F.transform(F.array_distinct(prints), lambda p: F.struct(p.alias("print"), F.lit(n).alias("n")))
         return F.concat(tag(fingerprints(h, passage, k), passage), *[tag(grams(h, n), n) for n in lengths])
 
-    keyed = docs.select(F.col(id).alias("_id"), whole_text(text).alias("_text")).withColumn("_key", F.xxhash64("_text"))
     # first reading: fingerprints that meet the benchmark; only those travel
     prints = keyed.select("_id", "_key", F.explode(let(hashes(words(F.col("_text"))), kinds)).alias("p")).select("_id", "_key", "p.*")
     met = prints.join(item_prints, ["print", "n"]).groupBy("_id", "_key").agg(F.collect_set(F.struct("print", "n")).alias("_met"))
     # second reading: only the documents that were met
     met = met.withColumnsRenamed({"_id": "m_id", "_key": "m_key"})
     same = F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_key") == F.col("m_key"))
-    hits = _extended(keyed.join(met, same), passages, lengths, passage, k)
-    counted = keyed.select("_id", "_key", count_words(F.col("_text")).cast("long").alias("n_words"))
-    same = F.col("_id").eqNullSafe(F.col("h_id")) & (F.col("_key") == F.col("h_key"))
-    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda total, x: total + x["last"] - x["first"] + 1)
-    return counted.join(hits, same, "left").select(
-        F.col("_id").alias(id), "n_words", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        F.coalesce("hits", F.array().cast("array<struct<first: int, last: int>>")).alias("hits"),
-    )
+    return _extended(keyed.join(met, same), passages, lengths, passage, k)
 
 
 def _extended(met: DataFrame, passages: DataFrame, lengths: list[int], passage: int, k: int) -> DataFrame:

@@ -55,12 +55,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = rules.measured(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    judged = rules.cascade(counted, rules.counted_rules())
+    """The cascade's verdicts; counts that it had no need of are made afterwards, so each is made once."""
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    judged = rules.cascade(table(spark, sf_dir, "documents").select("doc_id", "text"), report=counts)
     failed = rules.base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept"
-    )
+    return judged.select("doc_id", *counts, failed.alias("base_failed"), "kept")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

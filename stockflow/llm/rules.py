@@ -1,13 +1,15 @@
 """Quality rules as a short-circuit cascade (DataFrame functions only).
 
-A rule is a condition over a row that rejects it. The cost of each rule and the share it rejects are measured on a
-sample; the rules then run in the order of rejections per cost, and a row met by one rule is not shown to the next.
+A rule is a condition over a row, or over counts of its text, that rejects it. The cost of each rule and the share it
+rejects are measured on a sample; the rules then run in the order of rejections per cost, and a row met by one rule is
+not shown to the next. A count is made when the first rule that needs it has its turn, and no rule makes it again.
 The order decides only how much work is done: a row is kept when no rule rejects it, whatever the order.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,10 +27,19 @@ MAX_REPEATED_PERCENT = 30
 
 @dataclass(frozen=True)
 class Rule:
-    """`rejects` is true for rows that go; a null counts as false."""
+    """`rejects` is true for rows that go; a null counts as false.
+
+    A rule over counts has `test`, a function of those named in `needs`, as well; see counting().
+    """
 
     name: str
     rejects: Column
+    needs: tuple[str, ...] = ()
+    test: Callable[..., Column] | None = None
+
+    def condition(self, have: dict[str, Column]) -> Column:
+        """The rule over counts at hand."""
+        return F.coalesce(self.test(*(have[n] for n in self.needs)) if self.test else self.rejects, F.lit(False))
 
 
 def words(text: Column) -> Column:
@@ -84,58 +95,58 @@ def repeated_words(words_: Column, window: int = WINDOW) -> Column:
     return let(hashes, lambda h: F.when(repeats(h), covered(h)).otherwise(F.lit(0)).cast("long"))
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with the counts of their whole text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    n_lines, n_exclaimed.
+#: counts of a text: what each is made from, and how
+COUNTS = {
+    "words": ((), words),
+    "n_words": (("words",), lambda text, found: F.size(found).cast("long")),
+    "word_chars": (("words",), lambda text, found: word_chars(found)),
+    "n_repeat_words": (("words",), lambda text, found: repeated_words(found)),
+    "n_symbols": ((), symbols),
+    "n_dup_lines": ((), duplicate_lines),
+    "n_lines": ((), lambda text: F.size(F.split(text, "\n")).cast("long")),
+    "n_exclaimed": ((), lambda text: (F.size(F.split(text, "!")) - 1).cast("long")),
+}
+REPORTED = tuple(name for name in COUNTS if name != "words")
+
+
+def with_counts(names: Sequence[str], have: dict[str, Column], text: str, body: Callable[[dict[str, Column]], Column]) -> Column:
+    """body(counts) with the named counts of the text made, and what they are made from; those in `have` are not made again."""
+    for name in names:
+        if name in have:
+            continue
+        needs, make = COUNTS[name]
+        first = [n for n in needs if n not in have]
+        if first:
+            return with_counts([*first, *names], have, text, body)
+        value = make(whole_text(text), *(have[n] for n in needs))
+        return let(value, lambda made: with_counts(names, {**have, name: made}, text, body))
+    return body(have)
 
-    A null text counts as empty. Columns of the same names are replaced.
-    """
-    # one struct per row, so that the list of words is made once
-    counts = let(words(whole_text(text)), lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"), word_chars(w).alias("word_chars"), repeated_words(w).alias("n_repeat_words"),
-    ))
-    return docs.withColumn("_counts", counts).withColumns({
-        **{n: F.col(f"_counts.{n}") for n in ("n_words", "word_chars", "n_repeat_words")},
-        "n_symbols": symbols(whole_text(text)), "n_dup_lines": duplicate_lines(whole_text(text)),
-        "n_lines": F.size(F.split(whole_text(text), "\n")).cast("long"),
-        "n_exclaimed": (F.size(F.split(whole_text(text), "!")) - 1).cast("long"),
-    }).drop("_counts")
+
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents with every count of their whole text (REPORTED), as cascade() without rules reports them."""
+    return cascade(docs, [], report=REPORTED, text=text).select(*[c for c in docs.columns if c not in REPORTED], *REPORTED)
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEATED_PERCENT * n_words)
 
 
-def _rules(n_words, repeated, n_symbols, exclaimed, n_lines, n_dup_lines, chars) -> list[Rule]:
-    """The standard rules over counts; thresholds as whole numbers, so every engine agrees on the edge cases."""
-    return [
-        Rule("few_words", n_words < MIN_WORDS),
-        Rule("repeated_words", repeated(lambda n, of: 100 * n > MAX_REPEATED_PERCENT * of)),
-        Rule("symbols", 5 * n_symbols > n_words),
-        Rule("exclamations", 2 * exclaimed > n_words),
-        Rule("duplicate_lines", (n_lines >= 6) & (10 * n_dup_lines > 6 * n_lines)),
-        Rule("word_length", chars(lambda n, of: (n < 2 * of) | (n > 25 * of))),
-    ]
+def counting(name: str, needs: tuple[str, ...], test: Callable[..., Column], text: str = "text") -> Rule:
+    """A rule over counts of the text."""
+    return Rule(name, with_counts(needs, {}, text, lambda have: test(*(have[n] for n in needs))), needs, test)
 
 
 def standard_rules(text: str = "text") -> list[Rule]:
-    """The rules over a whole text: each counts only what it needs."""
-    whole = whole_text(text)
-    count = lambda pattern: F.size(F.split(whole, pattern)) - 1
-    return _rules(
-        F.size(words(whole)), lambda test: let(words(whole), lambda w: test(repeated_words(w), F.size(w))), count(SYMBOL),
-        count("!"), F.size(F.split(whole, "\n")), duplicate_lines(whole),
-        lambda test: let(words(whole), lambda w: test(word_chars(w), F.size(w))),
-    )
-
-
-def counted_rules() -> list[Rule]:
-    """The same rules over the columns of measured()."""
-    n = F.col("n_words")
-    return _rules(
-        n, lambda test: test(F.col("n_repeat_words"), n), F.col("n_symbols"), F.col("n_exclaimed"), F.col("n_lines"),
-        F.col("n_dup_lines"), lambda test: test(F.col("word_chars"), n),
-    )
+    """The rules over a whole text; thresholds as whole numbers, so every engine agrees on the edge cases."""
+    return [
+        counting("few_words", ("n_words",), lambda n: n < MIN_WORDS, text),
+        counting("repeated_words", ("n_repeat_words", "n_words"), lambda again, n: 100 * again > MAX_REPEATED_PERCENT * n, text),
+        counting("symbols", ("n_symbols", "n_words"), lambda found, n: 5 * found > n, text),
+        counting("exclamations", ("n_exclaimed", "n_words"), lambda found, n: 2 * found > n, text),
+        counting("duplicate_lines", ("n_lines", "n_dup_lines"), lambda n, again: (n >= 6) & (10 * again > 6 * n), text),
+        counting("word_length", ("word_chars", "n_words"), lambda chars, n: (chars < 2 * n) | (chars > 25 * n), text),
+    ]
 
 
 def sample_rows(df: DataFrame, rows: int, seed: int = 7) -> DataFrame:
@@ -167,21 +178,46 @@ def order(docs: DataFrame, rules: list[Rule], rows: int = 2000) -> list[Rule]:
     return sorted(rules, key=lambda rule: -gains[rule.name])
 
 
-def rejected_by(rules: list[Rule]) -> Column:
+def judged(rules: list[Rule], report: Sequence[str] = (), text: str = "text") -> Column:
+    """A struct of rejected_by, the first rule in the order that rejects the row or null, and of the reported counts.
+
+    Later rules are not evaluated, nor are counts that only they need, unless these are to be reported.
+    """
+
+    def verdict(by: Column, have: dict[str, Column]) -> Column:
+        fields = lambda all_: F.struct(by.alias("rejected_by"), *[all_[n].alias(n) for n in report])
+        return with_counts(report, have, text, fields)
+
+    def step(at: int, have: dict[str, Column]) -> Column:
+        if at == len(rules):
+            return verdict(F.lit(None).cast("string"), have)
+        rule = rules[at]
+        return with_counts(rule.needs, have, text, lambda now: F.when(
+            rule.condition(now), verdict(F.lit(rule.name), now)
+        ).otherwise(step(at + 1, now)))
+
+    return step(0, {})
+
+
+def rejected_by(rules: list[Rule], text: str = "text") -> Column:
     """The first rule in the order that rejects the row, else null; later rules are not evaluated."""
-    chain = F.when(F.coalesce(rules[0].rejects, F.lit(False)), F.lit(rules[0].name))
-    for rule in rules[1:]:
-        chain = chain.when(F.coalesce(rule.rejects, F.lit(False)), F.lit(rule.name))
-    return chain
+    return judged(rules, text=text)["rejected_by"]
 
 
-def cascade(docs: DataFrame, rules: list[Rule] | None = None, rows: int = 2000) -> DataFrame:
-    """The documents with `kept`: true where no rule rejects them.
+def cascade(
+    docs: DataFrame, rules: list[Rule] | None = None, rows: int = 2000, report: Sequence[str] = (), text: str = "text"
+) -> DataFrame:
+    """The documents with `kept`, true where no rule rejects them, and with the counts named in `report` (of REPORTED).
 
     Every row comes back. Null and empty texts have no words and are rejected by few_words. `rules` defaults to
-    standard_rules(); with an empty list every row is kept. A column named kept is replaced.
+    standard_rules(); with an empty list every row is kept. Columns named kept or like a reported count are replaced.
     """
-    rules = standard_rules() if rules is None else rules
-    if not rules:
-        return docs.withColumn("kept", F.lit(True))
-    return docs.withColumn("kept", rejected_by(order(docs, rules, rows)).isNull())
+    rules = standard_rules(text) if rules is None else rules
+    ordered = order(docs, rules, rows) if len(rules) > 1 else rules
+    spare = "_judged"
+    while spare in docs.columns:
+        spare += "_"
+    found = docs.withColumn(spare, judged(ordered, report, text))
+    return found.withColumns({
+        **{n: F.col(f"{spare}.{n}") for n in report}, "kept": F.col(f"{spare}.rejected_by").isNull(),
+    }).drop(spare)

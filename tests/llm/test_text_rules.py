@@ -46,8 +46,11 @@ def test_cascade_keeps_what_no_rule_rejects_in_any_order(docs, corpus):
     expected = Counter((r.doc_id, r.text, not any(r[f"r_{x.name}"] for x in standard)) for r in verdicts.collect())
     for given in (standard, standard[::-1]):
         assert Counter((r.doc_id, r.text, r.kept) for r in rules.cascade(docs, given).collect()) == expected
-    measured = rules.cascade(rules.measured(docs), rules.counted_rules())
-    assert Counter((r.doc_id, r.text, r.kept) for r in measured.collect()) == expected
+        reported = rules.cascade(docs.withColumn("_judged", F.lit(1)), given, report=NAMES)
+        assert sorted(reported.columns) == sorted({*docs.columns, "_judged", *NAMES, "kept"})
+        rows = reported.collect()
+        assert Counter((r.doc_id, r.text, r.kept) for r in rows) == expected
+        assert Counter((r.doc_id, *(r[n] for n in NAMES)) for r in rows) == Counter((i, *counts(t)) for i, t in corpus)
     assert len({k[2] for k in expected}) == 2
 
 
@@ -62,6 +65,8 @@ def test_a_rule_is_not_shown_what_another_rejected(spark):
     few = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     fails = rules.Rule("fails", F.raise_error(F.lit("evaluated")).cast("boolean"))
     assert few.select(rules.rejected_by([rules.Rule("all", F.lit(True)), fails]).alias("by")).distinct().first()[0] == "all"
+    made = few.select(F.lit("a b").alias("text")).select(rules.judged([rules.standard_rules()[0], fails], ["n_lines"]).alias("by"))
+    assert made.distinct().first()[0] == ("few_words", 1)
 
 
 def test_cascade_without_rows_or_rules(none, docs):
@@ -253,6 +258,19 @@ def test_passages(spark, docs, corpus):
     assert all(sum(h["last"] - h["first"] + 1 for h in r["hits"]) == r.n_hit for r in found)
 
 
+def test_only_rows_with_a_passage_are_removed(spark):
+    """Also where ids are null or shared by clean and contaminated texts."""
+    words_ = [f"w{i}" for i in range(30)]
+    dirty, clean = " ".join(words_[5:25]), " ".join(words_[::2])
+    rows = [(1, dirty), (1, clean), (2, clean), (None, dirty), (None, clean), (3, None), (4, ""), (4, dirty), (4, dirty)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, h_id int, _key int").repartition(3)
+    items = spark.createDataFrame([("a", " ".join(words_))], "item_id string, text string")
+    left = decontaminate.remove(docs, items)
+    assert left.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(r for r in rows if r[1] != dirty)
+    assert decontaminate.remove(docs, items.limit(0)).count() == len(rows) and decontaminate.remove(docs.limit(0), items).count() == 0
+
+
 def test_passages_of_empty_tables(spark, none, docs):
     items = none.withColumnRenamed("doc_id", "item_id")
     assert decontaminate.find(docs, items).filter("n_hit > 0").count() == 0
