@@ -27,17 +27,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id; documents without words stay."""
+    """One document of each group of near copies, the one with the smallest id; documents without words stay.
+
+    Rows that repeat an id are one document, and go or stay together; rows with a null id are not compared and stay.
+    """
     classes = minhash.classes(docs)
     others = classes.filter("doc_id != class_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
-    dirty = found.filter("n_hit > 0").select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without a passage of the benchmark; rows are told apart by id and text."""
+    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
