@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockflow.functions.exact import decimal, exact_sum, ratio, sample_variance
+from stockflow.functions.exact import decimal, exact_sum, ratio, sample_variance, square
 from stockflow.functions.measures import number, seconds_between
 from stockflow.functions.ranking import newest
 from stockflow.functions.split_windows import previous_row, running_sums
@@ -82,9 +82,8 @@ def rolling_demand(demand: DataFrame, keys: list[str], spans: list[int]) -> Data
     out = {}
     for span in spans:
         window = Window.partitionBy(*keys).orderBy("_day").rangeBetween(-(span - 1), 0)
-        total = F.sum(decimal("demand")).over(window).cast("double")
-        squares = F.sum(decimal(F.col("demand") * F.col("demand"))).over(window).cast("double")
-        out[f"mean_{span}d"] = total / span
+        total, squares = F.sum(decimal("demand")).over(window), F.sum(square("demand")).over(window)
+        out[f"mean_{span}d"] = total.cast("double") / span
         out[f"deviation_{span}d"] = F.round(F.sqrt(sample_variance(F.lit(span), total, squares)), 6)
     return numbered.withColumns(out).drop("_day")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockflow.functions.exact import count_if, decimal, exact_sum, ratio, sample_variance
+from stockflow.functions.exact import count_if, decimal, exact_sum, ratio, sample_variance, square
 from stockflow.functions.measures import number
 from stockflow.operators.windows import supplier_rank
 from stockflow.plans.kpi import fill_rate
@@ -19,9 +19,8 @@ def demand_stats(demand: DataFrame, keys: list[str], start, end) -> DataFrame:
     first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
     days = F.datediff(last, first) + 1
     inside = demand.filter(F.col("day").between(first, last))
-    square = F.col("demand") * F.col("demand")
-    return inside.groupBy(*keys).agg(exact_sum("demand").alias("_s"), exact_sum(square).alias("_q")).select(
-        *keys, (F.col("_s") / days).alias("demand_mean"), sample_variance(days, F.col("_s"), F.col("_q")).alias("demand_variance")
+    return inside.groupBy(*keys).agg(F.sum(decimal("demand")).alias("_s"), F.sum(square("demand")).alias("_q")).select(
+        *keys, (F.col("_s").cast("double") / days).alias("demand_mean"), sample_variance(days, F.col("_s"), F.col("_q")).alias("demand_variance")
     )
 
 

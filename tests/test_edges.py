@@ -1,6 +1,7 @@
 """The hand-made cases the given tables do not hold."""
 
 import math
+import statistics
 from datetime import date, datetime
 
 from hypothesis import HealthCheck, given, settings
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stockflow import schema
+from stockflow.functions.exact import decimal, sample_variance, square
 from stockflow.functions.measures import haversine_km, local_time
 from stockflow.operators import joins, projections, quality, windows
 from stockflow.plans import eta, inventory, kpi, risk
@@ -227,3 +229,15 @@ def test_stock_as_of_takes_the_last_snapshot_at_or_before(spark):
     )
     got = {r.id: r.on_hand_quantity for r in joins.stock_as_of(movements, snapshots).collect()}
     assert got == {"m1": None, "m2": 6.0, "m3": 6.0, "m9": 7.0, "other": None}
+
+
+def test_variance_of_large_values_that_lie_close_together(spark):
+    def variance(values):
+        frame = spark.createDataFrame([(float(v),) for v in values], "x double")
+        sums = frame.agg(F.count("x").alias("n"), F.sum(decimal("x")).alias("s"), F.sum(square("x")).alias("q"))
+        return sums.select(sample_variance(F.col("n"), F.col("s"), F.col("q"))).first()[0]
+
+    for middle in (0.0, 0.25, 1e8, -1e8, 3e10):
+        values = [middle + (1 if i % 2 else -1) for i in range(2405)]
+        assert math.isclose(variance(values), statistics.variance(v - middle for v in values), rel_tol=1e-9), middle
+    assert variance([1e14, 3e14]) == 2e28 and variance([]) is None and variance([5]) is None and variance([7, 7]) == 0
