@@ -87,7 +87,7 @@ def find(
     are all named. Other columns are left out.
     """
     keyed = _keyed(docs, id, text)
-    hits = _hits(keyed, items, item, item_text, passage, k)
+    hits = cut(_hits(keyed, items, item, item_text, passage, k))
     counted = keyed.select("_id", "_key", count_words(F.col("_text")).cast("long").alias("n_words"))
     same = F.col("_id").eqNullSafe(F.col("h_id")) & (F.col("_key") == F.col("h_key"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda total, x: total + x["last"] - x["first"] + 1)
@@ -141,8 +141,8 @@ def _hits(keyed: DataFrame, items: DataFrame, item: str, item_text: str, passage
     # first reading: fingerprints that meet the benchmark; only those travel
     prints = keyed.select("_id", "_key", F.explode(let(hashes(words(F.col("_text"))), kinds)).alias("p")).select("_id", "_key", "p.*")
     met = prints.join(item_prints, ["print", "n"]).groupBy("_id", "_key").agg(F.collect_set(F.struct("print", "n")).alias("_met"))
-    # second reading: only the documents that were met
-    met = met.withColumnsRenamed({"_id": "m_id", "_key": "m_key"})
+    # second reading: only the documents that were met; written first, so Spark knows how few and need not move the texts
+    met = cut(met).withColumnsRenamed({"_id": "m_id", "_key": "m_key"})
     same = F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_key") == F.col("m_key"))
     return _extended(keyed.join(met, same), passages, lengths, passage, k)
 
