@@ -1,14 +1,15 @@
-"""Toxicity by two Kneser-Ney models of letters, one of toxic and one of ordinary texts, with a shared backoff.
-
-Texts become symbols: a to z in either case, digits, four groups of bytes beyond ASCII, and one for any run of other
-characters, 32 in all. So a model of order ORDER has at most 32^ORDER n-grams whatever the corpus, which bounds what
-is collected and sent to the tasks. Counts come from all learning rows. Each class discounts its own counts; what it
-sets aside goes to one backoff model, built from the continuation counts of both classes together, so that rare
-expressions count alike in both.
-
-The difference of the log-likelihoods is normalised by length over windows as well as over short texts as a whole: of
-each width in WINDOWS (symbols, about one expression and one clause) the window with the highest mean counts, so a few toxic words
-are found in a text of any length. The score is the logistic value of the average over the widths.
+"""Toxicity by two Kneser-Ney models of words, one of toxic and one of ordinary texts, with shared backoff counts.
+
+A class discounts its own word counts. What it sets aside goes to a backoff by continuation counts, in how many of the
+classes a word occurs, so one occurrence weighs little; and what that sets aside to the class's model of spelling,
+letter n-grams inside the word, which discounts likewise and falls back on one model by continuation counts. The words are a table that grows with the corpus and is joined to the documents' words. Only two things
+are sent to every task, both of fixed size: at most SYMBOLS^ORDER letter n-grams, and the FREQUENT commonest words, which would
+be hot keys of the join. All other words of the documents meet the table by a shuffle of hashes; texts are not
+moved for it.
+
+The difference of the log-likelihoods is normalised by length, over windows as well as over short texts as a whole: of
+each width in WINDOWS (words) the window with the highest mean counts, so a few toxic words are found in a text of any
+length. The score is the logistic value of the average over the widths.
 """
 
 from __future__ import annotations
@@ -31,10 +32,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ORDER = 4
 SYMBOLS = 32
 DISCOUNT = 0.75
-#: symbols of the windows whose highest mean counts
-WINDOWS = (20, 50)
+#: words of the windows whose highest mean counts
+WINDOWS = (1, 4, 16)
+#: a longer word counts by its mean difference over so many symbols
+WORD_SYMBOLS = 12
+#: words sent to every task; the others are joined
+FREQUENT = 1 << 16
 #: steps of the scores whose counts set the logistic curve
-STEPS, SPAN = 4000, 4.0
+STEPS, SPAN = 4000, 20.0
 
 
 def symbol_table() -> np.ndarray:
@@ -47,88 +52,114 @@ def symbol_table() -> np.ndarray:
     return table
 
 
-def grams(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, code) of the n-grams of every text in order, and their number by row; a text is led in by spaces."""
+@dataclass
+class Words:
+    """The words of some texts in order: their text, hash, and letter n-grams, which do not reach beyond the word."""
+
+    row: np.ndarray  # by word
+    key: np.ndarray
+    start: np.ndarray  # its bytes in data
+    end: np.ndarray
+    data: np.ndarray
+    code: np.ndarray  # by symbol of all words; the last of a word is its end, 0
+    size: np.ndarray  # symbols by word
+
+
+def words(texts: pa.Array, order: int = ORDER) -> Words:
+    """Runs of letters, digits and bytes beyond ASCII; a to z in either case are the same."""
     raw = pc.fill_null(texts, "").cast(pa.large_binary())
     offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
     data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    sizes = np.diff(offsets)
-    row = np.repeat(np.arange(len(raw)), sizes)
+    data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     symbol = symbol_table()[data]
-    first = np.ones(len(row), bool)
-    first[1:] = row[1:] != row[:-1]
-    # runs of other characters are one symbol
-    keep = np.ones(len(row), bool)
-    keep[1:] = (symbol[1:] > 0) | (symbol[:-1] > 0) | first[1:]
-    row, symbol = row[keep], symbol[keep].astype(np.int64)
-    counts = np.bincount(row, minlength=len(raw))
-    place = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
-    code = symbol.copy()
+    inside, new = symbol > 0, np.zeros(len(data) + 1, bool)
+    new[offsets[:-1] - offsets[0]] = True  # a text begins
+    before = np.concatenate([[False], inside[:-1]]) & ~new[:-1] if len(data) else inside
+    start = np.flatnonzero(inside & ~before)
+    length = np.add.reduceat(inside.astype(np.int64), start) if len(start) else start
+    row = np.searchsorted(offsets[1:] - offsets[0], start, side="right")
+    word = np.repeat(np.arange(len(start)), length)
+    place = np.arange(len(word)) - np.repeat(np.cumsum(length) - length, length)
+    letters = data[inside]
+    # a polynomial over mixed bytes, mixed again
+    power = np.multiply.accumulate(np.full(int(length.max(initial=1)), HASH[0], np.uint64))
+    terms = mixed(letters.astype(np.uint64) + HASH[1]) * power[place]
+    key = mixed(np.add.reduceat(terms, np.cumsum(length) - length)) if len(start) else np.zeros(0, np.uint64)
+    # symbols with an end after each word
+    size = length + 1
+    code = np.zeros(int(size.sum()), np.int64)
+    at = np.arange(len(word)) + word
+    code[at] = symbol[inside]
+    deep = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+    plain = code.copy()
     for back in range(1, order):
-        there = place >= back
-        code[there] += symbol[np.flatnonzero(there) - back] << (5 * back)
-    return row, code, counts
+        there = np.flatnonzero(deep >= back)
+        code[there] += plain[there - back] << (5 * back)
+    return Words(row, key.view(np.int64), start, start + length, data, code, size)
 
 
-def count(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """code, toxic, ordinary: how often each n-gram occurs in texts of each label. docs: text, toxic (0 or 1)."""
+HASH = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
-    def run(batches):
-        # at most 2 · SYMBOLS^ORDER counts, as many as there are different n-grams in fact
-        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged(parts):
-            codes, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            return codes, np.bincount(back, np.concatenate([p[1] for p in parts])).astype(np.int64)
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * HASH[2]
+    x = (x ^ (x >> np.uint64(27))) * HASH[3]
+    return x ^ (x >> np.uint64(31))
 
+
+def count(docs: DataFrame) -> DataFrame:
+    """key, word, toxic, ordinary: how often each word occurs in texts of each label. docs: text, toxic (0 or 1)."""
+
+    def run(batches):
         for batch in slices(batches, "text"):
-            row, code, _ = grams(batch.column("text"), order)
-            label = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)[row]
-            codes, number = np.unique(code * 2 + label, return_counts=True)
-            held = [merged([*held, (codes, number)])] if held else [(codes, number)]
-        if held:
-            codes, number = held[0]
-            toxic = codes & 1
+            found = words(batch.column("text"), 1)
+            keys, first, back = np.unique(found.key, return_index=True, return_inverse=True)
+            label = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)[found.row]
+            toxic, every = np.bincount(back, label, len(keys)).astype(np.int64), np.bincount(back, minlength=len(keys))
+            spelled = [found.data[a:b].tobytes() for a, b in zip(found.start[first].tolist(), found.end[first].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(codes >> 1), pa.array(number * toxic), pa.array(number * (1 - toxic))], names=["code", "toxic", "ordinary"]
+                [pa.array(keys), pa.array(spelled, pa.binary()), pa.array(toxic), pa.array(every - toxic)], names=["key", "word", "toxic", "ordinary"]
             )
 
-    counted = docs.select("text", "toxic").mapInArrow(run, "code bigint, toxic bigint, ordinary bigint")
-    return counted.groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    counted = docs.select("text", "toxic").mapInArrow(run, "key bigint, word binary, toxic bigint, ordinary bigint")
+    return counted.groupBy("key").agg(F.max("word").alias("word"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
+def spellings(counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """code, toxic, ordinary: in how many different words of each class a letter n-gram occurs, each time counted."""
+
+    def run(batches):
+        for batch in slices(batches, "word"):
+            found = words(batch.column("word").cast(pa.large_binary()), order)
+            codes, back = np.unique(found.code, return_inverse=True)
+            sides = [np.repeat(batch.column(c).to_numpy() > 0, found.size) for c in ("toxic", "ordinary")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(codes), *[pa.array(np.bincount(back, s, len(codes)).astype(np.int64)) for s in sides]], names=["code", "toxic", "ordinary"]
+            )
+
+    found = counted.mapInArrow(run, "code bigint, toxic bigint, ordinary bigint")
+    return found.groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 @dataclass
 class Model:
-    """The log-likelihood ratio of every n-gram seen, and of contexts and of nothing seen, for the others."""
+    """Spelling: the log-likelihoods of the n-grams seen, and of contexts the ratio of what the classes set aside."""
 
     codes: np.ndarray
-    ratio: np.ndarray
+    toxic: np.ndarray
+    ordinary: np.ndarray
     contexts: np.ndarray
     missing: np.ndarray
 
-    def differences(self, texts: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row and difference of the log-likelihoods of every symbol, and the symbols of each row."""
-        row, code, counts = grams(texts, order)
-        each = self._at(self.codes, self.ratio, code, np.nan)
-        unseen = np.flatnonzero(np.isnan(each))
-        # an n-gram that neither class has: the backoff is the same, only what the classes set aside differs
-        each[unseen] = self._at(self.contexts, self.missing, code[unseen] >> 5, 0.0)
-        return row, each, counts
-
-    def values(self, texts: pa.Array, order: int = ORDER, windows: tuple[int, ...] = WINDOWS) -> np.ndarray:
-        """By text the highest mean difference in a window, averaged over the widths; 0 for texts without symbols."""
-        row, each, counts = self.differences(texts, order)
-        sums, place = np.concatenate([[0.0], np.cumsum(each)]), np.arange(len(row))
-        total = np.zeros(len(counts))
-        for width in windows:
-            # a text shorter than the window is one window
-            highest = np.bincount(row, each, minlength=len(counts)) / np.maximum(counts, 1)
-            inside = place[place + width <= np.cumsum(counts)[row]]
-            if len(inside):
-                first = np.flatnonzero(np.diff(row[inside], prepend=-1))
-                highest[row[inside[first]]] = np.maximum.reduceat((sums[inside + width] - sums[inside]) / width, first)
-            total += highest / len(windows)
-        return total
+    def likelihoods(self, found: Words) -> tuple[np.ndarray, np.ndarray]:
+        """By word the log-likelihoods of its spelling; of n-grams that no class has, what both share is left out."""
+        if not len(found.size):
+            return np.zeros(0), np.zeros(0)
+        first = np.cumsum(found.size) - found.size
+        toxic, ordinary = self._at(self.codes, self.toxic, found.code, np.nan), self._at(self.codes, self.ordinary, found.code, 0.0)
+        unseen = np.flatnonzero(np.isnan(toxic))
+        toxic[unseen] = self._at(self.contexts, self.missing, found.code[unseen] >> 5, 0.0)
+        return np.add.reduceat(toxic, first), np.add.reduceat(ordinary, first)
 
     @staticmethod
     def _at(keys, values, wanted, default):
@@ -138,6 +169,64 @@ class Model:
         return np.where(keys[place] == wanted, values[place], default)
 
 
+@dataclass
+class Totals:
+    """Occurrences and different words by class, and different words in all."""
+
+    toxic: int
+    ordinary: int
+    toxic_words: int
+    ordinary_words: int
+    words: int
+
+    def aside(self) -> tuple[float, float]:
+        """What each class sets aside for spelling; all of it where it has no words."""
+        part = lambda kinds, all: np.log(DISCOUNT * kinds / all) if all else 0.0
+        return part(self.toxic_words, self.toxic), part(self.ordinary_words, self.ordinary)
+
+
+def shortened(value: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return value * np.minimum(1.0, WORD_SYMBOLS / np.maximum(size, 1))
+
+
+def unseen_values(found: Words, model: Model, totals: Totals) -> np.ndarray:
+    """By word the difference of the log-likelihoods if no class has the word."""
+    (p, q), (a, b) = model.likelihoods(found), totals.aside()
+    return shortened(p - q + a - b, found.size)
+
+
+def seen_values(found: Words, toxic: np.ndarray, ordinary: np.ndarray, model: Model, totals: Totals) -> np.ndarray:
+    """By word of the table the difference of its log-likelihoods."""
+    (p, q), (a, b) = model.likelihoods(found), totals.aside()
+
+    # the backoff that both share: in how many classes a word occurs, then its spelling
+    kinds, occurring = (toxic > 0).astype(int) + (ordinary > 0), totals.toxic_words + totals.ordinary_words
+    either = np.log(DISCOUNT * max(totals.words, 1) / max(occurring, 1))
+
+    def one(counts, all, aside, spelled):
+        with np.errstate(divide="ignore"):
+            backoff = np.logaddexp(np.log(np.maximum(kinds - DISCOUNT, 0) / max(occurring, 1)), either + spelled)
+            return np.logaddexp(np.log(np.maximum(counts - DISCOUNT, 0) / max(all, 1)), aside + backoff)
+
+    return shortened(one(toxic, totals.toxic, a, p) - one(ordinary, totals.ordinary, b, q), found.size)
+
+
+def highest(row: np.ndarray, each: np.ndarray, rows: int, windows: tuple[int, ...] = WINDOWS) -> np.ndarray:
+    """By row the highest mean in a window, averaged over the widths; 0 for rows without words."""
+    counts = np.bincount(row, minlength=rows)
+    sums, place = np.concatenate([[0.0], np.cumsum(each)]), np.arange(len(row))
+    total = np.zeros(rows)
+    for width in windows:
+        # a text shorter than the window is one window
+        best = np.bincount(row, each, minlength=rows) / np.maximum(counts, 1)
+        inside = place[place + width <= np.cumsum(counts)[row]] if len(row) else place
+        if len(inside):
+            first = np.flatnonzero(np.diff(row[inside], prepend=-1))
+            best[row[inside[first]]] = np.maximum.reduceat((sums[inside + width] - sums[inside]) / width, first)
+        total += best / len(windows)
+    return total
+
+
 def continuation(codes: np.ndarray, order: int) -> np.ndarray:
     """The shared backoff probability of each n-gram's last symbol after its context less one symbol.
 
@@ -164,11 +253,11 @@ def continuation(codes: np.ndarray, order: int) -> np.ndarray:
 
 
 def fit(codes: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, order: int = ORDER) -> Model:
-    """The model from the counts of all n-grams."""
+    """The model of spelling from the counts of all letter n-grams."""
     by_code = np.argsort(codes)
     codes, toxic, ordinary = codes[by_code], toxic[by_code].astype(float), ordinary[by_code].astype(float)
     if not len(codes):
-        return Model(codes, toxic, codes, toxic)
+        return Model(codes, toxic, ordinary, codes, toxic)
     shared = continuation(codes, order)
     contexts, back = np.unique(codes >> 5, return_inverse=True)
 
@@ -179,7 +268,7 @@ def fit(codes: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, order: int =
         return np.maximum(counts - DISCOUNT, 0) / np.maximum(total, 1)[back] + aside[back] * shared, aside
 
     (p, set_p), (q, set_q) = model(toxic), model(ordinary)
-    return Model(codes, np.log(p) - np.log(q), contexts, np.log(set_p) - np.log(set_q))
+    return Model(codes, np.log(p), np.log(q), contexts, np.log(set_p) - np.log(set_q))
 
 
 def curve(values: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> tuple[float, float]:
@@ -209,43 +298,103 @@ def fold(id: str) -> Column:
     return F.crc32(F.col(id).cast("string").cast("binary")) % 5
 
 
+def taught_labels(labels: DataFrame, id: str, label: str) -> DataFrame:
+    """_id, toxic, _fold of the labels that may be learned from."""
+    told = labels.filter(F.col(label).isin(0, 1) & F.col(id).isNotNull()).groupBy(F.col(id).alias("_id")).agg(F.max(label).alias("toxic"))
+    return told.withColumn("_fold", fold("_id")).filter("_fold != 0")
+
+
+def values(
+    docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", order: int = ORDER,
+    frequent: int = FREQUENT,
+) -> DataFrame:
+    """Per row _id and value: the mean difference of the log-likelihoods in the windows where it is highest."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id).alias("_id"), F.col(text).alias("text"))
+    # the same way at every size: labels and words grow with the table, so they are not sent to all tasks
+    taught = texts.filter(F.col("_id").isNotNull() & (fold("_id") > 1)).join(taught_labels(labels, id, label).filter("_fold > 1").hint("merge"), "_id")
+    counted = cut(count(taught))
+    sums = counted.agg(*[F.coalesce(F.expr(e), F.lit(0)) for e in (
+        "sum(toxic)", "sum(ordinary)", "count_if(toxic > 0)", "count_if(ordinary > 0)", "count(*)")]).first()
+    letters = spellings(counted, order).toPandas()  # at most SYMBOLS^order rows
+    model, totals = fit(letters["code"].to_numpy(), letters["toxic"].to_numpy(), letters["ordinary"].to_numpy(), order), Totals(*sums)
+    sent = spark.sparkContext.broadcast((model, totals))
+
+    def weigh(batches):
+        own, all = sent.value
+        for batch in slices(batches, "word"):
+            found = words(batch.column("word").cast(pa.large_binary()), order)
+            seen = seen_values(found, batch.column("toxic").to_numpy(), batch.column("ordinary").to_numpy(), own, all)
+            number = pc.add(batch.column("toxic"), batch.column("ordinary"))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), number, pa.array(seen)], names=["key", "number", "value"])
+
+    weighed = cut(counted.mapInArrow(weigh, "key bigint, number bigint, value double"))
+    common = weighed.orderBy(F.desc("number"), "key").limit(frequent).toPandas().sort_values("key")  # at most `frequent` rows
+    common = spark.sparkContext.broadcast((common["key"].to_numpy(), common["value"].to_numpy()))
+
+    def look(batches):
+        """By row the values as far as known in the task, and place and key of the words that are to be looked up."""
+        (own, all), (keys, values) = sent.value, common.value
+        for batch in slices(batches, "text"):
+            found = words(batch.column("text"), order)
+            each = Model._at(keys, values, found.key, np.nan)
+            rare = np.flatnonzero(np.isnan(each))
+            each[rare] = unseen_values(found, own, all)[rare]
+            bounds = np.concatenate([[0], np.cumsum(np.bincount(found.row, minlength=len(batch)))]).astype(np.int32)
+            rare_bounds = np.concatenate([[0], np.cumsum(np.bincount(found.row[rare], minlength=len(batch)))]).astype(np.int32)
+            listed = lambda b, v: pa.ListArray.from_arrays(pa.array(b), pa.array(v))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("_id"), batch.column("_text"), listed(bounds, each.astype(np.float32)),
+                    listed(rare_bounds, (rare - bounds[found.row[rare]]).astype(np.int32)), listed(rare_bounds, found.key[rare]),
+                ],
+                names=["_id", "_text", "each", "place", "key"],
+            )
+
+    kind = dict(texts.dtypes)["_id"]
+    looked = texts.select("_id", F.xxhash64("text").alias("_text"), "text").mapInArrow(
+        look, f"_id {kind}, _text bigint, each array<float>, place array<int>, key array<bigint>"
+    )
+    rare = looked.select("_id", "_text", F.explode(F.arrays_zip("place", "key")).alias("w")).select("_id", "_text", "w.place", "w.key")
+    # equal rows bring equal places
+    known = rare.join(weighed.select("key", "value").hint("merge"), "key").groupBy("_text", "_id").agg(
+        F.sort_array(F.collect_set(F.struct("place", F.col("value").cast("float").alias("value")))).alias("known")
+    )
+
+    def best(batches):
+        for batch in batches:
+            each, own = batch.column("each"), batch.column("known")
+            counts = pc.fill_null(pc.list_value_length(each), 0).to_numpy().astype(np.int64)
+            values, row = each.flatten().to_numpy(zero_copy_only=False).astype(float), np.repeat(np.arange(len(batch)), counts)
+            flat, at = own.flatten(), pc.list_parent_indices(own).to_numpy()
+            values[(np.cumsum(counts) - counts)[at] + flat.field("place").to_numpy()] = flat.field("value").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(highest(row, values, len(batch)))], names=["_id", "value"])
+
+    same = F.expr("l._text = r._text and l._id <=> r._id")
+    joined = looked.select("_id", "_text", "each").alias("l").join(known.hint("merge").alias("r"), same, "left").select("l._id", "each", "known")
+    return joined.mapInArrow(best, f"_id {kind}, value double")
+
+
 def score(
-    docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", order: int = ORDER
+    docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", order: int = ORDER,
+    frequent: int = FREQUENT,
 ) -> DataFrame:
     """Per row: id, held_out, score (0 to 1), predicted (1 from 0.5 on).
 
     Learns from labelled rows that are not held out; rows without a label, and labels other than 0 and 1, teach
     nothing. An id with several labels counts as toxic if one of them says so. A null or empty text, and every text
     where no label of one class is known, scores by the curve alone. A null id is held out. Every row comes back; other
-    columns are left out.
+    columns are left out. Two words are taken for one, and two rows of one id, if hashes of 64 bits are equal.
     """
-    learn = labels.filter(F.col(label).isin(0, 1) & F.col(id).isNotNull()).groupBy(F.col(id).alias("_id")).agg(F.max(label).alias("toxic"))
-    learn = learn.withColumn("_fold", fold("_id")).filter("_fold != 0")
-    taught = docs.filter(F.col(id).isNotNull()).select(F.col(id).alias("_id"), F.col(text).alias("text")).filter(fold("_id") != 0)
-    # the same way at every size: the labels grow with the table, so they are not sent to all tasks
-    taught = cut(taught.join(learn.hint("merge"), "_id").select("text", "toxic", "_fold"))
-    counted = count(taught.filter("_fold != 1"), order).toPandas()  # at most SYMBOLS^order rows
-    model = fit(counted["code"].to_numpy(), counted["toxic"].to_numpy(), counted["ordinary"].to_numpy(), order)
-    shared = docs.sparkSession.sparkContext.broadcast((model.codes, model.ratio.astype(np.float32), model.contexts, model.missing.astype(np.float32)))
-
-    def apply(batches):
-        own = Model(*shared.value)
-        for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(own.values(batch.column("text"), order))], names=["key", "value"])
-
-    def valued(rows: DataFrame, key: str) -> DataFrame:
-        kind = dict(rows.dtypes)[key]
-        return rows.selectExpr(f"`{key}` key", "text").mapInArrow(apply, f"key {kind}, value double")
-
+    valued, told = cut(values(docs, labels, id, text, label, order, frequent)), taught_labels(labels, id, label)
     # how the curve lies: counts per step of the value and label, a table of fixed size
-    steps = valued(taught.filter("_fold = 1").withColumn("toxic", F.col("toxic").cast("int")), "toxic")
+    steps = valued.join(told.filter("_fold = 1").hint("merge"), "_id")
     steps = steps.groupBy(F.floor(F.greatest(F.least("value", F.lit(SPAN)), F.lit(-SPAN)) * STEPS / SPAN).alias("step")).agg(
-        F.count_if(F.col("key") == 1).alias("toxic"), F.count_if(F.col("key") == 0).alias("ordinary")
+        F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("ordinary")
     ).toPandas().sort_values("step")
     slope, offset = curve((steps["step"].to_numpy() + 0.5) * SPAN / STEPS, steps["toxic"].to_numpy(), steps["ordinary"].to_numpy())
-    found = valued(docs.select(F.col(id).alias("_id"), F.col(text).alias("text")), "_id")
     value = 1 / (1 + F.exp(-(F.col("value") * slope + offset)))
-    return found.select(
-        F.col("key").alias(id), F.coalesce(fold("key") == 0, F.lit(True)).alias("held_out"), value.alias("score"),
+    return valued.select(
+        F.col("_id").alias(id), F.coalesce(fold("_id") == 0, F.lit(True)).alias("held_out"), value.alias("score"),
         (value >= 0.5).cast("int").alias("predicted"),
     )

@@ -4,8 +4,11 @@ import base64
 import gzip
 import hashlib
 import json
+import math
 import random
+import re
 import shutil
+import zlib
 from collections import Counter
 from urllib.parse import urlparse
 
@@ -103,18 +106,87 @@ def test_scores_without_labels_or_rows(told, none):
 
 def test_windows_are_the_highest_means():
     rng = np.random.default_rng(4)
-    texts = ["".join(rng.choice(list("abcd "), n)) for n in (0, 1, 5, 19, 20, 21, 50, 51, 300)] + [None, "   "]
-    row, code, counts = toxicity.grams(toxicity.pa.array(texts), 4)
-    codes = np.unique(code)
-    model = toxicity.fit(codes, rng.integers(0, 9, len(codes)), rng.integers(1, 9, len(codes)))
-    row, each, counts = model.differences(toxicity.pa.array(texts))
-    got = model.values(toxicity.pa.array(texts), windows=(20, 50))
-    for i in range(len(texts)):
+    counts = [0, 1, 3, 4, 5, 0, 16, 17, 90]
+    row, each = np.repeat(np.arange(len(counts)), counts), rng.normal(size=sum(counts))
+    got = toxicity.highest(row, each, len(counts), (4, 16))
+    for i in range(len(counts)):
         own = each[row == i]
-        best = [max(own[j : j + w].mean() for j in range(max(len(own) - w, 0) + 1)) if len(own) else 0.0 for w in (20, 50)]
+        best = [max(own[j : j + w].mean() for j in range(max(len(own) - w, 0) + 1)) if len(own) else 0.0 for w in (4, 16)]
         assert abs(np.mean(best) - got[i]) < 1e-9
 
 
+def spelled(word: bytes, order: int = 4) -> list[tuple]:
+    """The letter n-grams of a word and its end, led in by zeros."""
+    symbols = [0] * (order - 1) + toxicity.symbol_table()[np.frombuffer(word, np.uint8)].tolist() + [0]
+    return [tuple(symbols[i : i + order]) for i in range(len(symbols) - order + 1)]
+
+
+def test_values_as_by_hand(spark, told):
+    """Scores before the curve against the formula written out over dicts, with every word joined and with none."""
+    docs, labels = told
+    docs = docs.filter("doc_id < 250 or doc_id > 9000 or doc_id is null")
+    label = {r.doc_id: r.toxic for r in labels.collect() if r.toxic in (0, 1) and r.doc_id is not None}
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    split = lambda t: [w.encode() for w in re.findall("[a-z0-9\x80-\U0010ffff]+", t.lower())]
+    told_words = [Counter(w for i, t in rows if i is not None and label.get(i) == y and fold(i) > 1 for w in split(t)) for y in (1, 0)]
+    every, d = set(told_words[0]) | set(told_words[1]), toxicity.DISCOUNT
+    letters = [Counter(g for w in own for g in spelled(w)) for own in told_words]
+    types = {4: set(letters[0]) | set(letters[1])}
+    for n in (3, 2, 1):
+        types[n] = {g[1:] for g in types[n + 1]}
+    before = {n: Counter(g[1:] for g in types[n + 1]) for n in (1, 2, 3)}
+    following = {n: Counter(g[:-1] for g in types[n]) for n in (1, 2, 3)}
+    weight = {n: Counter() for n in (1, 2, 3)}
+    for n in (1, 2, 3):
+        for g, k in before[n].items():
+            weight[n][g[:-1]] += k
+
+    def shared(g):
+        if not g:
+            return 1 / toxicity.SYMBOLS
+        n, h = len(g), g[:-1]
+        return max(before[n][g] - d, 0) / weight[n][h] + d * following[n][h] / weight[n][h] * shared(g[1:])
+
+    total = [Counter() for _ in letters]
+    kinds = [Counter() for _ in letters]
+    for y in (0, 1):
+        for g, k in letters[y].items():
+            total[y][g[:-1]] += k
+            kinds[y][g[:-1]] += 1
+
+    def spelling(w, y, ratio):
+        value = 0.0
+        for g in spelled(w):
+            aside = d * kinds[y][g[:-1]] / total[y][g[:-1]] if total[y][g[:-1]] else 1.0
+            seen = g in types[4]
+            value += math.log(max(letters[y][g] - d, 0) / max(total[y][g[:-1]], 1) + aside * shared(g[1:]) if seen else aside)
+        return value
+
+    occurring = len(told_words[0]) + len(told_words[1])
+
+    def value(w):
+        logs = []
+        for y, own in enumerate(told_words):
+            aside = d * len(own) / own.total()
+            if w in every:
+                k = sum(w in o for o in told_words)
+                backoff = max(k - d, 0) / occurring + d * len(every) / occurring * math.exp(spelling(w, y, False))
+                logs.append(math.log(max(own[w] - d, 0) / own.total() + aside * backoff))
+            else:
+                logs.append(math.log(aside) + spelling(w, y, True))
+        return (logs[0] - logs[1]) * min(1, toxicity.WORD_SYMBOLS / (len(w) + 1))
+
+    want = {}
+    for i, t in rows:
+        own = [value(w) for w in split(t)]
+        best = [max(np.mean(own[j : j + n]) for j in range(max(len(own) - n, 0) + 1)) if own else 0.0 for n in toxicity.WINDOWS]
+        want[i, t] = np.mean(best)
+    for frequent in (0, 40, toxicity.FREQUENT):
+        got = sorted(r.value for r in toxicity.values(docs, labels, frequent=frequent).collect())
+        assert np.allclose(got, sorted(want.values()), atol=1e-4)
+
+
 def test_few_toxic_words_in_a_long_text_count(spark, told):
     docs, labels = told
     rng = random.Random(11)
@@ -133,10 +205,27 @@ def test_few_toxic_words_in_a_long_text_count(spark, told):
 def test_backoff_is_a_distribution():
     rng = np.random.default_rng(3)
     codes = np.unique(rng.integers(0, 32**3, 3000))
-    every = np.arange(32) + (codes[0] >> 5 << 5)
     assert toxicity.continuation(codes, 3).min() > 0
     model = toxicity.fit(codes, rng.integers(1, 9, len(codes)), rng.integers(1, 9, len(codes)), 3)
-    assert np.isfinite(model.ratio).all() and len(every) == 32
+    assert np.isfinite(model.toxic).all() and np.isfinite(model.ordinary).all()
+
+
+def test_words_and_their_hashes():
+    texts = ["Ab ab\nAB", None, "", "  ", "é1 x", "ab", "y" * 70_000 + ".", "x"]
+    found = toxicity.words(toxicity.pa.array(texts).slice(0), 4)
+    text = [found.data[a:b].tobytes().decode() for a, b in zip(found.start, found.end)]
+    assert text == ["ab", "ab", "ab", "é1", "x", "ab", "y" * 70_000, "x"] and found.row.tolist() == [0, 0, 0, 4, 4, 5, 6, 7]
+    assert len(set(found.key.tolist())) == len(set(text)) and found.size.tolist() == [len(t.encode()) + 1 for t in text]
+    again = toxicity.words(toxicity.pa.array(texts).slice(4), 4)
+    assert again.key.tolist() == found.key.tolist()[3:] and len(toxicity.words(toxicity.pa.array([], "string"), 4).key) == 0
+
+
+def test_words_grow_with_the_corpus(told):
+    docs, labels = told
+    taught = docs.join(labels.filter("toxic in (0, 1)"), "doc_id").select("text", "toxic")
+    counted = {r.word: (r.toxic, r.ordinary) for r in toxicity.count(taught).collect()}
+    want = Counter((w.encode(), r.toxic) for r in taught.collect() if r.text for w in r.text.split())
+    assert counted == {w: (want[w, 1], want[w, 0]) for w, _ in want}
 
 
 PAGES = [
