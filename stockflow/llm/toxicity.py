@@ -4,8 +4,8 @@ A class discounts its own word counts. What it sets aside goes to a backoff by c
 classes a word occurs, so one occurrence weighs little; and what that sets aside to the class's model of spelling,
 letter n-grams inside the word, which discounts likewise and falls back on one model by continuation counts. The words are a table that grows with the corpus and is joined to the documents' words. Only two things
 are sent to every task, both of fixed size: at most SYMBOLS^ORDER letter n-grams, and the FREQUENT commonest words, which would
-be hot keys of the join. All other words of the documents meet the table by a shuffle of hashes; texts are not
-moved for it.
+be hot keys of the join; filters of at most 2^SIEVE bits spare the joins most rows without a partner. All other words
+of the documents meet the table by a shuffle of hashes, and their values the row; texts are not moved for it.
 
 The difference of the log-likelihoods is normalised by length, over windows as well as over short texts as a whole: of
 each width in WINDOWS (words) the window with the highest mean counts, so a few toxic words are found in a text of any
@@ -38,6 +38,10 @@ WINDOWS = (1, 4, 16)
 WORD_SYMBOLS = 12
 #: words sent to every task; the others are joined
 FREQUENT = 1 << 16
+#: bits of a filter of hashes are at most 2^SIEVE, 16 MB; a fuller one lets more rows through, which the joins then drop
+SIEVE = 27
+#: values of words are moved in steps of 1 / UNIT
+UNIT = 512
 #: steps of the scores whose counts set the logistic curve
 STEPS, SPAN = 4000, 20.0
 
@@ -107,8 +111,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def spelled(found: Words, which: np.ndarray) -> pa.Array:
+    """The text of some of the words."""
+    return pa.array([found.data[a:b].tobytes() for a, b in zip(found.start[which].tolist(), found.end[which].tolist())], pa.large_binary())
+
+
 def count(docs: DataFrame) -> DataFrame:
-    """key, word, toxic, ordinary: how often each word occurs in texts of each label. docs: text, toxic (0 or 1)."""
+    """word, toxic, ordinary: how often each word occurs in texts of each label. docs: text, toxic (0 or 1)."""
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -116,13 +125,12 @@ def count(docs: DataFrame) -> DataFrame:
             keys, first, back = np.unique(found.key, return_index=True, return_inverse=True)
             label = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)[found.row]
             toxic, every = np.bincount(back, label, len(keys)).astype(np.int64), np.bincount(back, minlength=len(keys))
-            spelled = [found.data[a:b].tobytes() for a, b in zip(found.start[first].tolist(), found.end[first].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(spelled, pa.binary()), pa.array(toxic), pa.array(every - toxic)], names=["key", "word", "toxic", "ordinary"]
+                [spelled(found, first).cast(pa.binary()), pa.array(toxic), pa.array(every - toxic)], names=["word", "toxic", "ordinary"]
             )
 
-    counted = docs.select("text", "toxic").mapInArrow(run, "key bigint, word binary, toxic bigint, ordinary bigint")
-    return counted.groupBy("key").agg(F.max("word").alias("word"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    counted = docs.select("text", "toxic").mapInArrow(run, "word binary, toxic bigint, ordinary bigint")
+    return counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def spellings(counted: DataFrame, order: int = ORDER) -> DataFrame:
@@ -211,6 +219,10 @@ def seen_values(found: Words, toxic: np.ndarray, ordinary: np.ndarray, model: Mo
     return shortened(one(toxic, totals.toxic, a, p) - one(ordinary, totals.ordinary, b, q), found.size)
 
 
+def stepped(value: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(value, -60, 60) * UNIT + 0.5).astype(np.int16)
+
+
 def highest(row: np.ndarray, each: np.ndarray, rows: int, windows: tuple[int, ...] = WINDOWS) -> np.ndarray:
     """By row the highest mean in a window, averaged over the widths; 0 for rows without words."""
     counts = np.bincount(row, minlength=rows)
@@ -298,6 +310,21 @@ def fold(id: str) -> Column:
     return F.crc32(F.col(id).cast("string").cast("binary")) % 5
 
 
+def sieve(hashes: DataFrame, number: int) -> np.ndarray:
+    """A bit for each hash, by its low bits. hashes: one bigint column h, number: how many rows at most."""
+    bits = 1 << min(max(10, int(number * 8).bit_length()), SIEVE)
+    place = hashes.select(F.col("h").bitwiseAND(bits - 1).alias("p"))
+    filled = place.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b")).toPandas()
+    found = np.zeros(bits >> 6, np.int64)
+    found[filled["w"].to_numpy()] = filled["b"].to_numpy()
+    return found
+
+
+def passed(filter: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes & (len(filter) * 64 - 1)
+    return (filter[place >> 6] >> (place & 63)) & 1 == 1
+
+
 def taught_labels(labels: DataFrame, id: str, label: str) -> DataFrame:
     """_id, toxic, _fold of the labels that may be learned from."""
     told = labels.filter(F.col(label).isin(0, 1) & F.col(id).isNotNull()).groupBy(F.col(id).alias("_id")).agg(F.max(label).alias("toxic"))
@@ -312,7 +339,17 @@ def values(
     spark = docs.sparkSession
     texts = docs.select(F.col(id).alias("_id"), F.col(text).alias("text"))
     # the same way at every size: labels and words grow with the table, so they are not sent to all tasks
-    taught = texts.filter(F.col("_id").isNotNull() & (fold("_id") > 1)).join(taught_labels(labels, id, label).filter("_fold > 1").hint("merge"), "_id")
+    told = taught_labels(labels, id, label).filter("_fold > 1")
+    kind = dict(texts.dtypes)["_id"]
+    hashed = F.xxhash64(F.col("_id").cast("string")).alias("h")
+    labelled = spark.sparkContext.broadcast(sieve(told.select(hashed), told.count()))
+
+    def may_be_told(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(passed(labelled.value, batch.column("h").to_numpy()))).select(["_id", "text"])
+
+    asked = texts.filter(F.col("_id").isNotNull() & (fold("_id") > 1)).select("_id", "text", hashed)
+    taught = asked.mapInArrow(may_be_told, f"_id {kind}, text string").join(told.hint("merge"), "_id")
     counted = cut(count(taught))
     sums = counted.agg(*[F.coalesce(F.expr(e), F.lit(0)) for e in (
         "sum(toxic)", "sum(ordinary)", "count_if(toxic > 0)", "count_if(ordinary > 0)", "count(*)")]).first()
@@ -326,52 +363,59 @@ def values(
             found = words(batch.column("word").cast(pa.large_binary()), order)
             seen = seen_values(found, batch.column("toxic").to_numpy(), batch.column("ordinary").to_numpy(), own, all)
             number = pc.add(batch.column("toxic"), batch.column("ordinary"))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), number, pa.array(seen)], names=["key", "number", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(found.key), number, pa.array(seen)], names=["key", "number", "value"])
 
     weighed = cut(counted.mapInArrow(weigh, "key bigint, number bigint, value double"))
     common = weighed.orderBy(F.desc("number"), "key").limit(frequent).toPandas().sort_values("key")  # at most `frequent` rows
     common = spark.sparkContext.broadcast((common["key"].to_numpy(), common["value"].to_numpy()))
+    learned = spark.sparkContext.broadcast(sieve(weighed.select(F.col("key").alias("h")), totals.words))
+    rows = texts.select("_id", F.xxhash64("_id", "text").alias("_row"), "text")
+
+    def listed(found: Words, which: np.ndarray, values: np.ndarray, rows: int) -> pa.Array:
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(found.row[which], minlength=rows))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))
 
-    def look(batches):
-        """By row the values as far as known in the task, and place and key of the words that are to be looked up."""
+    def known_here(batches):
+        """By row the values of its words, as if no class had those that are not in every task."""
         (own, all), (keys, values) = sent.value, common.value
         for batch in slices(batches, "text"):
-            found = words(batch.column("text"), order)
-            each = Model._at(keys, values, found.key, np.nan)
+            found = words(batch.column("text"), 1)
+            different, first, back = np.unique(found.key, return_index=True, return_inverse=True)
+            each = Model._at(keys, values, different, np.nan)
             rare = np.flatnonzero(np.isnan(each))
-            each[rare] = unseen_values(found, own, all)[rare]
-            bounds = np.concatenate([[0], np.cumsum(np.bincount(found.row, minlength=len(batch)))]).astype(np.int32)
-            rare_bounds = np.concatenate([[0], np.cumsum(np.bincount(found.row[rare], minlength=len(batch)))]).astype(np.int32)
-            listed = lambda b, v: pa.ListArray.from_arrays(pa.array(b), pa.array(v))
+            each[rare] = unseen_values(words(spelled(found, first[rare]), order), own, all)
+            moved = stepped(each)[back]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("_id"), batch.column("_text"), listed(bounds, each.astype(np.float32)),
-                    listed(rare_bounds, (rare - bounds[found.row[rare]]).astype(np.int32)), listed(rare_bounds, found.key[rare]),
-                ],
-                names=["_id", "_text", "each", "place", "key"],
+                [batch.column("_row"), batch.column("_id"), listed(found, np.arange(len(moved)), moved, len(batch))], names=["_row", "_id", "each"]
             )
 
-    kind = dict(texts.dtypes)["_id"]
-    looked = texts.select("_id", F.xxhash64("text").alias("_text"), "text").mapInArrow(
-        look, f"_id {kind}, _text bigint, each array<float>, place array<int>, key array<bigint>"
-    )
-    rare = looked.select("_id", "_text", F.explode(F.arrays_zip("place", "key")).alias("w")).select("_id", "_text", "w.place", "w.key")
-    # equal rows bring equal places
-    known = rare.join(weighed.select("key", "value").hint("merge"), "key").groupBy("_text", "_id").agg(
-        F.sort_array(F.collect_set(F.struct("place", F.col("value").cast("float").alias("value")))).alias("known")
-    )
+    def looked_up(batches):
+        """Place and hash of the other words, where a class may have them."""
+        keys, values = common.value
+        for batch in slices(batches, "text"):
+            found = words(batch.column("text"), 1)
+            rare = np.flatnonzero(np.isnan(Model._at(keys, values, found.key, np.nan)) & passed(learned.value, found.key))
+            place = rare - np.searchsorted(found.row, found.row)[rare]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_row").take(pa.array(found.row[rare])), pa.array(place), pa.array(found.key[rare])], names=["_row", "place", "key"]
+            )
+
+    rare = rows.select("_row", "text").mapInArrow(looked_up, "_row bigint, place bigint, key bigint")
+    # place and value in one number; equal rows bring equal ones
+    pair = F.shiftleft("place", 16) + F.floor(F.greatest(F.least(F.col("value"), F.lit(60.0)), F.lit(-60.0)) * UNIT + 0.5) + 32768
+    known = rare.join(weighed.select("key", "value").hint("merge"), "key").groupBy("_row").agg(F.collect_set(pair).alias("known"))
 
     def best(batches):
         for batch in batches:
             each, own = batch.column("each"), batch.column("known")
-            counts = pc.fill_null(pc.list_value_length(each), 0).to_numpy().astype(np.int64)
-            values, row = each.flatten().to_numpy(zero_copy_only=False).astype(float), np.repeat(np.arange(len(batch)), counts)
-            flat, at = own.flatten(), pc.list_parent_indices(own).to_numpy()
-            values[(np.cumsum(counts) - counts)[at] + flat.field("place").to_numpy()] = flat.field("value").to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(highest(row, values, len(batch)))], names=["_id", "value"])
-
-    same = F.expr("l._text = r._text and l._id <=> r._id")
-    joined = looked.select("_id", "_text", "each").alias("l").join(known.hint("merge").alias("r"), same, "left").select("l._id", "each", "known")
+            counts = pc.list_value_length(each).to_numpy().astype(np.int64)
+            values, row = each.flatten().to_numpy().astype(float), np.repeat(np.arange(len(batch)), counts)
+            pairs, at = own.flatten().to_numpy(), pc.list_parent_indices(own).to_numpy()
+            values[(np.cumsum(counts) - counts)[at] + (pairs >> 16)] = (pairs & 65535) - 32768
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(highest(row, values / UNIT, len(batch)))], names=["_id", "value"])
+
+    base = rows.mapInArrow(known_here, f"_row bigint, _id {kind}, each array<smallint>")
+    joined = base.join(known.hint("merge"), "_row", "left").select("_id", "each", "known")
     return joined.mapInArrow(best, f"_id {kind}, value double")
 
 
@@ -384,7 +428,7 @@ def score(
     Learns from labelled rows that are not held out; rows without a label, and labels other than 0 and 1, teach
     nothing. An id with several labels counts as toxic if one of them says so. A null or empty text, and every text
     where no label of one class is known, scores by the curve alone. A null id is held out. Every row comes back; other
-    columns are left out. Two words are taken for one, and two rows of one id, if hashes of 64 bits are equal.
+    columns are left out. Two words, or two rows, are taken for one if hashes of 64 bits are equal.
     """
     valued, told = cut(values(docs, labels, id, text, label, order, frequent)), taught_labels(labels, id, label)
     # how the curve lies: counts per step of the value and label, a table of fixed size

@@ -184,7 +184,7 @@ def test_values_as_by_hand(spark, told):
         want[i, t] = np.mean(best)
     for frequent in (0, 40, toxicity.FREQUENT):
         got = sorted(r.value for r in toxicity.values(docs, labels, frequent=frequent).collect())
-        assert np.allclose(got, sorted(want.values()), atol=1e-4)
+        assert np.allclose(got, sorted(want.values()), atol=1 / toxicity.UNIT)
 
 
 def test_few_toxic_words_in_a_long_text_count(spark, told):
