@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from bindings.registry import query, shared
 from stockflow import schema
 from stockflow.operators import bom, joins, projections, quality
+from stockflow.session import shared_folder
 from stockflow.sources import tables
 
 # --- sources -------------------------------------------------------------
@@ -17,16 +18,28 @@ def _(t):
     return tables.list_product_suppliers(t.product_suppliers)
 
 
-@query("rows_as_json", f"select id, '{_OFFER_COLUMNS}' json_keys, product_id, supplier_id from product_suppliers")
+@query("rows_as_json", f"select {_OFFER_COLUMNS}, '{_OFFER_COLUMNS}' json_keys from product_suppliers")
 def _(t):
-    return tables.rows_as_json(t.product_suppliers).select(
-        F.get_json_object("row", "$.id").alias("id"),
-        F.array_join(F.json_object_keys("row"), ",").alias("json_keys"),
-        F.get_json_object("row", "$.product_id").alias("product_id"),
-        F.get_json_object("row", "$.supplier_id").alias("supplier_id"),
+    # every value read back from the text
+    rows = tables.rows_as_json(t.product_suppliers)
+    return rows.select(F.from_json("row", t.product_suppliers.schema).alias("r"), F.array_join(F.json_object_keys("row"), ",").alias("json_keys")).select(
+        "r.*", "json_keys"
     )
 
 
+# the second batch brings the later days again, with twice the quantity
+@query("lake_write", """select id, event_timestamp, case when event_timestamp >= date '2024-01-10' then quantity * 2 else quantity end quantity,
+    cast(event_timestamp as date) event_date from inventory_movements""")
+def _(t):
+    folder = shared_folder(t.spark, "lake")
+    moved = t.inventory_movements.select("id", "event_timestamp", "quantity")
+    tables.lake_write(moved, folder, "event_timestamp")
+    tables.lake_write(
+        moved.filter("event_timestamp >= date '2024-01-10'").withColumn("quantity", F.col("quantity") * 2), folder, "event_timestamp"
+    )
+    return t.spark.read.schema("id string, event_timestamp timestamp_ntz, quantity double, event_date date").parquet(folder)
+
+
 @query("load_tables", "\nunion all\n".join(
     f"select '{n}' table_name, count(*) row_count from {n}" for n in schema.table_names()
 ))
@@ -186,6 +199,15 @@ def _(t):
     return quality.delete_plan(t.all(), "sales_orders", t.sales_orders.filter("currency is null"))
 
 
+@query("apply_delete", """select 'sales_orders' table_name, id from sales_orders where currency is not null
+    union all select 'sales_order_lines', id from sales_order_lines
+      where sales_order_id is null or sales_order_id not in (select id from sales_orders where currency is null)""")
+def _(t):
+    left = quality.apply_delete(t.all(), "sales_orders", t.sales_orders.filter("currency is null"))
+    ids = lambda name: left[name].select(F.lit(name).alias("table_name"), "id")
+    return ids("sales_orders").unionByName(ids("sales_order_lines"))
+
+
 @query("rekey", """select s.id, coalesce(o.new_id, origin_location_id) origin_location_id,
     coalesce(d.new_id, destination_location_id) destination_location_id from shipments s
     left join (select id, concat('X', id) new_id from locations where location_type = 'port') o on o.id = origin_location_id

@@ -61,6 +61,16 @@ def test_created_ranges_cover_everything():
     assert jdbc.created_ranges([]) == ["created_at is not null"]
 
 
+def test_created_edges_follow_the_rows():
+    first, last = datetime(2024, 1, 1), datetime(2024, 1, 11)
+    assert "count(*)" in jdbc.range_query("products") and '"products"' in jdbc.range_query("products")
+    edges = jdbc.created_edges(first, last, 5_000_001, 500_000)
+    assert len(edges) == 10 and first < edges[0] and edges == sorted(edges) and edges[-1] < last
+    assert len(jdbc.created_ranges(edges)) == 11
+    assert jdbc.created_edges(first, last, 500_000, 500_000) == []
+    assert jdbc.created_edges(None, None, 0, 10) == [] and jdbc.created_edges(first, first, 100, 10) == []
+
+
 def test_json_keeps_nulls_and_every_column(spark):
     df = spark.createDataFrame([("a", None, 1.5)], "id string, currency string, total_value_sek double")
     row = json.loads(tables.rows_as_json(df).first()[0])
