@@ -111,6 +111,17 @@ def _(t):
     return quality.not_null_violations(t.all())
 
 
+# a feed whose rows lack a value here and there
+_HOLES = {"sku": 7, "unit_cost_sek": 11, "updated_at": 13}
+_HOLED = {c: f"case when cast(substr(id, 2) as bigint) % {n} = 0 then null else {c} end" for c, n in _HOLES.items()}
+shared("products_with_holes", f"select * replace ({', '.join(f'{e} as {c}' for c, e in _HOLED.items())}) from products")
+
+
+@query("not_null_violations_feed", _null_counts("products").replace("from products)", "from products_with_holes)"))
+def _(t):
+    return quality.not_null_violations({"products": t.products.withColumns({c: F.expr(e) for c, e in _HOLED.items()})})
+
+
 def _duplicates(name, column, rule, source=None):
     return f"""select '{name}' table_name, '{rule}' rule, '{column}' column_name, {column} key, count(*) occurrences
         from {source or name} group by {column} having count(*) > 1 or {column} is null"""
@@ -346,6 +357,21 @@ def _(t):
     )
 
 
+# goods issues and receipts booked straight from the lines, so every one has a header
+@query("movement_source_known", """select concat('S', id) id, 'sales_order' source_kind, id source_id, sales_order_id header_id from sales_order_lines
+    union all select concat('P', id), 'purchase_order', id, purchase_order_id from purchase_order_lines""")
+def _(t):
+    issued = t.sales_order_lines.selectExpr("concat('S', id) id", "id sales_order_line_id", "cast(null as string) purchase_order_line_id")
+    received = t.purchase_order_lines.selectExpr("concat('P', id) id", "cast(null as string) sales_order_line_id", "id purchase_order_line_id")
+    return joins.with_source(
+        issued.unionByName(received), {"sales_order": "sales_order_line_id", "purchase_order": "purchase_order_line_id"},
+        {
+            "sales_order": t.sales_order_lines.selectExpr("id", "sales_order_id header_id"),
+            "purchase_order": t.purchase_order_lines.selectExpr("id", "purchase_order_id header_id"),
+        },
+    ).select("id", "source_kind", "source_id", "header_id")
+
+
 @query("movement_source", """
     with refs as (
       select 'item' owner, id, sales_order_line_id s, purchase_order_line_id p, transfer_order_line_id t,

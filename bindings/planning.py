@@ -229,20 +229,34 @@ _SERVICE = "origin_location_id, destination_location_id, transport_mode, carrier
 shared("trips", """select *, epoch_us(actual_arrival_at - actual_departure_at) / 1e6 as seconds from shipments""")
 
 
-def _times(keys, name):
+def _times(keys, name, trips="trips"):
     return f"""select {keys}, count(*) {name}_n, round(quantile_cont(seconds, 0.5) / 3600, 6) {name}_p50,
-      round(quantile_cont(seconds, 0.9) / 3600, 6) {name}_p90 from trips group by {keys}"""
+      round(quantile_cont(seconds, 0.9) / 3600, 6) {name}_p90 from {trips} group by {keys}"""
 
 
-@query("lane_times", f"""select {_SERVICE}, service_n trips, case when service_n >= 5 then 'service' when lane_n >= 5 then 'lane' else 'mode' end basis,
-    case when service_n >= 5 then service_p50 when lane_n >= 5 then lane_p50 else mode_p50 end p50_hours,
-    case when service_n >= 5 then service_p90 when lane_n >= 5 then lane_p90 else mode_p90 end p90_hours
-    from ({_times(_SERVICE, 'service')}) join ({_times('origin_location_id, destination_location_id', 'lane')})
-      using (origin_location_id, destination_location_id) join ({_times('transport_mode', 'mode')}) using (transport_mode)""")
+def _lane_times(least, trips="trips"):
+    return f"""select {_SERVICE}, service_n trips, case when service_n >= {least} then 'service' when lane_n >= {least} then 'lane' else 'mode' end basis,
+    case when service_n >= {least} then service_p50 when lane_n >= {least} then lane_p50 else mode_p50 end p50_hours,
+    case when service_n >= {least} then service_p90 when lane_n >= {least} then lane_p90 else mode_p90 end p90_hours
+    from ({_times(_SERVICE, 'service', trips)}) join ({_times('origin_location_id, destination_location_id', 'lane', trips)})
+      using (origin_location_id, destination_location_id) join ({_times('transport_mode', 'mode', trips)}) using (transport_mode)"""
+
+
+@query("lane_times", _lane_times(5))
 def _(t):
     return eta.lane_times(t.shipments)
 
 
+# every second shipment goes with a carrier of its own, so that services and lanes fall short of the least number of trips
+_MIXED = "case when cast(substr(id, 2) as bigint) % 2 = 0 then 'C0' else concat('C', id) end"
+shared("mixed_trips", f"select * replace ({_MIXED} as carrier_id) from trips")
+
+
+@query("lane_times_mixed", _lane_times(20, "mixed_trips"))
+def _(t):
+    return eta.lane_times(t.shipments.withColumn("carrier_id", F.expr(_MIXED)), least=20)
+
+
 def _speed(keys):
     return f"""select {keys}, {xsum('distance_km')} / {xsum('epoch_us(actual_arrival_at - actual_departure_at) / 1e6 / 3600', 6)} speed
       from shipments group by {keys}"""
@@ -287,6 +301,21 @@ def _(t):
     return eta.two_leg_routes(t.shipments)
 
 
+# a third of the lanes cost ten times as much, so that two legs win on some
+_DEAR = """freight_cost_sek * case when (ascii(right(origin_location_id, 1)) + ascii(right(destination_location_id, 1))) % 3 = 0
+    then 10 else 1 end"""
+
+
+@query("two_leg_routes_dear", f"""
+    with costs as (select {_SERVICE}, {xsum(_DEAR)} / count(*) mean_cost_sek from shipments group by {_SERVICE}),
+    legs as (select origin_location_id o, destination_location_id d, min(mean_cost_sek) c from costs where origin_location_id <> destination_location_id group by 1, 2),
+    routes as (select o, d, c, null via from legs union all select a.o, b.d, a.c + b.c, a.d from legs a join legs b on b.o = a.d and a.o <> b.d)
+    select o origin, d destination, c cost_sek, via via_location_id from (select *, row_number() over
+      (partition by o, d order by c, via is not null, via) place from routes) where place = 1""")
+def _(t):
+    return eta.two_leg_routes(t.shipments.withColumn("freight_cost_sek", F.expr(_DEAR)))
+
+
 # --- risk ----------------------------------------------------------------
 
 RISK_WEIGHTS = {"late": 0.4, "rejected": 0.2, "single": 0.2, "tier": 0.1, "cover": 0.1}
