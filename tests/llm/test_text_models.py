@@ -8,12 +8,15 @@ import math
 import random
 import re
 import shutil
+import sys
 import zlib
 from collections import Counter
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -62,6 +65,37 @@ def test_pair_checks_agree_with_merging(library):
     assert codec.decode([0, 50256, 255]) == library.decode([0, 50256, 255], skip_special_tokens=False)
 
 
+def test_new_words_cost_no_call_of_their_own():
+    with open(VOCABULARY, encoding="utf-8") as file:
+        codec = bpe.Codec(file.read())
+    rng, calls = random.Random(3), [0]
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(4, 12)))
+    texts = [" ".join(word() for _ in range(2000)) for _ in range(10)]
+
+    def count(frame, event, arg):
+        calls[0] += 1
+
+    sys.setprofile(count)
+    try:
+        done = list(codec.encode(texts))
+    finally:
+        sys.setprofile(None)
+    assert len(done) == 10 and calls[0] < 10_000  # 20,000 words, nearly all different
+
+
+def test_words_are_cut_as_the_pattern_says():
+    with open(VOCABULARY, encoding="utf-8") as file:
+        codec = bpe.Codec(file.read())
+    rng, pattern = random.Random(4), regex.compile(bpe.WORDS)
+    letters = [*"'''   \n\t\xa0stmdrevlLS17.,!é漢😀", "'s", "'ve", "'ll", "\u3000", "\x85", "\x1c", "\u2014"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 20))) for _ in range(5000)]
+    want = [len(w.encode()) for t in texts for w in pattern.findall(t)]
+    assert np.diff(codec.split(pa.array([t.encode() for t in texts], pa.large_binary()))).tolist() == want
+    starts, bounds = codec.cut(pa.array(texts, pa.large_string()))
+    stretches = np.split(np.frombuffer("".join(texts).encode(), np.uint8), starts[1:-1])
+    assert [len(w.encode()) for s in stretches for w in pattern.findall(s.tobytes().decode())] == want and bounds[-1] == len(starts) - 1
+
+
 def test_tokens_of_an_empty_table(none):
     assert bpe.encode(none, VOCABULARY).count() == 0
 
