@@ -96,6 +96,12 @@ def test_words_are_cut_as_the_pattern_says():
     assert [len(w.encode()) for s in stretches for w in pattern.findall(s.tobytes().decode())] == want and bounds[-1] == len(starts) - 1
 
 
+def test_letters_that_the_library_does_not_know_yet(spark, library):
+    texts = [f"a{c}1{c} {c}.{c}{c}b漢{c}漢 {c}a" for c in ("\u088f", "\U00011db6", "\U00016eb6", "\U00018db6", "\U000323b0", "\U0001df36")]
+    got = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), VOCABULARY).collect()
+    assert {r.doc_id: r.ids for r in got} == {i: library.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+
+
 def test_tokens_of_an_empty_table(none):
     assert bpe.encode(none, VOCABULARY).count() == 0
 
