@@ -33,8 +33,8 @@ from stockflow.session import cut
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LENGTH, K = 100, 40
-#: bytes of a batch at least, the most batches, and bytes of keys in a range
-BATCH_BYTES, BATCHES, RANGE_BYTES = 2 << 20, 100_000, 32 << 20
+#: bytes of a batch at least, the most batches, and bytes of keys in a range of anchors and of windows
+BATCH_BYTES, BATCHES, RANGE_BYTES, WINDOW_BYTES = 2 << 20, 100_000, 32 << 20, 64 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -151,7 +151,7 @@ def joined(masks, keys: np.ndarray, ranges: int) -> np.ndarray:
 class Work:
     """What a batch knows in each pass."""
 
-    def __init__(self, row: dict, length: int, k: int, ranges: int):
+    def __init__(self, row: dict, length: int, k: int, ranges: int, window_ranges: int):
         sizes = np.array(row["sizes"], np.int64)
         known, skip = {bytes(d) for d in row["copies"] or ()}, np.zeros(len(sizes), bool)
         for i, digest in enumerate(row["digests"]):
@@ -159,7 +159,7 @@ class Work:
             known.add(digest)
         self.copies = skip
         self.batch = Batch(row["data"], sizes, skip, length)
-        self.ranges = ranges
+        self.ranges, self.window_ranges = ranges, window_ranges
         self.by_run, self.lengths = self.batch.anchors(k)
         self.anchor_keys, self.run_of = np.unique(self.by_run, return_inverse=True)
         self.k = k
@@ -176,7 +176,7 @@ class Work:
 
     def removed(self, masks) -> np.ndarray:
         """By byte, whether it goes."""
-        earlier = joined(masks, self.keys, self.ranges)
+        earlier = joined(masks, self.keys, self.window_ranges)
         hit = self.at[~self.first | earlier[self.key_of]]
         edge = np.zeros(self.batch.n + 1, np.int64)
         np.add.at(edge, hit, 1)
@@ -195,7 +195,7 @@ def batches(docs: DataFrame, id: str, text: str) -> tuple[str, int, int]:
     spark = docs.sparkSession
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.encode(whole_text(text), "utf-8").alias("raw"))
-    sizes = rows.select("id", (F.octet_length("raw") + 1).cast("long").alias("size"))
+    sizes = cut(rows.select("id", (F.octet_length("raw") + 1).cast("long").alias("size")))
     total = sizes.agg(F.sum("size")).first()[0] or 0
     low = np.array(edges(sizes.filter("id is not null"), "id", "size", max(BATCH_BYTES, total // BATCHES))[1:], np.int64)
     shared = spark.sparkContext.broadcast(low)  # 8 bytes per batch
@@ -257,6 +257,8 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", length:
     name, total, buckets = batches(docs, id, text)
     # anchors take a quarter of the bytes
     ranges = max(buckets, math.ceil(total / 4 / RANGE_BYTES))
+    # where everything is repeated, every byte starts a window with a key of its own
+    window_ranges = max(buckets, math.ceil(total * 8 / WINDOW_BYTES))
     table = spark.table(name)
     digests = table.select("batch", F.explode(F.arrays_zip("digests", "sizes")).alias("d")).select("batch", "d.digests", "d.sizes").filter(F.col("sizes") > 0)
     digests = digests.groupBy("digests", "batch").agg(F.count(F.lit(1)).alias("_n"))
@@ -268,7 +270,7 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", length:
         # the side is small by batch; the batches stay where their buckets are
         return left.join(side.hint("shuffle_hash"), "batch", "left")
 
-    def emit(batch: int, keys: np.ndarray) -> pa.RecordBatch:
+    def emit(batch: int, keys: np.ndarray, ranges: int) -> pa.RecordBatch:
         parts = [(r, p) for r, p in enumerate(split(keys, ranges)) if len(p)]
         return pa.RecordBatch.from_arrays([
             pa.array([r for r, _ in parts], pa.int32()), pa.array([batch] * len(parts), pa.int32()),
@@ -282,17 +284,17 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", length:
 
     def anchors(parts):
         for row in each(parts):
-            yield emit(row["batch"], Work(row, length, k, ranges).anchor_keys)
+            yield emit(row["batch"], Work(row, length, k, ranges, window_ranges).anchor_keys, ranges)
 
     def windows(parts):
         for row in each(parts):
-            work = Work(row, length, k, ranges)
+            work = Work(row, length, k, ranges, window_ranges)
             work.windows(row["anchors"])
-            yield emit(row["batch"], work.keys)
+            yield emit(row["batch"], work.keys, window_ranges)
 
     def results(parts):
         for row in each(parts):
-            work = Work(row, length, k, ranges)
+            work = Work(row, length, k, ranges, window_ranges)
             work.windows(row["anchors"])
             gone = work.removed(row["windows"])
             raw, out, at = np.frombuffer(row["data"], np.uint8), [], 0

@@ -32,6 +32,8 @@ FILE_BYTES = 16 << 20
 #: payload bytes of a shard: a share of all, within bounds
 SHARES, LEAST_BYTES, MOST_BYTES = 200, 128 << 10, 1 << 30
 BINS = 1024
+#: parts of a range that is divided again, for each part that it needs
+FINER = 16
 DATE = "2000-01-01T00:00:00Z"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -83,36 +85,35 @@ def parse(data: bytes):
 def edges(pages: DataFrame, id: str, bytes_: str, target: int) -> list[int]:
     """Lower edges of id ranges that hold about `target` bytes each; fixed by the rows alone.
 
-    Ids are counted in BINS equal ranges; a range that holds too much is divided again. One id is never divided.
+    Ids are counted in BINS equal ranges; a range that holds too much is divided again, into FINER times as many as it needs.
+    One id is never divided. The driver gets a few counts per range that comes out.
     """
-    facts = pages.agg(F.min(id), F.max(id), F.sum(bytes_)).first()
-    if facts[0] is None:
+    low, high = pages.agg(F.min(id), F.max(id)).first()
+    if low is None:
         return []
-    found: dict[int, tuple[int, int]] = {}
-    work = [(facts[0], facts[1])]
-    while work:
+    found: dict[int, int] = {}
+    step = (high - low) // BINS + 1
+    steps = {low: step}
+    rows = pages.select(F.col(id).cast("long").alias("id"), F.col(bytes_).alias("size"), F.lit(low).cast("long").alias("bin"), F.lit(step).cast("long").alias("step"))
+    while steps:
         # all ranges of a round are counted in one pass
-        cases = None
-        for n, (low, high) in enumerate(work):
-            step = (high - low) // BINS + 1
-            key = F.lit(low) + F.floor((F.col(id) - low) / step) * step
-            cases = (cases or F).when(F.col(id).between(low, high), F.struct(F.lit(n).alias("n"), key.cast("long").alias("key")))
-        counted = pages.select(cases.alias("bin"), bytes_).filter("bin is not null").groupBy("bin").agg(F.sum(bytes_)).collect()
-        again = []
-        for (n, key), size in ((r[0], r[1]) for r in counted):
-            low, high = work[n]
-            step = (high - low) // BINS + 1
+        at = rows.withColumn("bin", F.expr("bin + (id - bin) div step * step"))
+        again = {}
+        for key, step, size in at.groupBy("bin", "step").agg(F.sum("size")).collect():
             if size > target and step > 1:
-                again.append((key, min(high, key + step - 1)))
+                again[key] = (step - 1) // min(BINS, FINER * -(-size // target)) + 1
             else:
-                found[key] = (size, key)
-        work = again[:]
+                found[key] = size
+        steps = again
+        if steps:
+            divided = pages.sparkSession.createDataFrame(list(steps.items()), "bin long, step long")
+            rows = at.drop("step").join(F.broadcast(divided), "bin")
     out, held = [], target
     for key in sorted(found):
-        if held + found[key][0] > target:
+        if held + found[key] > target:
             out.append(key)
             held = 0
-        held += found[key][0]
+        held += found[key]
     return out
 
 

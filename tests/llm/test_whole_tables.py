@@ -1,5 +1,6 @@
 """Exact dedup, prefix trie and Merkle manifest against brute force."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -9,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from stockflow.llm import exact_dedup, merkle, prefix_trie
+from stockflow.llm import exact_dedup, merkle, prefix_trie, warc
 
 
 def sha(text):
@@ -224,3 +225,18 @@ def test_later_siblings_extend_open_witnesses():
     value = merkle.digest(b"", b"a", b"bc")
     assert level == 2 and root == merkle.digest(value, merkle.digest(b"d"))
     assert first.witness() == [(b"", b"bc"), (b"", merkle.digest(b"d"))]
+
+
+def test_edges_where_many_ranges_are_divided_again(spark):
+    rng = random.Random(3)
+    sizes = {i: rng.randint(1, 9) for i in range(20_000)} | {10**12 + i: 50 for i in range(300)} | {-(10**15): 5000}
+    rows = spark.createDataFrame(list(sizes.items()), "id long, size long")
+    low = warc.edges(rows, "id", "size", 2000)
+    held = Counter()
+    for key, size in sizes.items():
+        held[bisect.bisect_right(low, key)] += size
+    assert low == sorted(set(low)) and low[0] == min(sizes) and 0 not in held
+    assert all(size <= 2000 or size == 5000 for size in held.values())
+    assert len(held) < 2.5 * sum(sizes.values()) / 2000
+    even = spark.range(5000).selectExpr("id", "100L size")
+    assert len(warc.edges(even, "id", "size", 150)) == 5000 and len(warc.edges(even, "id", "size", 1000)) <= 1024
