@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stockflow.functions.exact import exact_sum
 from stockflow.functions.ranking import exact_percentiles, global_row_number, newest, tile
 from stockflow.functions.split_windows import Stretches, last_known, previous_row, row_numbers, running_sums
+from stockflow.operators import quality
 
 
 def _hot(spark, n=3000):
@@ -122,3 +123,19 @@ def test_percentiles_are_exact(spark):
 def test_global_rank_puts_nulls_first(spark):
     df = spark.createDataFrame([("a", None), ("b", 2.0), ("c", 1.0)], "id string, v double")
     assert {r.id: r.n for r in global_row_number(df, "v", "id", "n").collect()} == {"a": 1, "c": 2, "b": 3}
+
+
+def test_references_and_parents_meet_in_one_shuffle(spark):
+    make = lambda rows, kind: spark.createDataFrame(rows, kind)
+    tables = {
+        "products": make([("p1",), ("p2",), (None,)], "id string"),
+        "organizations": make([("s1",)], "id string"),
+        "product_suppliers": make([("a", "p1", "s1"), ("b", "p9", "s1"), ("c", "p9", "s2"), ("d", None, "p1"), ("e", "s1", None)], "id string, product_id string, supplier_id string"),
+    }
+    found = quality.fk_orphans(tables)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+    assert sorted((r.parent_table, r.column_name, r.key, r.orphan_rows) for r in found.collect()) == [
+        ("organizations", "supplier_id", "p1", 1), ("organizations", "supplier_id", "s2", 1),
+        ("products", "product_id", "p9", 2), ("products", "product_id", "s1", 1),
+    ]
